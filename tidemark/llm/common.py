@@ -14,12 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of this machine only where the session names none, as in tests."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Run df once and keep its rows in the shared checkpoint folder, so that a lost executor costs a read, not a recount."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -45,13 +50,13 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", row_bytes: int = 64, most_bytes: int = 32 << 20) -> DataFrame:
+def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", row_bytes: int = 64, most_bytes: int = 32 << 20, total_bytes: int | None = None) -> DataFrame:
     """Join to a table whose size is counted first: broadcast it if it is small, else deal both sides out by key and salt.
 
     `small` has one row for each key and should be durable, as it is counted and then read.  Beyond most_bytes each of
     its rows goes to every salt, so a key that a third of the big side holds is spread over as many tasks.
     """
-    if small.count() * row_bytes <= most_bytes:
+    if (small.count() * row_bytes if total_bytes is None else total_bytes) <= most_bytes:
         return big.join(F.broadcast(small), keys, how)
     salts = 32
     salted = big.withColumn("join_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))

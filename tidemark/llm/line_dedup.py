@@ -14,14 +14,10 @@ STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _key(line: Column, least: int) -> Column:
-    """128 bits of a line's key; null for keys under `least` code points."""
-    key = F.translate(F.btrim(line, F.lit(STRIPPED)), UPPER, LOWER)
-    return F.when(F.char_length(key) >= least, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2")))
-
-
 def _keys(text: Column, least: int) -> Column:
-    return F.transform(F.split(text, "\n", -1), lambda line: _key(line, least))
+    """For each line 128 bits of its key; null for keys under `least` code points."""
+    keys = F.transform(F.split(F.translate(text, UPPER, LOWER), "\n", -1), lambda line: F.btrim(line, F.lit(STRIPPED)))
+    return F.transform(keys, lambda k: F.when(F.char_length(k) >= least, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("second"), k).alias("h2"))))
 
 
 def line_keys(documents: DataFrame, least: int) -> DataFrame:
@@ -110,7 +106,9 @@ def drop_lines(documents: DataFrame, batches: Iterable[DataFrame], least: int =
         .agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
     )
     lines, lost_keys = F.split("text", "\n", -1), F.coalesce("lost", F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
-    stay = F.filter(lines, lambda line: F.coalesce(~F.array_contains(F.col("lost_keys"), _key(line, least)), F.lit(True)))
+    gone = F.transform(_keys(F.col("text"), least), lambda k: F.coalesce(F.array_contains(F.col("lost_keys"), k), F.lit(False)))
+    stay = F.filter(lines, lambda line, i: ~F.element_at(F.col("gone"), i + 1))
     kept = docs.join(lost, "row_no", "left").select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), "text", "lost", lost_keys.alias("lost_keys"))
+    kept = kept.withColumn("gone", F.when(F.col("lost").isNotNull(), gone))
     kept = kept.select("doc_id", "n_lines", F.when(F.col("lost").isNull(), lines).otherwise(stay).alias("stay"))
     return kept.select("doc_id", "n_lines", (F.col("n_lines") - F.size("stay")).alias("n_dropped"), F.array_join("stay", "\n").alias("kept"))

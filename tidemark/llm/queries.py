@@ -8,13 +8,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, line_dedup, packing, tokens
+from tidemark.llm import exact_dedup, fingerprints, html_extract, line_dedup, near_dedup, packing, pii, quality, tokens, toxicity
 from tidemark.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The key of the pseudonyms; a deployment sets its own.
+PII_KEY = "tidemark-pseudonyms-1"
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"), share=0.5, least_pages=10)
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_dedup.near_classes(table(spark, sf_dir, "documents"), least=0.8, n_bands=30, band_rows=6)
+    return classes.select("doc_id", "class_id", "class_size", "kept")
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE, outputs=False)
 
@@ -59,11 +88,31 @@ SQL = {
     """,
 }
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op7_best_fit_packing, op9_exact_dedup, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extraction,
+        op2_near_dedup,
+        op3_fingerprints,
+        op4_bpe,
+        op5_toxicity,
+        op6_quality,
+        op7_best_fit_packing,
+        op8_pii,
+        op9_exact_dedup,
+        op10_line_dedup,
+    )
+}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
