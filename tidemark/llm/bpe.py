@@ -44,7 +44,7 @@ class TrieEncoder:
             self.pair[a, b] = n
             self.parts[a + b] = (a, b)
             self.rank[a + b] = n
-        self.usable = {t for t in self.ids if len(t) == 1 or t in self.parts}
+        self.usable = {t: t for t in self.ids if len(t) == 1 or t in self.parts}
         #: the usable tokens, from their last symbol to their first; at "" stands the token
         self.backwards: dict = {}
         for t in self.usable:
@@ -95,18 +95,39 @@ class TrieEncoder:
     def encode(self, words: Iterable[str]) -> dict[str, list[int]]:
         """The ids of each distinct word (given in symbols)."""
         out: dict[str, list[int]] = {}
-        backwards, fits, ids = self.backwards, self.fits, self.ids
+        backwards, usable, fits, ids = self.backwards, self.usable, self.fits, self.ids
         if len(fits) > 1_000_000:
             fits.clear()
-        last: list[str] = [""]
+        last, begins = [""], [0]
         before = ""
         for word in sorted(set(words)):
             n = len(word)
             depth = len(last) - 1
             while word[:depth] != before[:depth]:
                 depth -= 1
-            del last[depth + 1 :]
+            del last[depth + 1 :], begins[depth + 1 :]
             for end in range(depth + 1, n + 1):
+                # one token alone stands at a node; most often it lengthens the token before it or is one symbol
+                start = begins[-1]
+                token = usable.get(word[start:end])
+                if token is not None:
+                    ahead = last[start]
+                    ok = not ahead or fits.get((ahead, token))
+                    if ok is None:
+                        ok = fits[ahead, token] = self._stand(ahead, token)
+                    if ok:
+                        last.append(token)
+                        begins.append(start)
+                        continue
+                if end > 1:
+                    ahead, token = last[-1], usable.get(word[end - 1])
+                    ok = fits.get((ahead, token))
+                    if ok is None:
+                        ok = fits[ahead, token] = token is not None and self._stand(ahead, token)
+                    if ok:
+                        last.append(token)
+                        begins.append(end - 1)
+                        continue
                 node, start, ending = backwards, end, []
                 while start:
                     start -= 1
@@ -127,11 +148,11 @@ class TrieEncoder:
                 else:
                     raise ValueError(f"no token ends in {word[:end]!r}")
                 last.append(token)
+                begins.append(end - len(token))
             found, end = [], n
             while end:
-                token = last[end]
-                found.append(ids[token])
-                end -= len(token)
+                found.append(ids[last[end]])
+                end = begins[end]
             found.reverse()
             out[word] = found
             before = word

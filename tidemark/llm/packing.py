@@ -41,7 +41,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id: int =
         return apply
 
     rows = id_and_text(documents, id_col, text_col)
-    return map_batches(rows, make, PIECES.format(id=rows.schema["doc_id"].dataType.simpleString()))
+    return map_batches(rows, make, PIECES.format(id=rows.schema["doc_id"].dataType.simpleString()), rows=4096)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import unicodedata
 from array import array
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -16,8 +18,8 @@ from tidemark.llm.common import id_and_text, map_batches
 
 #: Unicode white space, as the tokenizers' patterns take it (Python's own class has four control characters more).
 SPACE = " \t-\r\x85\xa0  -     　"
-#: Entries of a task's word cache before it starts anew.
-CACHED = 250_000
+#: Entries of a task's caches of chunks and of words before they start anew.
+CACHED = 200_000
 
 
 def _explicit(pattern: str) -> str:
@@ -51,42 +53,61 @@ class Chunks:
             self.chunk = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.words = regex.compile(_explicit(words))
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.alphabet = bpe.byte_alphabet()
-        back = {c: b for b, c in enumerate(self.alphabet)}
+        self.alphabet = dict(enumerate(bpe.byte_alphabet()))
+        back = {c: b for b, c in self.alphabet.items()}
         self.token_bytes = {}
         for token, i in self.encoder.ids.items():
             self.token_bytes[i] = bytes(back[c if ord(c) < bpe.TrieEncoder.SHIFT else chr(ord(c) - bpe.TrieEncoder.SHIFT)] for c in token)
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
         self.known: dict[str, bytes] = {}
+        self.packed: dict[str, bytes] = {}
+        self.old_known: dict[str, bytes] = {}
+        self.old_packed: dict[str, bytes] = {}
+        gc.freeze()  # the tables stay as long as the worker: later collections pass them over
 
     def split(self, text: str) -> list[str]:
-        """Chunks; a special token's text is a chunk of its own, and ends the white space before it."""
+        """Normalised chunks; a special token's text is a chunk of its own, and ends the white space before it."""
         if self.specials and "<|" in text and self.specials.search(text):
-            return [c for part in self.specials.split(text) for c in ([part] if part in self.special else self.chunk.findall(part))]
-        return self.chunk.findall(text)
+            return [c for part in self.specials.split(text) for c in ([part] if part in self.special else self.chunk.findall(self.normalize(part)))]
+        return self.chunk.findall(self.normalize(text))
+
+    def pieces(self, chunk: str) -> list[str]:
+        """A chunk's words, as the vocabulary's pattern parts them; letters alone are one word."""
+        letters = chunk[1:] if chunk[0] == " " else chunk
+        if letters.isalpha():
+            return [chunk]
+        if letters[-1:] in (".", ",", ";", ":") and letters[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.words.findall(chunk)
 
     def learn(self, chunks: set[str]) -> None:
-        known = self.known
+        """Encode the chunks that are not cached.  A full cache becomes the old one, whose entries come back when they are met again."""
+        known, packed = self.known, self.packed
         if len(known) > CACHED:
-            known.clear()
-        new = [c for c in chunks if c not in known]
-        word, alphabet = self.encoder.word, self.alphabet
-        pieces = {}
-        for c in new:
-            if c in self.special:
-                known[c] = array("I", [self.special[c]]).tobytes()
-            else:
-                pieces[c] = [word("".join([alphabet[b] for b in w.encode()])) for w in self.words.findall(self.normalize(c))]
-        ids = self.encoder.encode(w for ws in pieces.values() for w in ws)
-        packed = {w: array("I", x).tobytes() for w, x in ids.items()}
-        for c, ws in pieces.items():
-            known[c] = packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws])
+            self.old_known, self.known = known, (known := {})
+        if len(packed) > CACHED:
+            self.old_packed, self.packed = packed, (packed := {})
+        chunks = chunks.difference(known)
+        back = chunks.intersection(self.old_known)
+        known.update((c, self.old_known[c]) for c in back)
+        chunks -= back
+        special = self.special
+        known.update((c, array("I", [special[c]]).tobytes()) for c in chunks.intersection(special))
+        pieces = {c: self.pieces(c) for c in chunks.difference(special)}
+        new = set(chain.from_iterable(pieces.values())).difference(packed)
+        back = new.intersection(self.old_packed)
+        packed.update((w, self.old_packed[w]) for w in back)
+        new -= back
+        symbols = {w: self.encoder.word(w.encode().decode("latin-1").translate(self.alphabet)) for w in new}
+        ids = self.encoder.encode(symbols.values())
+        packed.update((w, array("I", ids[s]).tobytes()) for w, s in symbols.items())
+        known.update((c, packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws])) for c, ws in pieces.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
-        self.learn({c for cs in split for c in cs})
-        known = self.known
-        return [b"".join([known[c] for c in cs]) for cs in split]
+        self.learn(set(chain.from_iterable(split)))
+        get = self.known.__getitem__
+        return [b"".join(map(get, cs)) for cs in split]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.token_bytes.__getitem__, array("I", ids))).decode("utf-8", "replace")
@@ -133,4 +154,5 @@ def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_
         return apply
 
     rows = id_and_text(documents, id_col, text_col)
-    return map_batches(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
+    # the more words are walked together, the more prefixes they share
+    return map_batches(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}", rows=4096)
