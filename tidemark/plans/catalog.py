@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import features, flow  # noqa: F401  (modules register their queries when imported)
+from tidemark.plans import features, flow, screens  # noqa: F401  (modules register their queries when imported)
 from tidemark.plans.registry import QUERIES, SQL, Query
 
 

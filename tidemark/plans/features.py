@@ -45,10 +45,10 @@ _CUM = "OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)"
 
 
 @query(f"""WITH {BARS}, v AS (SELECT symbol, date, close, sum((high + low + close) / 3 * volume) {_CUM} / sum(volume) {_CUM} AS vwap FROM bars)
-    SELECT symbol, date, {R("vwap", 2)} AS vwap, {R("(close - vwap) / vwap", 4)} AS vwap_deviation FROM v""")
+    SELECT symbol, date, {R("vwap")} AS vwap, {R("(close - vwap) / vwap")} AS vwap_deviation FROM v""")
 def vwap(spark: SparkSession, sf: str) -> DataFrame:
     out = features.vwap(daily_bars(spark, sf)).select("symbol", "date", "vwap", "vwap_deviation")
-    return rounded(rounded(out, "vwap", digits=2), "vwap_deviation", digits=4)
+    return rounded(out, "vwap", "vwap_deviation")
 
 
 @query(f"""WITH {BARS}, s AS (SELECT *, coalesce(sign(close - lag(close) {W}) * volume, volume) AS sv FROM bars) SELECT symbol, date, CAST(sum(sv) {_CUM} AS DOUBLE) AS obv FROM s""")
