@@ -37,10 +37,11 @@ def log_ratio(a: Column | str, b: Column | str) -> Column:
 
 
 def clip(c: Column | str, low: float | None = None, high: float | None = None) -> Column:
+    """c within bounds; null stays null, which greatest and least alone would not keep."""
     c = col(c)
-    c = c if low is None else F.greatest(c, F.lit(low))
-    c = c if high is None else F.least(c, F.lit(high))
-    return F.when(c.isNotNull(), c)
+    held = c if low is None else F.greatest(c, F.lit(low))
+    held = held if high is None else F.least(held, F.lit(high))
+    return F.when(c.isNotNull(), held)
 
 
 def by(keys: str | list[str], order: str | list[str] | Column) -> WindowSpec:

@@ -106,9 +106,10 @@ def drop_lines(documents: DataFrame, batches: Iterable[DataFrame], least: int =
         .agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
     )
     lines, lost_keys = F.split("text", "\n", -1), F.coalesce("lost", F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
+    # zipped rather than looked up by place: an expression inside a lambda is evaluated for every line
     gone = F.transform(_keys(F.col("text"), least), lambda k: F.coalesce(F.array_contains(F.col("lost_keys"), k), F.lit(False)))
-    stay = F.filter(lines, lambda line, i: ~F.element_at(F.col("gone"), i + 1))
+    marked = F.zip_with(lines, gone, lambda line, lost: F.struct(line.alias("line"), lost.alias("lost")))
+    stay = F.transform(F.filter(marked, lambda m: ~m["lost"]), lambda m: m["line"])
     kept = docs.join(lost, "row_no", "left").select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), "text", "lost", lost_keys.alias("lost_keys"))
-    kept = kept.withColumn("gone", F.when(F.col("lost").isNotNull(), gone))
     kept = kept.select("doc_id", "n_lines", F.when(F.col("lost").isNull(), lines).otherwise(stay).alias("stay"))
     return kept.select("doc_id", "n_lines", (F.col("n_lines") - F.size("stay")).alias("n_dropped"), F.array_join("stay", "\n").alias("kept"))
