@@ -139,7 +139,9 @@ def train(documents: DataFrame, labels: DataFrame, p: Lsa = Lsa(), id_col: str =
         yield pa.RecordBatch.from_arrays([pa.array([basis.tobytes(), v.tobytes(), label.tobytes()], pa.binary())], ["part"])
 
     ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
-    basis, v, label = (bytes(r[0]) for r in ordered.mapInArrow(learn, "part binary").collect())  # a few MB, by p
+    learned = [bytes(r[0]) for r in ordered.mapInArrow(learn, "part binary").collect()]  # a few MB, by p
+    # Spark runs no task over a join that it knows to be empty
+    basis, v, label = learned or (np.zeros((p.features, p.dimensions), np.float32).tobytes(), b"", b"")
     return {
         "idf": idf,
         "basis": np.frombuffer(basis, np.float32).reshape(p.features, p.dimensions),

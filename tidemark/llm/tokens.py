@@ -22,6 +22,32 @@ SPACE = " \t-\r\x85\xa0  -     　"
 CACHED = 200_000
 
 
+#: Letters and numbers that the regex module knows and the vocabularies' own patterns, of Unicode 16, do not (fixed values).
+LATER_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 "
+    "18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 "
+    "1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+#: Lower case of letters that Python's tables do not have yet (fixed values).
+LATER_LOWER = {c: c + 1 for c in (0x1C89, 0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)} | {0xA7CB: 0x264, 0xA7DC: 0x19B}
+LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+def _set(ranges: str) -> str:
+    return "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in ranges.split())
+
+
+_LATER = regex.compile(f"[{_set(LATER_LETTERS + ' ' + LATER_NUMBERS)}]")
+_LATER_CAPITAL = regex.compile(f"[{''.join(map(chr, LATER_LOWER))}]")
+
+
+def _without_later(pattern: str) -> str:
+    """The pattern with the letters and numbers of Unicode 16 only."""
+    return "(?V1)" + pattern.replace(r"\p{L}", rf"[\p{{L}}--[{_set(LATER_LETTERS)}]]").replace(r"\p{N}", rf"[\p{{N}}--[{_set(LATER_NUMBERS)}]]")
+
+
 def _explicit(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
 
@@ -31,6 +57,8 @@ def lowered(text: str) -> str:
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFC", text)
+    if _LATER_CAPITAL.search(text):
+        text = text.translate(LATER_LOWER)
     return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
 
@@ -52,6 +80,7 @@ class Chunks:
             words = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
             self.chunk = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.words = regex.compile(_explicit(words))
+        self.later_words = regex.compile(_without_later(_explicit(words)))
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.alphabet = dict(enumerate(bpe.byte_alphabet()))
         back = {c: b for b, c in self.alphabet.items()}
@@ -78,7 +107,7 @@ class Chunks:
             return [chunk]
         if letters[-1:] in (".", ",", ";", ":") and letters[:-1].isalpha():
             return [chunk[:-1], chunk[-1]]
-        return self.words.findall(chunk)
+        return (self.later_words if not chunk.isascii() and _LATER.search(chunk) else self.words).findall(chunk)
 
     def learn(self, chunks: set[str]) -> None:
         """Encode the chunks that are not cached.  A full cache becomes the old one, whose entries come back when they are met again."""
