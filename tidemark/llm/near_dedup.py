@@ -20,6 +20,8 @@ from tidemark.llm.wordhash import mix, words
 
 _U = np.uint64
 SHINGLE = 5
+#: Pairs with one leader that a task compares.
+PAIRS_A_TASK = 512
 _FACTORS = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64))
 #: Ends of the intervals in which a uniform 64-bit number makes 0, 1, 2, ... darts in a cell of unit size.
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 13)]))
@@ -159,11 +161,15 @@ def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     pairs = durable(pairs)
     needed = durable(pairs.select(F.col("a").alias("row_no")).union(pairs.select("b")).distinct())
     sets = durable(_strips(sized_join(rows.select("row_no", "text"), needed, ["row_no"], "left_semi", row_bytes=16)))
-    of_b = sets.join(pairs.select(F.col("b").alias("row_no")).distinct(), "row_no", "left_semi").select(F.col("row_no").alias("b"), F.col("strips").alias("other"))
-    of_b = durable(of_b)
-    size = of_b.agg(F.sum(F.size("other") * 8)).first()[0] or 0
-    held = pairs.join(sets.select(F.col("row_no").alias("a"), "strips"), "a")
-    joined = sized_join(held, of_b, ["b"], "inner", total_bytes=size)
+    # a leader that many texts have is dealt to as many tasks as its pairs fill, and copied to no more than those
+    fan = durable(pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("salts")))
+    of_b = fan.join(sets.select(F.col("row_no").alias("b"), F.col("strips").alias("other")), "b")
+    of_b = of_b.select("b", "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
+    crowded = durable(fan.where(F.col("salts") > 1))
+    salt = F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1).cast("bigint")))
+    dealt = sized_join(pairs, crowded, ["b"], row_bytes=24).select("a", "b", salt.alias("salt"))
+    held = dealt.join(sets.select(F.col("row_no").alias("a"), "strips"), "a")
+    joined = held.join(of_b, ["b", "salt"])
     common = F.size(F.array_intersect("strips", "other"))
     return joined.where(common >= least * (F.size("strips") + F.size("other") - common)).select("a", "b")
 
