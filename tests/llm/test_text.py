@@ -53,6 +53,20 @@ def test_main_text_without_templates(spark):
     assert "Subscribe today" in few  # one page shows no template
 
 
+def test_templates_of_small_and_large_hosts(spark):
+    said = lambda n: " ".join(f"w{n}x{i}" for i in range(30))
+    advert = "Buy the finest garden chairs in town"
+    rows = [(n, "http://small.example/", f"<article><p>{said(n)}</p><div>{advert}</div><table><tr><td>0</td></tr></table></article>" if n < 3 else f"<article><p>{said(n)}</p></article>") for n in range(8)]
+    # marked on three pages of many, unmarked on one
+    rows += [(100 + n, "http://large.example/", f"<article><p>{said(n)}</p>" + (f'<div class="ad">{advert}</div>' if n < 3 else f"<div>{advert}</div>" if n == 3 else "") + "</article>") for n in range(60)]
+    # one article again and again, with other edits of its end
+    rows += [(200 + n, "http://copies.example/", f"<article><p>{said(1)}</p><p>A paragraph of all the versions</p><p>edit {n // 2}</p></article>") for n in range(12)]
+    found = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(found[n] == said(n) + ("\n0" if n < 3 else "") for n in range(8))
+    assert all(found[100 + n] == said(n) for n in range(60))
+    assert all(found[200 + n] == f"{said(1)}\nA paragraph of all the versions\nedit {n // 2}" for n in range(12))
+
+
 def test_deep_and_broken_markup():
     deep = "<div>" * 20000 + "x" + "</div>" * 10
     assert html_extract.text_of(html_extract.main_tree(deep), set()) == "x"

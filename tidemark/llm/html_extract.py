@@ -45,12 +45,14 @@ ENDS = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 
+FOUND = pa.list_(pa.struct([("subtree", pa.int64()), ("around", pa.int64()), ("short", pa.bool_())]))
+
 
 class Element:
-    __slots__ = ("tag", "attributes", "parts", "digest")
+    __slots__ = ("tag", "attributes", "parts", "digest", "full", "size")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.parts, self.digest = tag, attributes, [], 0
+        self.tag, self.attributes, self.parts, self.digest, self.full, self.size = tag, attributes, [], 0, 0, 0
 
     def named(self) -> dict[str, str]:
         return {a.lower(): html.unescape(b or c or d or "") for a, b, c, d in _ATTRIBUTE.findall(self.attributes)} if self.attributes.strip() else {}
@@ -133,32 +135,87 @@ def _main(root: Element) -> list[Element]:
     return [root]
 
 
-def main_tree(page: str) -> list[Element]:
-    """The main elements without boilerplate; each element with the hash of its subtree."""
-    tops = _main(parse(page))
+def _hash(order: list[Element], name: str) -> None:
+    """The hash of each element's tag and content, parents first in order."""
+    for e in reversed(order):
+        said = "\x00".join(" ".join(c.split()) if isinstance(c, str) else f"\x01{getattr(c, name)}" for c in e.parts)
+        setattr(e, name, xxhash.xxh3_64_intdigest(f"{e.tag}\x02{said}") - (1 << 63))
+
+
+def _order(tops: list[Element]) -> list[Element]:
+    """The elements in page order, parents first."""
+    order, stack = [], tops[::-1]
+    while stack:
+        order.append(e := stack.pop())
+        stack.extend(c for c in reversed(e.parts) if isinstance(c, Element))
+    return order
+
+
+def _split(page: str) -> tuple[list[Element], list[Element]]:
+    """All elements of the page, with the hash and the length of what they hold, and the main elements without boilerplate."""
+    root = parse(page)
+    whole = _order([root])
+    _hash(whole, "full")
+    for e in reversed(whole):
+        e.size = sum(len("".join(c.split())) if isinstance(c, str) else c.size for c in e.parts)
+    tops = _main(root)
     for top in tops:
-        order, stack = [], [top]
+        stack = [top]
         while stack:
             e = stack.pop()
             e.parts = [c for c in e.parts if isinstance(c, str) or not boilerplate(c, top.tag != "html")]
-            order.append(e)
             stack.extend(c for c in e.parts if isinstance(c, Element))
-        for e in reversed(order):
-            said = "\x00".join(" ".join(c.split()) if isinstance(c, str) else f"\x01{c.digest}" for c in e.parts)
-            e.digest = xxhash.xxh3_64_intdigest(f"{e.tag}\x02{said}") - (1 << 63)
-    return tops
+    _hash(_order(tops), "digest")
+    return whole, tops
 
 
-def subtrees(tops: list[Element]) -> set[int]:
-    """Hashes of the block elements with text below the main elements."""
-    found, stack = set(), [c for t in tops for c in t.parts]
-    while stack:
-        e = stack.pop()
-        if isinstance(e, Element):
-            if e.tag in BLOCK and e.parts:
-                found.add(e.digest)
-            stack.extend(e.parts)
-    return found
+def main_tree(page: str) -> list[Element]:
+    """The main elements without boilerplate; each element with the hash of its subtree before and after that."""
+    return _split(page)[1]
+
+
+def subtrees(page: str, short: int) -> tuple[int, dict[int, tuple[int, bool]], list[int]]:
+    """The hash of the main tree, the page's block elements with text, and the hashes of those in the main tree.
+
+    Elements are told by the hash of all they hold, and by that of what boilerplate leaves of them if it differs.  Each
+    comes with its surrounding, the longest block of the main text outside it, and with whether it has under `short`
+    characters.  Short ones outside the main tree (menu entries) and elements without a surrounding are left out.
+    """
+    whole, tops = _split(page)
+    order = _order(tops)
+    last, text, owner = {}, [[] for _ in order], {}
+    for i, e in enumerate(order):
+        block = owner[id(e)] = i if e.tag in BLOCK or i == 0 else owner.get(id(e), i)
+        for c in e.parts:
+            if isinstance(c, str):
+                text[block].append(c)
+            else:
+                owner[id(c)] = block
+    for i in range(len(order) - 1, -1, -1):
+        kids = [c for c in order[i].parts if isinstance(c, Element)]
+        last[id(order[i])] = (i, last[id(kids[-1])][1] if kids else i + 1)
+    said = [" ".join("".join(t).split()) for t in text]
+    before, after = [""], [""]  # the longest block before each place, and from it on
+    for t in said:
+        before.append(t if len(t) > len(before[-1]) else before[-1])
+    for t in reversed(said):
+        after.append(t if len(t) >= len(after[-1]) else after[-1])
+    after.reverse()
+    top_ids, found, own = {id(t) for t in tops}, {}, []
+    for e in whole:
+        if e.tag not in BLOCK or not e.size or id(e) in top_ids:
+            continue
+        place = last.get(id(e))
+        if place:
+            own += {e.full, e.digest}
+        elif e.size < short:
+            continue
+        start, end = place or (0, 0)
+        around = max(before[start], after[end], key=len)
+        if around:
+            for h in {e.full, e.digest} if place else {e.full}:
+                found.setdefault(h, (xxhash.xxh3_64_intdigest(around) - (1 << 63), e.size < short))
+    return xxhash.xxh3_64_intdigest(repr([t.digest for t in tops])) - (1 << 63), found, own
 
 
 def text_of(tops: list[Element], templates: set[int]) -> str:
@@ -175,7 +232,7 @@ def text_of(tops: list[Element], templates: set[int]) -> str:
                 now.append(e)
             elif e.tag == "br":
                 now.append(" ")
-            elif e is top or e.digest not in templates or e.tag not in BLOCK:
+            elif e is top or e.tag not in BLOCK or e.digest not in templates and e.full not in templates:
                 if e.tag in BLOCK:
                     blocks.append(now)
                     now = []
@@ -191,49 +248,56 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def site_templates(rows: DataFrame, share: float, least_pages: int) -> DataFrame:
-    """host, templates: the subtrees that more than `share` of the host's pages have, and least_pages at least.
-
-    Counts are taken over all pages: one row for each page and distinct subtree, summed by (host, subtree) before the
-    shuffle.  A page has a bounded number of subtrees and a template is on a share of the pages, so a host's list is
-    bounded by 1/share times a page's size.
-    """
+def site_subtrees(rows: DataFrame, short: int) -> DataFrame:
+    """row_no, host, top, found (subtree, around, short), own of every page, as `subtrees` gives them; kept, as it is read twice."""
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [sorted(subtrees(main_tree(p))) for p in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["host", "subtrees"])
+            each = [subtrees(p, short) for p in batch.column(2).to_pylist()]
+            found = [[{"subtree": h, "around": around, "short": little} for h, (around, little) in f.items()] for _, f, _ in each]
+            columns = [batch.column(0), batch.column(1), pa.array([t for t, *_ in each], pa.int64()), pa.array(found, FOUND), pa.array([o for *_, o in each], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["row_no", "host", "top", "found", "own"])
 
         return apply
 
-    each = map_batches(rows.select("host", "html"), make, "host string, subtrees array<bigint>")
-    # a row without subtree counts the page itself
-    counted = each.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "subtrees")).alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    counted = durable(counted.where((F.col("n") >= least_pages) | F.col("subtree").isNull()))
-    pages = counted.where(F.col("subtree").isNull()).select("host", F.col("n").alias("n_pages"))
-    often = sized_join(counted.where(F.col("subtree").isNotNull()), pages, ["host"], "inner", row_bytes=64).where(F.col("n") > share * F.col("n_pages"))
-    return often.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    return durable(map_batches(rows.select("row_no", "host", "html"), make, "row_no bigint, host string, top bigint, found array<struct<subtree:bigint,around:bigint,short:boolean>>, own array<bigint>"))
+
+
+def site_templates(each: DataFrame, least: int, share: float) -> DataFrame:
+    """host, subtree of the subtrees that stand among at least `least` different surroundings on a host.
+
+    A short one, such as a cell or a heading that articles share by chance, also has to stand among more than `share`
+    times as many surroundings as the host has different main trees.  Counts are taken over all pages; repeated pages and
+    the versions of an article that share their longest block give one surrounding, so a repeated article is no template.
+    """
+    trees = each.groupBy("host").agg(F.count_distinct("top").alias("n_trees"))
+    counted = each.select("host", F.explode("found").alias("f")).groupBy("host", "f.subtree").agg(F.count_distinct("f.around").alias("n"), F.min("f.short").alias("short"))
+    often = durable(counted.where(F.col("n") >= least))
+    return sized_join(often, durable(trees), ["host"], "inner", row_bytes=64).where(~F.col("short") | (F.col("n") > share * F.col("n_trees"))).select("host", "subtree")
 
 
-def main_text(pages: DataFrame, share: float = 0.5, least_pages: int = 10, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, least: int = 3, short: int = 20, share: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Subtrees that recur on more than `share` of a host's pages go, whatever their names; articles that a host repeats
-    on many pages are not a template below that share.  A null or empty html gives an empty text; a null url is the
-    host of all pages without one.  Repeated rows count as pages of their own.  An empty table gives an empty result.
+    Subtrees that recur among at least `least` different surroundings on a host go, whatever their names; those under
+    `short` characters only if more than `share` of the host's different main trees have them.  A null or empty html
+    gives an empty text; a null url is the host of all pages without one.  An empty table gives an empty result.
     Other columns are not read.
     """
     rows = numbered(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")))
     rows = rows.withColumn("host", host_of(F.col("url")))
-    templates = durable(site_templates(rows, share, least_pages))
-    size = templates.agg(F.sum(F.size("templates") * 8 + 64)).first()[0] or 0
+    each = site_subtrees(rows, short)
+    templates = durable(site_templates(each, least, share))
+    own = each.select("row_no", "host", F.explode("own").alias("subtree"))
+    hits = durable(sized_join(own, templates, ["host", "subtree"], "inner", row_bytes=96).groupBy("row_no").agg(F.collect_set("subtree").alias("templates")))
+    size = hits.agg(F.sum(F.size("templates") * 8 + 64)).first()[0] or 0
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [text_of(main_tree(p), set(t or ())) for p, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
         return apply
 
-    joined = sized_join(rows, templates, ["host"], total_bytes=size).select("page_id", "url", "html", "templates")
+    joined = rows.join(F.broadcast(hits) if size <= 32 << 20 else hits, "row_no", "left").select("page_id", "url", "html", "templates")
     return map_batches(joined, make, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")
