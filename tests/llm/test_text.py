@@ -98,6 +98,23 @@ def test_invalid_values_stay():
         assert pseudonymise(text, KEY)[0] == text
 
 
+def test_values_beside_other_groups():
+    card, groups = "4111111111111111", "4111 1111 1111 1111"
+    texts = [f"{groups} 123", f"{card} 12/27", f"no 17 {card}", f"{card}-123", f"{groups}-1234", f"17-{card}", f"1234 5678 {groups}", f"{card} 5500005555555559"]
+    for text in texts:
+        new, spans = pseudonymise(text, KEY)
+        assert card not in re.sub(r"\D", "", new) and {kind for kind, *_ in spans} == {"card"}, text
+        for kind, a, n in spans:
+            assert luhn(re.sub(r"\D", "", new[a : a + n]))
+    assert len(pseudonymise(texts[-1], KEY)[1]) == 2
+    for iban, after in (("BE68 5390 0754 7034", " BIC KREDBEBB"), ("AT61 1904 3002 3457 3201", " BIC: X"), ("ES91 2100 0418 4502 0005 1332", " BIC"), ("BE68539007547034", " 123")):
+        new, spans = pseudonymise(iban + after, KEY)
+        assert new.endswith(after) and [tuple(s) for s in spans] == [("iban", 0, len(iban))] and new[: len(iban)] != iban
+        assert pseudonymise("QQ10 " + iban, KEY)[0].endswith(pseudonymise(iban, KEY)[0])
+    table = "1 22 333 " * 20000
+    assert len(pseudonymise(table + "12a", KEY)[0]) == len(table) + 3
+
+
 def test_pii_spans_point_at_the_new_values(spark):
     table = cases.documents(spark, [None, "call 212-555-0187 or a@b.example now", "plain"])
     found = {r.doc_id: r for r in pii.pii(table, "key").collect()}

@@ -12,6 +12,7 @@ import calendar
 import datetime
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Callable
 
 import pandas as pd
@@ -165,6 +166,19 @@ def _pattern(text: str) -> re.Pattern:
     return re.compile(text.replace(r"\d", "[0-9]"))  # ASCII digits only
 
 
+#: Characters of an IBAN by country, as registered.
+IBAN_SIZES = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18,
+    "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23,
+    "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28,
+    "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
+    "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+#: A card number with others that stand beside it: twice the digits of the longest, so that each start sees its longest span.
+_CARD = r"\d(?:[ -]?\d){12,37}(?![\w-]|\.\d)"
+
 WORDS = ("password", "passwd", "token", "secret", "api_key", "apikey")
 #: kind, pattern, pseudonym (None: not a valid value, left alone); an earlier kind takes a place before a later one.
 KINDS: list[tuple[str, re.Pattern, Callable]] = [
@@ -172,13 +186,44 @@ KINDS: list[tuple[str, re.Pattern, Callable]] = [
     ("secret", _pattern(r"""((?i:\b(?:password|passwd|token|secret|api_?key)\s*[=:]\s*["']?))([A-Za-z0-9]{8,64})\b"""), _secret),
     ("mail", _pattern(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"), _mail),
     ("iban", _pattern(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), _iban),
-    ("card", _pattern(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"), _card),
+    ("card", _pattern(r"(?<![\w.-])" + _CARD), _card),
     ("social", _pattern(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _social),
     ("date", _pattern(r"(?<![\w./-])(?:(?P<iso>(?:19|20)\d\d([-/.])\d\d\2\d\d)|(?P<dmy>\d\d([-/.])\d\d\4(?:19|20)\d\d)|(?P<day>\d{1,2}) (?P<month>(?i:" + "|".join(_MONTHS) + r")) (?P<year>(?:19|20)\d\d))(?![\w/-]|\.\d)"), _date),
     ("address", _pattern(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), _address),
     ("phone", _pattern(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])"), _phone),
 ]
 _DIGIT = re.compile("[0-9]")
+_GROUP, _SPAN, _NEXT_CARD = re.compile("[A-Z0-9]+"), re.compile(".+", re.S), _pattern(_CARD)
+
+
+def _values(kind: str, pattern: re.Pattern, make: Callable, text: str, key: bytes, free: Callable[[int, int], bool]):
+    """Place and pseudonym of the values of a kind.
+
+    A run of groups may hold a card number or an IBAN and something beside it.  So spans from its first group on are
+    tried: of an IBAN the length of the country, then the whole; of a card the longest first, and those that a hyphen
+    follows last.  If none is valid, the search goes on after the first group.
+    """
+    found = pattern.search(text)
+    while found:
+        (a, b), value = found.span(), None
+        if kind not in ("card", "iban"):
+            if free(a, b) and (value := make(found, key)) is not None:
+                yield a, b, value
+            found = pattern.search(text, b)
+            continue
+        ends = [g.end() for g in _GROUP.finditer(text, a, b)]
+        if kind == "iban":
+            tried = [*(e for e in ends if e - a - text.count(" ", a, e) == IBAN_SIZES.get(text[a : a + 2])), b]
+        else:
+            tried = sorted(ends, key=lambda e: (text[e : e + 1] == "-", -e))
+        for e in tried:
+            if free(a, e) and (value := make(_SPAN.fullmatch(text, a, e), key)) is not None:
+                yield a, e, value
+                found = pattern.search(text, e)
+                break
+        else:
+            after = kind == "card" and text[ends[0] : ends[0] + 1] == "-" and _NEXT_CARD.match(text, ends[0] + 1)
+            found = after or pattern.search(text, ends[0])
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
@@ -187,18 +232,18 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     worded = any(w in low for w in WORDS)
     if not (digit or worded or "@" in text):
         return text, []
-    taken: list[tuple[int, int, str, str]] = []
+    taken: list[tuple[int, int, str, str]] = []  # in order of their places, none over another
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_left(taken, (b,))
+        return not i or taken[i - 1][1] <= a
+
     for kind, pattern, make in KINDS:
         if "@" in text if kind == "mail" else digit or worded:
-            for found in pattern.finditer(text):
-                a, b = found.span()
-                if any(a < y and x < b for x, y, *_ in taken):
-                    continue
-                new = make(found, key)
-                if new is not None:
-                    taken.append((a, b, kind, new))
+            for a, b, new in _values(kind, pattern, make, text, key, free):
+                insort(taken, (a, b, kind, new))
     out, spans, at, size = [], [], 0, 0
-    for a, b, kind, new in sorted(taken):
+    for a, b, kind, new in taken:
         out += [text[at:a], new]
         size += a - at
         spans.append((kind, size, len(new)))
