@@ -115,6 +115,15 @@ def test_values_beside_other_groups():
     assert len(pseudonymise(table + "12a", KEY)[0]) == len(table) + 3
 
 
+def test_addresses_of_every_first_octet():
+    for first in range(256):
+        text = f"from {first}.104.120.7 on"
+        new, spans = pseudonymise(text, KEY)
+        assert [kind for kind, *_ in spans] == ["address"] and new != text
+        assert all(0 <= int(p) <= 255 for p in new.split()[1].split("."))
+    assert pseudonymise("256.1.1.1", KEY)[1] == []
+
+
 def test_pii_spans_point_at_the_new_values(spark):
     table = cases.documents(spark, [None, "call 212-555-0187 or a@b.example now", "plain"])
     found = {r.doc_id: r for r in pii.pii(table, "key").collect()}

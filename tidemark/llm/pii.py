@@ -107,13 +107,9 @@ def _social(found: re.Match, key: bytes) -> str | None:
 
 def _address(found: re.Match, key: bytes) -> str | None:
     parts = [int(p) for p in found[0].split(".")]
-    if max(parts) > 255 or not 1 <= parts[0] <= 223:
+    if max(parts) > 255:
         return None
-    value = int.from_bytes(bytes(parts), "big")
-    while True:
-        value = feistel(value, 1 << 32, key, "ipv4")
-        if 1 <= value >> 24 <= 223:
-            return ".".join(map(str, value.to_bytes(4, "big")))
+    return ".".join(map(str, feistel(int.from_bytes(bytes(parts), "big"), 1 << 32, key, "ipv4").to_bytes(4, "big")))
 
 
 def _mail(found: re.Match, key: bytes) -> str:
@@ -270,7 +266,7 @@ def pii(documents: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     """doc_id, text (with pseudonyms), n_found, spans (kind, start, length in the new text) of every document.
 
     Numbers count only if they are valid: card numbers by Luhn's rule, IBANs by their check digits, social security
-    numbers and IPv4 addresses by their ranges, dates by the calendar.  A null text counts as empty.  Rows are
+    numbers by their ranges, IPv4 addresses by octets up to 255, dates by the calendar.  A null text counts as empty.  Rows are
     independent of each other: repeated rows give repeated results, and no state grows with the corpus.  An empty
     table gives an empty result.  Other columns are not read.
     """
