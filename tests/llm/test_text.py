@@ -67,6 +67,22 @@ def test_templates_of_small_and_large_hosts(spark):
     assert all(found[200 + n] == f"{said(1)}\nA paragraph of all the versions\nedit {n // 2}" for n in range(12))
 
 
+def test_wrappers_named_like_boilerplate():
+    text = lambda page: html_extract.text_of(html_extract.main_tree(page), set())
+    for page in (
+        '<div class="layout has-sidebar"><article><p>told</p></article></div>',
+        '<div id="page" class="no-banner"><main><p>told</p></main></div>',
+        '<section class="social-policy"><p>told</p></section>',
+        '<article class="post comments-open"><p>told</p></article>',
+        '<div class="sidebar-right"><article class="entry related-no"><p>told</p></article></div>',
+        '<div class="banner"><div role="main" class="social"><p>told</p></div></div><article>other</article>',
+        '<main><div class="content no-sidebar"><article><p>told</p></article></div><ol class="comment-list"><li>said</ol></main>',
+        '<article><p>told</p></article><div class="related-posts"><article>other</article></div>',
+        '<p>told</p><div class="siteFooter">c</div><div id="google-ad">buy</div><div class="main-nav">Home</div><div id="comments"><article class="comment-body">said</article></div>',
+    ):
+        assert text(page) == "told", page
+
+
 def test_deep_and_broken_markup():
     deep = "<div>" * 20000 + "x" + "</div>" * 10
     assert html_extract.text_of(html_extract.main_tree(deep), set()) == "x"

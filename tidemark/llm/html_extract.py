@@ -38,6 +38,12 @@ MARKS = set(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup "
     "promo promoted related respond responses share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that make a compound with a mark, such as site-footer or related-posts; any other word beside a mark (has-sidebar, no-banner,
+#: social-policy, comments-open) tells something else.
+BESIDE = set(
+    "site page main top bottom left right primary secondary global blog entry post posts article articles list area box block bar slot unit google "
+    "container wrapper wrap inner outer section item items link links button buttons btn icon icons form body thread title widget text image".split()
+)
 ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 #: An element that starts while one of these is open ends it, looking no further than the listed borders.
 ENDS = {
@@ -105,7 +111,18 @@ def _end(stack: list[Element], tags: set[str], borders: set[str]) -> None:
             return
 
 
-def boilerplate(e: Element, in_main: bool) -> bool:
+def marked(e: Element, in_main: bool, named: dict[str, str] | None = None) -> bool:
+    """Whether a whole class, or the id, is a mark or a compound of one."""
+    named = e.named() if named is None else named
+    for token in (named.get("class", "") + " " + named.get("id", "")).split():
+        words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
+        marks = (words & MARKS) - ({"header"} if in_main else set())
+        if marks and words <= MARKS | BESIDE and (e.tag not in ("article", "main") or marks & {"comment", "comments", "ad", "advert", "related", "promo"}):
+            return True
+    return False
+
+
+def boilerplate(e: Element, in_main: bool, by_name: bool = True) -> bool:
     """Whether an element is a menu, header, footer, sidebar, notice, advert, form or readers' comments by its tag, role or names."""
     if e.tag in DROPPED or e.tag == "header" and not in_main:
         return True
@@ -114,24 +131,26 @@ def boilerplate(e: Element, in_main: bool) -> bool:
         return False
     if "hidden" in named or named.get("aria-hidden") == "true" or named.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", named.get("style", ""), re.I):
         return True
-    words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named.get("class", "") + " " + named.get("id", "")).lower())
-    marks = MARKS.intersection(words) - ({"header"} if in_main else set())
-    return bool(marks) and e.tag not in ("article", "main") or bool(marks & {"comment", "comments", "ad", "advert", "related", "promo"})
+    return by_name and marked(e, in_main, named)
 
 
 def _main(root: Element) -> list[Element]:
-    """The outermost main element, else the outermost articles, else the whole page."""
+    """The outermost main element, else the outermost articles, else the whole page.
+
+    Each is looked for outside elements that are boilerplate by their names, then also inside them.
+    """
     for wanted in (lambda e: e.tag == "main" or e.named().get("role") == "main", lambda e: e.tag == "article"):
-        found, stack = [], [root]
-        while stack:
-            e = stack.pop()
-            if e is not root and wanted(e):
-                if not boilerplate(e, True):
-                    found.append(e)
-            elif e is root or not boilerplate(e, False) or e.tag == "header":
-                stack.extend(c for c in reversed(e.parts) if isinstance(c, Element))
-        if found:
-            return found
+        for by_name in (True, False):
+            found, stack = [], [root]
+            while stack:
+                e = stack.pop()
+                if e is not root and wanted(e):
+                    if not boilerplate(e, True, e.tag != "main" and e.named().get("role") != "main"):
+                        found.append(e)
+                elif e is root or not boilerplate(e, False, by_name) or e.tag == "header":
+                    stack.extend(c for c in reversed(e.parts) if isinstance(c, Element))
+            if found:
+                return found
     return [root]
 
 
