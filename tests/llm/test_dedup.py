@@ -141,3 +141,45 @@ def test_signature_agreement_estimates_weighted_jaccard():
 def test_classes_reach_through_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     assert {r.node: r.label for r in near_dedup.components(links).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_components_go_on_from_earlier_labels(spark):
+    edge = lambda *rows: spark.createDataFrame(list(rows), "a bigint, b bigint")
+    labels = near_dedup.components(edge((5, 4), (4, 3), (9, 8)))
+    more = near_dedup.components(edge((9, 5), (2, 8), (7, 6), (4, 3)), labels)
+    assert {r.node: r.label for r in more.collect()} == {2: 2, 3: 2, 4: 2, 5: 2, 8: 2, 9: 2, 6: 6, 7: 6}
+    none = near_dedup.components(spark.createDataFrame([], "a bigint, b bigint"), labels)
+    assert {r.node: r.label for r in none.collect()} == {3: 3, 4: 3, 5: 3, 8: 8, 9: 8}
+
+
+def test_large_groups_of_edited_copies_keep_all_their_links(spark):
+    """Copies edited too far from most others, a passage that makes up most of many texts, and repeats of both."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    base, passage, rows = [word() for _ in range(90)], [word() for _ in range(170)], []
+    for _ in range(160):
+        copy = list(base)
+        for at in rng.sample(range(90), rng.choice([1, 1, 2, 2, 3, 3, 4])):
+            copy[at] = word()
+        rows.append(" ".join(copy))
+    for _ in range(60):
+        own = [word() for _ in range(rng.randrange(8, 45))]
+        rows += [" ".join(passage + own)] + [" ".join(passage + own[:-1])] * rng.randrange(2)
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    truth = brute_classes(rows, 0.8)
+    assert 10 < len(set(truth)) < 150
+    found = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [found[i] for i, _ in rows] == truth
+
+
+def test_pairs_that_are_alike_always_meet():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("ab", k=rng.randrange(5, 400))) for _ in range(60)]
+    of, strips, _ = near_dedup.elements(texts)
+    bits = near_dedup.sketches(of, strips, len(texts)).view("uint64")
+    sets = [set(strips[of == i].tolist()) for i in range(len(texts))]
+    for a in range(60):
+        for b in range(a):
+            apart = sum(int(x ^ y).bit_count() for x, y in zip(bits[a].tolist(), bits[b].tolist(), strict=True))
+            assert apart <= len(sets[a] ^ sets[b])

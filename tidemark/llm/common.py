@@ -1,8 +1,10 @@
-"""Helpers shared by the text operators: tables, durable cuts of lineage, Arrow batches."""
+"""Helpers shared by the text operators: tables, cuts of lineage, Arrow batches, joins by size."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,17 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where the session names none, as in tests."""
+    """The folder that driver and executors share.  Only a local session that names none, as in tests, gets one of this machine."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Run df once and keep its rows in the shared checkpoint folder, so that a lost executor costs a read, not a recount."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Run df once and keep its rows as a table in the shared folder, so that a lost executor costs a read, not a recount.
+
+    A table has true sizes and single columns to read, which the planner needs where many such tables are joined.  The
+    tables go when the application ends.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/table-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())
 
 
 def numbered(df: DataFrame, name: str = "row_no") -> DataFrame:
@@ -50,15 +62,30 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", row_bytes: int = 64, most_bytes: int = 32 << 20, total_bytes: int | None = None) -> DataFrame:
-    """Join to a table whose size is counted first: broadcast it if it is small, else deal both sides out by key and salt.
+#: Rows of one key that one task joins.
+HOT_ROWS = 100_000
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """keys, join_salts of the keys with more than HOT_ROWS rows; there are no more of them than all rows / HOT_ROWS."""
+    return durable(counts.where(F.col(n) > HOT_ROWS).select(*keys, F.ceil(F.col(n) / HOT_ROWS).alias("join_salts")))
+
+
+def sized_join(
+    big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", row_bytes: int = 64, most_bytes: int = 32 << 20, total_bytes: int | None = None, hot: DataFrame | None = None
+) -> DataFrame:
+    """Join to a table whose size is counted first: broadcast it if it is small, else shuffle both sides by key.
 
-    `small` has one row for each key and should be durable, as it is counted and then read.  Beyond most_bytes each of
-    its rows goes to every salt, so a key that a third of the big side holds is spread over as many tasks.
+    `small` has one row for each key and should be durable, as it is counted and then read.  `hot`, of `hot_keys`, names
+    the keys that many rows of the big side have: only those are dealt out by a salt as well, and only their rows of the
+    small side are copied, once for each salt.  Other skew is left to the adaptive join, which splits large partitions.
     """
     if (small.count() * row_bytes if total_bytes is None else total_bytes) <= most_bytes:
         return big.join(F.broadcast(small), keys, how)
-    salts = 32
-    salted = big.withColumn("join_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    copies = small.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if hot is None or not (n_hot := hot.count()):
+        return big.join(small, keys, how)
+    few = F.broadcast(hot) if n_hot * 64 <= most_bytes else hot
+    salts = F.coalesce("join_salts", F.lit(1).cast("bigint"))
+    salted = big.join(few, keys, "left").withColumn("join_salt", F.pmod(F.monotonically_increasing_id(), salts)).drop("join_salts")
+    copies = small.join(few, keys, "left").withColumn("join_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("join_salts")
     return salted.join(copies, [*keys, "join_salt"], how).drop("join_salt")
