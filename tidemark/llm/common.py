@@ -66,23 +66,22 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 HOT_ROWS = 100_000
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """keys, join_salts of the keys with more than HOT_ROWS rows; there are no more of them than all rows / HOT_ROWS."""
-    return durable(counts.where(F.col(n) > HOT_ROWS).select(*keys, F.ceil(F.col(n) / HOT_ROWS).alias("join_salts")))
-
-
 def sized_join(
-    big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", row_bytes: int = 64, most_bytes: int = 32 << 20, total_bytes: int | None = None, hot: DataFrame | None = None
+    big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", row_bytes: int = 64, most_bytes: int = 32 << 20, total_bytes: int | None = None, counts: DataFrame | None = None
 ) -> DataFrame:
     """Join to a table whose size is counted first: broadcast it if it is small, else shuffle both sides by key.
 
-    `small` has one row for each key and should be durable, as it is counted and then read.  `hot`, of `hot_keys`, names
-    the keys that many rows of the big side have: only those are dealt out by a salt as well, and only their rows of the
-    small side are copied, once for each salt.  Other skew is left to the adaptive join, which splits large partitions.
+    `small` has one row for each key and should be durable, as it is counted and then read.  `counts`, keys and
+    `key_rows`, tells how many rows of the big side a key has: keys with more than HOT_ROWS are dealt out by a salt as
+    well, and only their rows of the small side are copied, once for each salt; there are no more such keys than
+    all rows / HOT_ROWS.  Other skew is left to the adaptive join, which splits large partitions.
     """
     if (small.count() * row_bytes if total_bytes is None else total_bytes) <= most_bytes:
         return big.join(F.broadcast(small), keys, how)
-    if hot is None or not (n_hot := hot.count()):
+    if counts is None:
+        return big.join(small, keys, how)
+    hot = durable(counts.where(F.col("key_rows") > HOT_ROWS).select(*keys, F.ceil(F.col("key_rows") / HOT_ROWS).alias("join_salts")))
+    if not (n_hot := hot.count()):
         return big.join(small, keys, how)
     few = F.broadcast(hot) if n_hot * 64 <= most_bytes else hot
     salts = F.coalesce("join_salts", F.lit(1).cast("bigint"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, hot_keys, map_batches, numbered, sized_join
+from tidemark.llm.common import durable, map_batches, numbered, sized_join
 from tidemark.llm.wordhash import mix, words
 
 _U = np.uint64
@@ -159,24 +159,21 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """
     if labels is not None:
         joined = durable(_apart(links, labels).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
+        if joined.isEmpty():
+            return labels
         moved = components(joined).select(F.col("node").alias("label"), F.col("label").alias("further"))
         old = sized_join(labels, moved, ["label"]).select("node", F.coalesce("further", "label").alias("label"))
         new = moved.select(F.col("label").alias("node"), F.col("further").alias("label"))
         return durable(old.union(sized_join(new, labels.select("node"), ["node"], "left_anti")))
-    both = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    total = None
-    while True:
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels
-        total = now
+    both = links.select("a", "b").union(links.select("b", "a"))
+    labels = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"), F.lit(True).alias("fell")))
+    while not labels.where("fell").isEmpty():
         near = sized_join(both, labels.select(F.col("node").alias("b"), "label"), ["b"], "inner").groupBy("a").agg(F.min("label").alias("m"))
-        fallen = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("label"))
-        jump = durable(fallen)
-        labels = durable(
-            sized_join(jump, jump.select(F.col("node").alias("label"), F.col("label").alias("further")), ["label"]).select("node", F.least("label", "further").alias("label"))
-        )
+        fallen = labels.join(near, labels["node"] == near["a"]).select("node", "label", "m")
+        jump = sized_join(fallen, labels.select(F.col("node").alias("label"), F.col("label").alias("further")), ["label"])
+        low = F.least("m", "further")
+        labels = durable(jump.select("node", F.least("label", low).alias("label"), (low < F.col("label")).alias("fell")))
+    return labels.select("node", "label")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -190,13 +187,14 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (a, b), kept tables both, whose multisets of shingles have that weighted Jaccard similarity."""
+    if pairs.isEmpty():
+        return pairs
     # a leader that many texts have is dealt to as many tasks as its pairs fill, and copied to no more than those
-    fan = durable(pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("salts")))
-    of_b = fan.join(sets.select(F.col("row_no").alias("b"), F.col("strips").alias("other")), "b")
-    of_b = of_b.select("b", "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-    crowded = durable(fan.where(F.col("salts") > 1))
-    salt = F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1).cast("bigint")))
-    dealt = sized_join(pairs, crowded, ["b"], row_bytes=24).select("a", "b", salt.alias("salt"))
+    crowded = durable(pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("salts")).where("salts > 1"))
+    salts = F.coalesce("salts", F.lit(1).cast("bigint"))
+    of_b = sized_join(pairs.select("b").distinct(), crowded, ["b"], row_bytes=24).join(sets.select(F.col("row_no").alias("b"), F.col("strips").alias("other")), "b")
+    of_b = of_b.select("b", "other", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
+    dealt = sized_join(pairs, crowded, ["b"], row_bytes=24).select("a", "b", F.pmod(F.xxhash64("a"), salts).alias("salt"))
     held = dealt.join(sets.select(F.col("row_no").alias("a"), "strips"), "a")
     joined = held.join(of_b, ["b", "salt"])
     common = F.size(F.array_intersect("strips", "other"))
@@ -220,12 +218,11 @@ def near_classes(documents: DataFrame, least: float = 0.8, n_bands: int = 30, ba
     labels = _linked(durable(first), rows, least)
     by_text = texts.join(labels, texts["row_no"] == labels["node"], "left").select("c1", "c2", "n_rows", F.coalesce("label", "row_no").alias("class_no"))
     by_text = durable(by_text)
-    copied = hot_keys(by_text, ["c1", "c2"], "n_rows")
-    in_class = durable(sized_join(signed.select("doc_id", "row_no", "c1", "c2"), by_text.drop("n_rows"), ["c1", "c2"], "inner", hot=copied).select("doc_id", "row_no", "class_no"))
+    in_class = durable(sized_join(signed.select("doc_id", "row_no", "c1", "c2"), by_text.drop("n_rows"), ["c1", "c2"], "inner", counts=by_text.select("c1", "c2", F.col("n_rows").alias("key_rows"))).select("doc_id", "row_no", "class_no"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("row_no").alias("row_no"))
     classes = in_class.groupBy("class_no").agg(F.min(order).alias("best"), F.count("*").alias("class_size"))
     many = durable(classes.where(F.col("class_size") > 1))
-    joined = sized_join(in_class, many, ["class_no"], hot=hot_keys(many, ["class_no"], "class_size"))
+    joined = sized_join(in_class, many, ["class_no"], counts=many.select("class_no", F.col("class_size").alias("key_rows")))
     return joined.select(
         "doc_id",
         "row_no",
@@ -245,8 +242,7 @@ def _linked(first: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     member = first.where(F.col("weight") > 0).select("row_no", "weight", F.explode("bands").alias("bucket"))
     leaders = member.groupBy("bucket").agg(F.min(F.struct("row_no", "weight")).alias("leader"), F.count("*").alias("n"))
     leaders = durable(leaders.where(F.col("n") > 1).select("bucket", F.col("leader.row_no").alias("b"), F.col("leader.weight").alias("b_weight"), "n"))
-    crowded = hot_keys(leaders, ["bucket"], "n")
-    members = durable(sized_join(member.withColumnRenamed("row_no", "a"), leaders.drop("n"), ["bucket"], "inner", row_bytes=48, hot=crowded))
+    members = durable(sized_join(member.withColumnRenamed("row_no", "a"), leaders.drop("n"), ["bucket"], "inner", row_bytes=48, counts=leaders.select("bucket", F.col("n").alias("key_rows"))))
     needed = durable(members.select(F.col("a").alias("row_no")).distinct())
     sets = durable(_strips(sized_join(rows.select("row_no", "text"), needed, ["row_no"], "left_semi", row_bytes=16)))
     alike = F.least("weight", "b_weight") >= least * F.greatest("weight", "b_weight")
@@ -296,7 +292,7 @@ def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, least: float
     open_ = durable(_mixed(sized_join(tagged, able, ["a"], "inner", row_bytes=128)))
     centre = open_.groupBy("bucket").agg(F.min_by(F.struct("a", "label", "weight", "shared", "bits"), F.struct(F.col("weight") - F.col("shared"), "a")).alias("c"), F.count("*").alias("n"))
     centre = durable(centre.select("bucket", "c.*", "n"))
-    to_centre = sized_join(open_.alias("x"), centre.alias("y"), ["bucket"], "inner", row_bytes=128, hot=hot_keys(centre, ["bucket"], "n"))
+    to_centre = sized_join(open_.alias("x"), centre.alias("y"), ["bucket"], "inner", row_bytes=128, counts=centre.select("bucket", F.col("n").alias("key_rows")))
     to_centre = to_centre.where((F.col("x.label") != F.col("y.label")) & _fits("x", "y", least))
     tried = durable(to_centre.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct())
     labels = components(_verified(tried, sets, least), labels)
