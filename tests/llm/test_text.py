@@ -175,3 +175,31 @@ def test_scores_depend_on_the_text_alone(spark):
     for f in (toxicity.toxicity, quality.quality):
         score = {r.doc_id: r.score for r in f(table, labels).collect()}
         assert score[1000] == score[3] and score[1001] == score[4]
+
+
+def test_very_long_values_and_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    key = b"k" * 32
+    text, spans = pii.pseudonymise("a" * 10_000 + "b@example.org and " + " ".join(["2020-02-03"] * 20_000), key)
+    assert len(spans) == 20_001 and text.count("@example.org") == 1
+    deep = html_extract.parse("<div>" * 200_000 + "x" + "</b>" * 1000)
+    assert deep.tag == "html"
+    assert time.time() - began < 60
+
+
+def test_long_values_stay_a_permutation():
+    key = b"k" * 32
+    values = [("ab" * 100)[:i] + c + "x" * 80 for i in (10, 70, 130) for c in "abcdefgh"]
+    made = [pii.permuted(v, pii.by_class(v), key, "mail") for v in values]
+    assert len(set(made)) == len(set(values)) and all(len(m) == len(v) for m, v in zip(made, values, strict=True))
+
+
+def test_ties_vote_together():
+    import numpy as np
+
+    model = {"labels": np.array([1, 0, 1, 0, 0], np.float32), "vectors": np.array([[1, 0], [1, 0], [1, 0], [0, 1], [0, 1]], np.float32)}
+    for order in ([0, 1, 2, 3, 4], [3, 2, 1, 0, 4]):
+        m = {k: v[order] for k, v in model.items()}
+        assert quality.vote(np.array([[1, 0], [0, 0]], np.float32), m, 2).round(6).tolist() == [0.666667, 0.4]

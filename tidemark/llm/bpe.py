@@ -24,6 +24,18 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in printable else chr(next(other)) for b in range(256)]
 
 
+def shared(a: str, b: str) -> int:
+    """Length of the common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 class TrieEncoder:
     """Encodes words over the symbols of a merge table.
 
@@ -96,15 +108,15 @@ class TrieEncoder:
         """The ids of each distinct word (given in symbols)."""
         out: dict[str, list[int]] = {}
         backwards, usable, fits, ids = self.backwards, self.usable, self.fits, self.ids
-        if len(fits) > 1_000_000:
+        if len(fits) > 300_000:
             fits.clear()
         last, begins = [""], [0]
         before = ""
         for word in sorted(set(words)):
             n = len(word)
-            depth = len(last) - 1
+            depth = min(len(last) - 1, n)
             while word[:depth] != before[:depth]:
-                depth -= 1
+                depth = depth - 1 if depth < 64 else shared(word, before)
             del last[depth + 1 :], begins[depth + 1 :]
             for end in range(depth + 1, n + 1):
                 # one token alone stands at a node; most often it lengthens the token before it or is one symbol

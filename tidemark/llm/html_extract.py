@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 
 import pyarrow as pa
 import xxhash
@@ -64,53 +66,67 @@ class Element:
         return {a.lower(): html.unescape(b or c or d or "") for a, b, c, d in _ATTRIBUTE.findall(self.attributes)} if self.attributes.strip() else {}
 
 
+class Stack:
+    """The open elements, with the places of each tag's, so that a search does not walk through all of them."""
+
+    def __init__(self, root: Element):
+        self.open, self.places = [root], defaultdict(list, {root.tag: [0]})
+
+    def push(self, e: Element) -> None:
+        self.places[e.tag].append(len(self.open))
+        self.open.append(e)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element with one of the tags; the root's if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, place: int) -> None:
+        """End the elements from a place on."""
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
+
+    def end(self, tags: Iterable[str], borders: Iterable[str] = ()) -> None:
+        """End the innermost element with one of the tags, unless a border is inside it."""
+        place = self.last(tags)
+        if place and place >= self.last(borders):
+            self.cut(place)
+
+
 def parse(page: str) -> Element:
     """The page's tree, with the implied ends of paragraphs, items and cells.  Cut-off markup ends with the page."""
     root = Element("html")
-    stack, at = [root], 0
+    stack, at = Stack(root), 0
     while at < len(page):
         found = _TOKEN.match(page, at)
         at = found.end()
         text, tag = found[0], found[2]
         if tag is None:
             if text[0] != "<" or text == "<":
-                stack[-1].parts.append(html.unescape(text))
+                stack.open[-1].parts.append(html.unescape(text))
             continue
         tag = tag.lower()
         if found[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            stack.end((tag,))
             continue
         if tag in BLOCK:
-            _end(stack, {"p"}, {"button", "td", "th", "caption", "object", "html"})
+            stack.end(("p",), ("button", "td", "th", "caption", "object"))
         if tag in ENDS:
-            _end(stack, *ENDS[tag])
+            stack.end(*ENDS[tag])
         if tag in ("html", "body"):
             root.attributes = root.attributes or found[3]
             continue
         new = Element(tag, found[3])
-        stack[-1].parts.append(new)
+        stack.open[-1].parts.append(new)
         if tag in RAW and not found[3].rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
             if end:
                 at = page.find(">", at) + 1 or len(page)
         elif tag not in VOID and not (found[3].endswith("/") and tag not in BLOCK):
-            stack.append(new)
+            stack.push(new)
     return root
 
 
-def _end(stack: list[Element], tags: set[str], borders: set[str]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
-        if stack[i].tag in borders:
-            return
-
-
 def marked(e: Element, in_main: bool, named: dict[str, str] | None = None) -> bool:
     """Whether a whole class, or the id, is a mark or a compound of one."""
     named = e.named() if named is None else named
@@ -300,7 +316,8 @@ def main_text(pages: DataFrame, least: int = 3, short: int = 20, share: float =
 
     Subtrees that recur among at least `least` different surroundings on a host go, whatever their names; those under
     `short` characters only if more than `share` of the host's different main trees have them.  A null or empty html
-    gives an empty text; a null url is the host of all pages without one.  An empty table gives an empty result.
+    gives an empty text; a null url is the host of all pages without one.  Very long and deeply nested pages count whole,
+    in time linear in their length.  An empty table gives an empty result.
     Other columns are not read.
     """
     rows = numbered(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")))

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, id_and_text, map_batches
-from tidemark.llm.tokens import chunks
+from tidemark.llm.common import durable, id_and_text
+from tidemark.llm.tokens import Chunks, map_encoded
 
 PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -18,30 +18,26 @@ PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 def pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most `capacity` tokens of every document with its end token; only longer documents are cut."""
 
-    def make():
-        codec = chunks(path)
-        end = end_id.to_bytes(4, "little")
-
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            of, piece, start, length, crc = [], [], [], [], []
-            for n, ids in enumerate(codec.encode(batch.column(1).to_pylist())):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    of.append(n)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
-
-        return apply
+    end = end_id.to_bytes(4, "little")
+
+    def made(codec: Chunks, batch: pa.RecordBatch, encoded: list[bytes]) -> pa.RecordBatch:
+        of, piece, start, length, crc = [], [], [], [], []
+        for n, ids in enumerate(encoded):
+            ids += end
+            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                part = ids[at : at + 4 * capacity]
+                of.append(n)
+                piece.append(k)
+                start.append(at // 4)
+                length.append(len(part) // 4)
+                crc.append(zlib.crc32(part))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+            ["doc_id", "piece", "start", "length", "ids_crc32"],
+        )
 
     rows = id_and_text(documents, id_col, text_col)
-    return map_batches(rows, make, PIECES.format(id=rows.schema["doc_id"].dataType.simpleString()), rows=4096)
+    return map_encoded(rows, path, made, PIECES.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

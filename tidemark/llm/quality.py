@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tidemark.llm.toxicity import held_out
+from tidemark.llm.toxicity import held_out, labelled
 from tidemark.llm.wordhash import SPACES, distinct, hash_spans, mix, spans
 
 _U = np.uint64
@@ -121,14 +121,7 @@ def train(documents: DataFrame, labels: DataFrame, p: Lsa = Lsa(), id_col: str =
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     df, total = document_frequencies(texts, p)
     idf = (np.log((1 + total) / (1 + df)) + 0.1).astype(np.float32)
-    chosen = (
-        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).alias("doc_id"))
-        .agg(F.max(label_col).alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(p.sample)
-    )
-    rows = texts.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("label").cast("int").alias("label"))
+    rows = labelled(documents, labels, p.sample, id_col, text_col, label_col).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "label")
 
     def learn(batches):
         found = [(y, t) for b in batches for t, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
@@ -151,15 +144,19 @@ def train(documents: DataFrame, labels: DataFrame, p: Lsa = Lsa(), id_col: str =
 
 
 def vote(v: np.ndarray, model: dict, k: int) -> np.ndarray:
-    """Similarity-weighted share of label 1 among the k nearest labelled vectors, from the exact products of a block."""
+    """Similarity-weighted share of label 1 among the k nearest labelled vectors, from the exact products of a block.
+
+    All vectors as near as the k-th vote, so ties do not depend on an order.
+    """
     labels = model["labels"]
     if not len(labels):
         return np.full(len(v), 0.5)
-    near = v @ model["vectors"].T
+    # rounded, so that the shape of a block does not decide what is nearer or alike
+    near = np.round((v.astype(np.float64) @ model["vectors"].astype(np.float64).T), 5)
     k = min(k, len(labels))
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    w = np.maximum(np.take_along_axis(near, best, 1), 0) ** 4 + 1e-9
-    return (w * labels[best]).sum(1) / w.sum(1)
+    kth = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+    w = np.where(near >= kth, np.maximum(near, 0) ** 4 + 1e-9, 0)
+    return np.clip(np.round((w @ labels) / w.sum(1), 9), 0, 1)
 
 
 def scored(documents: DataFrame, model: dict, p: Lsa = Lsa(), text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -182,7 +179,7 @@ def quality(documents: DataFrame, labels: DataFrame, p: Lsa = Lsa(), threshold:
     """doc_id, held_out, score, predicted of every document.
 
     Learns from labels that are not held out.  Scores depend on the text alone; a text without words (null, empty,
-    blank) is the zero vector, whose neighbours all weigh the same.  A null id is not held out.  Repeated rows give
+    blank) is the zero vector, as near to all voters, so that all vote with one weight.  A null id is not held out.  Repeated rows give
     repeated rows, an empty table an empty result.  Without labels every score is 0.5.  Other columns are not read.
     """
     model = train(documents, labels.where(~held_out()), p)

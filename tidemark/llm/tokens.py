@@ -7,6 +7,7 @@ import hashlib
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -14,12 +15,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from tidemark.llm import bpe
-from tidemark.llm.common import id_and_text, map_batches
+from tidemark.llm.common import id_and_text
 
 #: Unicode white space, as the tokenizers' patterns take it (Python's own class has four control characters more).
 SPACE = " \t-\r\x85\xa0  -     　"
-#: Entries of a task's caches of chunks and of words before they start anew.
-CACHED = 200_000
+#: Bytes that a task's caches of chunks and of words hold each before they start anew, counting ENTRY for an entry besides its text and ids.
+CACHED, ENTRY = 64 << 20, 180
+#: Characters of the texts that are encoded together, one text at least.
+TOGETHER = 8 << 20
 
 
 #: Letters and numbers that the regex module knows and the vocabularies' own patterns, of Unicode 16, do not (fixed values).
@@ -62,6 +65,25 @@ def lowered(text: str) -> str:
     return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
 
+class Cache:
+    """Ids by text, with the bytes that they take."""
+
+    def __init__(self):
+        self.ids: dict[str, bytes] = {}
+        self.held = 0
+
+    def room(self) -> dict[str, bytes]:
+        """What is cached; nothing if the cache was full."""
+        if self.held > CACHED:
+            self.ids.clear()
+            self.held = 0
+        return self.ids
+
+    def add(self, items: dict[str, bytes]) -> None:
+        self.ids.update(items)
+        self.held += ENTRY * len(items) + sum(map(len, items)) + sum(map(len, items.values()))
+
+
 class Chunks:
     """Ids of the parts of a text between white spaces, as bytes of little-endian unsigned 32-bit integers.
 
@@ -88,10 +110,7 @@ class Chunks:
         for token, i in self.encoder.ids.items():
             self.token_bytes[i] = bytes(back[c if ord(c) < bpe.TrieEncoder.SHIFT else chr(ord(c) - bpe.TrieEncoder.SHIFT)] for c in token)
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
-        self.known: dict[str, bytes] = {}
-        self.packed: dict[str, bytes] = {}
-        self.old_known: dict[str, bytes] = {}
-        self.old_packed: dict[str, bytes] = {}
+        self.known, self.packed = Cache(), Cache()
         gc.freeze()  # the tables stay as long as the worker: later collections pass them over
 
     def split(self, text: str) -> list[str]:
@@ -110,32 +129,26 @@ class Chunks:
         return (self.later_words if not chunk.isascii() and _LATER.search(chunk) else self.words).findall(chunk)
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks that are not cached.  A full cache becomes the old one, whose entries come back when they are met again."""
-        known, packed = self.known, self.packed
-        if len(known) > CACHED:
-            self.old_known, self.known = known, (known := {})
-        if len(packed) > CACHED:
-            self.old_packed, self.packed = packed, (packed := {})
+        """Encode the chunks that are not cached.  A full cache starts anew."""
+        known, packed, special = self.known.room(), self.packed.room(), self.special
         chunks = chunks.difference(known)
-        back = chunks.intersection(self.old_known)
-        known.update((c, self.old_known[c]) for c in back)
-        chunks -= back
-        special = self.special
-        known.update((c, array("I", [special[c]]).tobytes()) for c in chunks.intersection(special))
+        self.known.add({c: array("I", [special[c]]).tobytes() for c in chunks.intersection(special)})
         pieces = {c: self.pieces(c) for c in chunks.difference(special)}
         new = set(chain.from_iterable(pieces.values())).difference(packed)
-        back = new.intersection(self.old_packed)
-        packed.update((w, self.old_packed[w]) for w in back)
-        new -= back
         symbols = {w: self.encoder.word(w.encode().decode("latin-1").translate(self.alphabet)) for w in new}
         ids = self.encoder.encode(symbols.values())
-        packed.update((w, array("I", ids[s]).tobytes()) for w, s in symbols.items())
-        known.update((c, packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws])) for c, ws in pieces.items())
+        self.packed.add({w: array("I", ids[s]).tobytes() for w, s in symbols.items()})
+        self.known.add({c: packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws]) for c, ws in pieces.items()})
+
+    def forget(self) -> None:
+        """Drop what a task has cached; the vocabulary's tables stay with the worker."""
+        self.known, self.packed = Cache(), Cache()
+        self.encoder.fits.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         self.learn(set(chain.from_iterable(split)))
-        get = self.known.__getitem__
+        get = self.known.ids.__getitem__
         return [b"".join(map(get, cs)) for cs in split]
 
     def decode(self, ids: bytes) -> str:
@@ -146,42 +159,59 @@ _CHUNKS: dict[str, Chunks] = {}
 
 
 def chunks(path: str) -> Chunks:
-    """One encoder for a Python worker, kept from task to task."""
+    """The vocabulary's tables are kept from task to task."""
     if path not in _CHUNKS:
         _CHUNKS[path] = Chunks(path)
     return _CHUNKS[path]
 
 
+def map_encoded(rows: DataFrame, path: str, make: Callable[[Chunks, pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
+    """make(encoder, batch, the batch's encoded texts) on parts of the rows (doc_id, text) of about TOGETHER characters.
+
+    The more words are walked together, the more prefixes they share.  A task's caches go when it ends.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = chunks(path)
+        try:
+            for batch in batches:
+                texts, start, size = batch.column(1).to_pylist(), 0, 0
+                for at, text in enumerate(texts):
+                    if size and size + len(text) > TOGETHER:
+                        yield make(codec, batch.slice(start, at - start), codec.encode(texts[start:at]))
+                        start, size = at, 0
+                    size += len(text)
+                if start < len(texts):
+                    yield make(codec, batch.slice(start), codec.encode(texts[start:]))
+        finally:
+            codec.forget()
+
+    return rows.mapInArrow(run, schema)
+
+
 def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: bool = True) -> DataFrame:
     """Encode every whole text, then decode its ids.
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, with outputs, ids (array<bigint>) and decoded.
     A null or empty text has no tokens and decodes to an empty text.  Rows are independent: repeated rows give repeated
-    results, an empty table an empty result; other columns are not read.  Narrow: no shuffle, and a task holds one
-    slice of rows and its bounded word cache.
+    results, an empty table an empty result; other columns are not read.  A very long text or word is encoded whole, in
+    time linear in its length.  Narrow: no shuffle, and a task holds one Arrow batch and its bounded word cache.
     """
     extra = ", ids array<bigint>, decoded string" if outputs else ""
 
-    def make():
-        codec = chunks(path)
-
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            encoded = codec.encode(batch.column(1).to_pylist())
-            decoded = [codec.decode(e) for e in encoded]
-            columns = [
-                batch.column(0),
-                pa.array([len(e) // 4 for e in encoded], pa.int64()),
-                pa.array([hashlib.sha256(e).hexdigest() for e in encoded]),
-                pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]),
-            ]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if outputs:
-                columns += [pa.array([array("I", e).tolist() for e in encoded], pa.list_(pa.int64())), pa.array(decoded)]
-                names += ["ids", "decoded"]
-            return pa.RecordBatch.from_arrays(columns, names)
-
-        return apply
+    def made(codec: Chunks, batch: pa.RecordBatch, encoded: list[bytes]) -> pa.RecordBatch:
+        decoded = [codec.decode(e) for e in encoded]
+        columns = [
+            batch.column(0),
+            pa.array([len(e) // 4 for e in encoded], pa.int64()),
+            pa.array([hashlib.sha256(e).hexdigest() for e in encoded]),
+            pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]),
+        ]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if outputs:
+            columns += [pa.array([array("I", e).tolist() for e in encoded], pa.list_(pa.int64())), pa.array(decoded)]
+            names += ["ids", "decoded"]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     rows = id_and_text(documents, id_col, text_col)
-    # the more words are walked together, the more prefixes they share
-    return map_batches(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}", rows=4096)
+    return map_encoded(rows, path, made, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")

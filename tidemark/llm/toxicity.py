@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tidemark.llm.common import map_batches
+from tidemark.llm.common import durable, map_batches
 from tidemark.llm.wordhash import SIGNS, distinct, hash_spans, mix, spans
 
 _U = np.uint64
@@ -77,22 +77,30 @@ def fit(rows: list[tuple[int, np.ndarray]], p: Ftrl) -> tuple[np.ndarray, np.nda
     return kept, w[kept], bias
 
 
+def labelled(documents: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """doc_id, text, label of `sample` labelled documents at most, those of the smallest hashes of their ids.
+
+    Labels that are null or whose id is null are left out; an id labelled twice counts once, with the larger label; of
+    the texts of an id that several rows have, the one of the smallest hash stands.  So there are `sample` rows at most.
+    """
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("label"))
+    chosen = durable(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # two passes, so that an id that many rows have moves hashes and not texts
+    hashes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.char_length("text").alias("n"))).alias("one"))
+    one = durable(chosen.join(hashes, "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "one.h", "one.n"))
+    found = texts.join(F.broadcast(one), (texts["doc_id"] == one["doc_id"]) & (F.xxhash64("text") == one["h"]) & (F.char_length("text") == one["n"]))
+    return found.select(one["doc_id"], "text", "label").dropDuplicates(["doc_id"])
+
+
 def train(documents: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """Fit the weights on labelled documents.
 
-    Labels that are null or whose id is null are left out; an id labelled twice counts once, with the larger label.
-    At most p.sample labelled rows are taken, so the one task that runs through them in order holds a bounded amount.
+    At most p.sample labelled rows are taken (`labelled`), so the one task that runs through them in order holds a
+    bounded number of coordinates: 2**bits a row at most, and no texts.
     Without labels the weights are empty and every score is 0.5.
     """
-    chosen = (
-        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).alias("doc_id"))
-        .agg(F.max(label_col).alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(p.sample)
-    )
-    texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))  # p.sample rows at most
+    rows = labelled(documents, labels, p.sample, id_col, text_col, label_col)
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
