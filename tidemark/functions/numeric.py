@@ -75,8 +75,10 @@ def forward_fill(c: Column | str, w: WindowSpec, limit: int | None = None) -> Co
     return F.last(col(c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0))
 
 
-def backward_fill(c: Column | str, w: WindowSpec) -> Column:
-    return F.first(col(c), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+def backward_fill(c: Column | str, keys: str | list[str], order: list[str]) -> Column:
+    """The next value in order: the last one against it, as a frame that reaches to the end is evaluated anew for each row."""
+    w = by(keys, [F.col(o).desc_nulls_last() for o in order])
+    return F.last(col(c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def zscore(c: Column | str, w: WindowSpec, n: int, population: bool = True) -> Column:
@@ -84,6 +86,14 @@ def zscore(c: Column | str, w: WindowSpec, n: int, population: bool = True) -> C
     return ratio(col(c) - rolling(F.avg, c, w, n), sd)
 
 
+def corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson's correlation of the rows that have both; null below two of them or where one side is constant."""
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    vx, vy = F.var_pop(F.when(both, x)), F.var_pop(F.when(both, y))
+    return F.when((vx > 0) & (vy > 0), ratio(F.covar_pop(x, y), F.sqrt(vx) * F.sqrt(vy)))
+
+
 def corrected_skew(c: Column | str) -> Column:
     """The bias-corrected sample skewness, null below three values."""
     c = col(c)
@@ -162,11 +172,13 @@ def fdr(df: DataFrame, p_col: str, keys: list[str], order: list[str], alpha: flo
     p = finite(p_col)
     within = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     ranked = df.withColumn("fdr_p", p).withColumn("fdr_m", F.count("fdr_p").over(within))
-    w = within.orderBy(F.col("fdr_p").asc_nulls_last(), *order)
-    ranked = ranked.withColumn("fdr_rank", F.row_number().over(w))
+    up = [F.col("fdr_p").asc_nulls_last(), *[F.col(c).asc_nulls_first() for c in order]]
+    down = [F.col("fdr_p").desc_nulls_first(), *[F.col(c).desc_nulls_last() for c in order]]
+    ranked = ranked.withColumn("fdr_rank", F.row_number().over(within.orderBy(*up)))
     factor = F.lit(1.0) if method == "bh" else F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("fdr_m"), F.lit(1)).cast("int")), F.lit(0.0), lambda s, k: s + 1.0 / k)
     raw = F.when(F.col("fdr_p").isNotNull(), F.col("fdr_p") * F.col("fdr_m") / F.col("fdr_rank") * factor)
-    smallest = F.min(raw).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # the running minimum from the largest p down
+    smallest = F.min(raw).over(within.orderBy(*down).rowsBetween(Window.unboundedPreceding, 0))
     q = F.when(F.col("fdr_p").isNotNull(), F.least(F.lit(1.0), smallest))
     return ranked.withColumn(q_col, q).withColumn(rejected_col, F.coalesce(F.col(q_col) <= alpha, F.lit(False))).drop("fdr_p", "fdr_m", "fdr_rank")
 

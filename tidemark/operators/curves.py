@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import backward_fill, by, col, expanding, forward_fill, log_ratio, ratio, rolling
+from tidemark.functions.numeric import backward_fill, by, col, corr, expanding, forward_fill, log_ratio, ratio, rolling
 from tidemark.operators.features import returns
 
 DAYS = 365.25
@@ -174,7 +174,7 @@ def match_front(seq: DataFrame, prices: DataFrame, tolerance: float) -> DataFram
     g = x.groupBy("symbol", "date", "close").agg(F.min_by("contract", F.struct("miss", "contract")).alias("contract"), F.min("miss").alias("miss"))
     w = by("symbol", "date")
     g = g.withColumn("contract", F.when(F.col("miss") <= tolerance * F.abs("close"), F.col("contract")))
-    return g.withColumn("contract", F.coalesce(forward_fill("contract", w), backward_fill("contract", w)))
+    return g.withColumn("contract", F.coalesce(forward_fill("contract", w), backward_fill("contract", "symbol", ["date"])))
 
 
 def confirmed_rolls(fronts: DataFrame, persistence: int = 3, gap_days: int = 5) -> DataFrame:
@@ -332,7 +332,7 @@ def seasonal_strength(df: DataFrame, value: str, lags: tuple[int, ...] = (21, 63
     """Correlations of a series with itself at seasonal lags, and the largest in size."""
     w = by("symbol", "date")
     x = df.withColumns({f"lag_{k}": F.lag(value, k).over(w) for k in lags})
-    g = x.groupBy("symbol").agg(F.count(value).alias("n"), *[F.corr(value, f"lag_{k}").alias(f"ac_{k}") for k in lags]).where(F.col("n") >= 252)
+    g = x.groupBy("symbol").agg(F.count(value).alias("n"), *[corr(value, f"lag_{k}").alias(f"ac_{k}") for k in lags]).where(F.col("n") >= 252)
     return g.withColumn("strength", F.greatest(*[F.abs(f"ac_{k}") for k in lags]))
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import by, cumulative, ewm, expanding, finite, log_ratio, ratio, rolling, rolling_percentile, zscore
+from tidemark.functions.numeric import by, corr, cumulative, ewm, expanding, finite, log_ratio, ratio, rolling, rolling_percentile, zscore
 
 
 def returns(bars: DataFrame, n: int = 1, order: str = "date", into: str = "ret", log: bool = True) -> DataFrame:
@@ -159,9 +159,17 @@ def volatility_regime(df: DataFrame, value: str, low: float = 0.33, high: float
 
 
 def crowding_regime(df: DataFrame, value: str, window: int = 26, band: float = 1.0, order: str = "week") -> DataFrame:
-    """Sign of the rolling population z where it leaves the band."""
-    z = zscore(value, by("symbol", order), window)
-    return df.withColumn("crowding_z", z).withColumn("crowding_regime", F.when(F.col("crowding_z").isNull(), None).when(F.col("crowding_z") > band, 1).when(F.col("crowding_z") < -band, -1).otherwise(0))
+    """Sign of the rolling population z where it leaves the band.
+
+    Whether it does is told from sums, (n x - S)^2 against band^2 (n Q - S^2), which are exact for whole numbers.
+    """
+    w = by("symbol", order)
+    x = F.col(value).cast("double")
+    total, squares = rolling(F.sum, x, w, window), rolling(F.sum, x * x, w, window)
+    away = window * x - total
+    outside = away * away > band * band * (window * squares - total * total)
+    out = df.withColumn("crowding_z", zscore(value, w, window))
+    return out.withColumn("crowding_regime", F.when(F.col("crowding_z").isNull(), None).when(outside & (away > 0), 1).when(outside & (away < 0), -1).otherwise(0))
 
 
 def cot_index(df: DataFrame, value: str, window: int = 52, order: str = "week", into: str = "cot_index", least: int | None = None) -> DataFrame:
@@ -226,7 +234,7 @@ def rolling_stats(df: DataFrame, value: str, n: int, order: str = "date") -> Dat
 def autocorrelation(df: DataFrame, value: str, lag: int = 1, order: str = "date") -> DataFrame:
     """Lag correlation of each symbol's series."""
     placed = df.withColumn("before", F.lag(value, lag).over(by("symbol", order))).where(F.col(value).isNotNull() & F.col("before").isNotNull())
-    return placed.groupBy("symbol").agg(F.count("*").alias("n"), F.corr(value, "before").alias("autocorrelation"))
+    return placed.groupBy("symbol").agg(F.count("*").alias("n"), corr(value, "before").alias("autocorrelation"))
 
 
 def kalman(df: DataFrame, value: str, process: float = 1e-3, noise: float = 1e-1, order: str = "date") -> DataFrame:

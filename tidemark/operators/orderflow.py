@@ -19,11 +19,16 @@ def volume_buckets(ticks: DataFrame, size: float, order: tuple[str, ...] = ("ts"
     """Consecutive ticks of about `size` volume: bucket floor((cumulative - 1e-9) / size); a tick is never split.
 
     Volumes are summed as decimals, so that bucket borders do not depend on the order of partial sums.  Shares are null
-    without volume.
+    without volume.  Running sums are taken in two steps, within a symbol's day and over the symbol's days, so that no task
+    holds a symbol's whole history; `order` starts with a timestamp.
     """
     volume = (F.col("ask_volume") + F.col("bid_volume")).cast("decimal(28,6)")
-    w = by(list(keys), list(order)).rowsBetween(Window.unboundedPreceding, 0)
-    placed = ticks.withColumn("tick_volume", volume).withColumn("cumulative", F.sum("tick_volume").over(w))
+    ticks = ticks.withColumn("tick_volume", volume).withColumn("tick_day", F.to_date(order[0]))
+    daily = ticks.groupBy(*keys, "tick_day").agg(F.sum("tick_volume").alias("day_volume"))
+    earlier = F.sum("day_volume").over(by(list(keys), "tick_day").rowsBetween(Window.unboundedPreceding, -1))
+    before = daily.select(*keys, "tick_day", F.coalesce(earlier, F.lit(0)).alias("day_before"))
+    within = F.sum("tick_volume").over(by([*keys, "tick_day"], list(order)).rowsBetween(Window.unboundedPreceding, 0))
+    placed = ticks.withColumn("within", within).join(before, [*keys, "tick_day"]).withColumn("cumulative", (F.col("day_before") + F.col("within")).cast("decimal(38,6)"))
     placed = placed.withColumn("bucket", F.floor((F.col("cumulative").cast("decimal(38,9)") - F.lit(epsilon).cast("decimal(38,9)")) / F.lit(str(size)).cast("decimal(18,6)")).cast("bigint"))
     g = placed.groupBy(*keys, "bucket").agg(
         F.min("ts").alias("ts_start"),

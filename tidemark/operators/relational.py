@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import backward_fill, forward_fill
+from tidemark.functions.numeric import backward_fill, corr, forward_fill
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: list[str], direction: str = "backward", tolerance_seconds: float | None = None, suffix: str = "") -> DataFrame:
     """For each left row the values of the last right row at or before its ts (forward: the first at or after).
 
     Both sides are unioned and the right values carried along one window, so there is one shuffle on the keys and no
-    range join.  Of right rows with the same keys and ts, any may be taken.  Unmatched values are null.
+    range join.  Of right rows with the same keys and ts the largest values in their order are taken.  Unmatched values
+    are null.
     """
     carried = [f"{v}{suffix}" for v in values]
     packed = F.struct(F.col(ts).alias("at"), *[F.col(v).alias(c) for v, c in zip(values, carried, strict=True)])
     lefts = left.withColumn("asof_side", F.lit(1)).withColumn("asof_value", F.lit(None))
     rights = right.select(*keys, ts, F.lit(0 if direction == "backward" else 2).alias("asof_side"), packed.alias("asof_value"))
     both = lefts.drop("asof_value").unionByName(rights, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(ts, "asof_side")
-    fill = forward_fill if direction == "backward" else backward_fill
-    both = both.withColumn("asof_value", fill("asof_value", w)).where("asof_side = 1")
+    if direction == "backward":
+        found = forward_fill("asof_value", Window.partitionBy(*keys).orderBy(ts, "asof_side", "asof_value"))
+    else:
+        ahead = Window.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col("asof_side").desc(), "asof_value")
+        found = forward_fill("asof_value", ahead)
+    both = both.withColumn("asof_value", found).where("asof_side = 1")
     gap = F.abs(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("asof_value.at").cast("timestamp"))) / 1e6
     near = F.lit(True) if tolerance_seconds is None else gap <= tolerance_seconds
     out = [F.when(near, F.col(f"asof_value.{c}")).alias(c) for c in carried]
@@ -78,8 +82,7 @@ def all_times(df: DataFrame, values: list[str], fill: str = "ffill", symbol: str
     spine = df.select(ts).distinct().crossJoin(F.broadcast(df.select(symbol).distinct()))
     joined = spine.join(df.select(symbol, ts, *values), [symbol, ts], "left")
     w = Window.partitionBy(symbol).orderBy(ts)
-    f = forward_fill if fill == "ffill" else backward_fill
-    return joined.select(symbol, ts, *[f(v, w).alias(v) for v in values])
+    return joined.select(symbol, ts, *[(forward_fill(v, w) if fill == "ffill" else backward_fill(v, symbol, [ts])).alias(v) for v in values])
 
 
 def alignment_report(df: DataFrame, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
@@ -100,4 +103,4 @@ def pairs(df: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
     a = df.select(*keys, F.col(name).alias("name_a"), F.col(value).alias("x"))
     b = df.select(*keys, F.col(name).alias("name_b"), F.col(value).alias("y"))
     both = a.join(b, keys).where("name_a < name_b AND x IS NOT NULL AND y IS NOT NULL")
-    return both.groupBy("name_a", "name_b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("correlation"))
+    return both.groupBy("name_a", "name_b").agg(F.count("*").alias("n"), corr("x", "y").alias("correlation"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import by, corrected_skew, f_pvalue, fdr, log_ratio, ratio, rolling, rolling_percentile, t_of_r, t_pvalue, t_stat
+from tidemark.functions.numeric import by, corr, corrected_skew, f_pvalue, fdr, log_ratio, ratio, rolling, rolling_percentile, t_of_r, t_pvalue, t_stat
 from tidemark.operators.features import returns
 from tidemark.operators.relational import asof_join, pairs
 
@@ -62,7 +62,7 @@ def week_returns(bars: DataFrame, week_len: int = 5) -> DataFrame:
 def regression(df: DataFrame, keys: list[str], x: str, y: str, least: int = 3) -> DataFrame:
     """Slope, intercept, r2, n and the slope's t of y on x; null below `least` complete rows."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    g = ok.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.corr(x, y).alias("r"))
+    g = ok.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), corr(x, y).alias("r"))
     return g.withColumn("t_stat", F.when(F.col("n") >= least, t_of_r("r", "n"))).drop("r")
 
 
@@ -114,7 +114,7 @@ def momentum_correlations(sessions: DataFrame, least: int = 10) -> DataFrame:
     """Five correlations of complete sessions by symbol."""
     ok = sessions.dropna(subset=["opening_ret", "closing_ret", "st_momentum", "full_ret"])
     tests = {"open_close": ("opening_ret", "closing_ret"), "open_rest": ("opening_ret", "rest_ret"), "momentum_open": ("st_momentum", "opening_ret"), "momentum_close": ("st_momentum", "closing_ret"), "momentum_full": ("st_momentum", "full_ret")}
-    return ok.groupBy("symbol").agg(F.count("*").alias("n"), *[F.corr(x, y).alias(k) for k, (x, y) in tests.items()]).where(F.col("n") >= least)
+    return ok.groupBy("symbol").agg(F.count("*").alias("n"), *[corr(x, y).alias(k) for k, (x, y) in tests.items()]).where(F.col("n") >= least)
 
 
 def momentum_by_weekday(sessions: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def time_predictability(intraday: DataFrame, least: int = 15) -> DataFrame:
         later = d.select("symbol", "hour", F.date_sub("date", k).alias("date"), F.col("ret").alias(name))
         out = out.join(later, ["symbol", "hour", "date"], "left")
     return out.groupBy("symbol", "hour").agg(
-        F.count("*").alias("n"), F.count("next_day").alias("n_next_day"), F.corr("ret", "next_day").alias("r_next_day"), F.corr("ret", "next_week").alias("r_next_week"), F.corr("ret", "to_close").alias("r_to_close")
+        F.count("*").alias("n"), F.count("next_day").alias("n_next_day"), corr("ret", "next_day").alias("r_next_day"), corr("ret", "next_week").alias("r_next_week"), corr("ret", "to_close").alias("r_to_close")
     ).where(F.col("n") >= least)
 
 
@@ -162,7 +162,7 @@ def time_matrix(intraday: DataFrame, least: int = 15) -> DataFrame:
     a = r.select("symbol", "date", F.col("at").alias("name_a"), F.col("ret").alias("x")).where("x IS NOT NULL")
     b = r.select("symbol", "date", F.col("at").alias("name_b"), F.col("ret").alias("y")).where("y IS NOT NULL")
     g = a.join(b, ["symbol", "date"]).where("name_a < name_b").groupBy("symbol", "name_a", "name_b")
-    return g.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")).where(F.col("n") >= least)
+    return g.agg(F.count("*").alias("n"), corr("x", "y").alias("r")).where(F.col("n") >= least)
 
 
 def weekend_hedging(bars: DataFrame, least: int = 5) -> DataFrame:
@@ -172,7 +172,7 @@ def weekend_hedging(bars: DataFrame, least: int = 5) -> DataFrame:
     x = day.withColumn("next_date", F.lead("date").over(w)).withColumn("monday_ret", F.lead("ret").over(w)).where((F.weekday("date") == 4) & (F.weekday("next_date") == 0) & (F.datediff("next_date", "date") == 3))
     g = x.where("ret IS NOT NULL AND monday_ret IS NOT NULL").groupBy("symbol")
     return g.agg(
-        F.count("*").alias("n"), F.corr("ret", "monday_ret").alias("r"), F.avg(F.when(F.col("ret") > 0, F.col("monday_ret"))).alias("after_gain"), F.avg(F.when(F.col("ret") < 0, F.col("monday_ret"))).alias("after_loss")
+        F.count("*").alias("n"), corr("ret", "monday_ret").alias("r"), F.avg(F.when(F.col("ret") > 0, F.col("monday_ret"))).alias("after_gain"), F.avg(F.when(F.col("ret") < 0, F.col("monday_ret"))).alias("after_loss")
     ).where(F.col("n") >= least).withColumn("t_stat", t_of_r("r", "n"))
 
 
@@ -224,7 +224,7 @@ def between_times(intraday: DataFrame, first_hour: int, second_hour: int, window
     s = r.withColumn("sum_ret", F.when(F.count("ret").over(ahead) == window, F.sum("ret").over(ahead)))
     a = s.where(F.col("hour") == first_hour).select("symbol", "date", F.col("sum_ret").alias("x"))
     b = s.where(F.col("hour") == second_hour).select("symbol", "date", F.col("sum_ret").alias("y"))
-    g = a.join(b, ["symbol", "date"]).where("x IS NOT NULL AND y IS NOT NULL").groupBy("symbol").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
+    g = a.join(b, ["symbol", "date"]).where("x IS NOT NULL AND y IS NOT NULL").groupBy("symbol").agg(F.count("*").alias("n"), corr("x", "y").alias("r"))
     return g.where(F.col("n") >= least)
 
 
@@ -256,7 +256,7 @@ def event_returns(bars: DataFrame, events: DataFrame, pre_seconds: int = 3600, p
 def event_summary(found: DataFrame, least: int = 3) -> DataFrame:
     """By symbol and event: n, means, t of the event return, and its correlation with the surprise and the return to the close."""
     return found.groupBy("symbol", "event_code").agg(
-        F.count("r_event").alias("n"), F.avg("r_event").alias("mean_event"), t_stat("r_event").alias("t_stat"), F.avg("r_t0").alias("mean_t0"), F.avg("r_t1").alias("mean_t1"), F.corr("surprise", "r_event").alias("r_surprise"), F.corr("r_event", "r_t0").alias("r_event_t0")
+        F.count("r_event").alias("n"), F.avg("r_event").alias("mean_event"), t_stat("r_event").alias("t_stat"), F.avg("r_t0").alias("mean_t0"), F.avg("r_t1").alias("mean_t1"), corr("surprise", "r_event").alias("r_surprise"), corr("r_event", "r_t0").alias("r_event_t0")
     ).where(F.col("n") >= least)
 
 
@@ -294,7 +294,7 @@ def volume_effects(intraday: DataFrame) -> DataFrame:
     d = r.groupBy("symbol", "date").agg(F.sum(F.col("ret") * F.col("ret")).alias("rv"), F.max_by("close", "ts").alias("day_close"), *[ratio(F.sum(F.when(F.col("hour") == h, F.col("volume")).otherwise(0.0)), F.sum("volume")).alias(n) for n, h in hours.items()])
     d = d.withColumn("next_ret", log_ratio(F.lead("day_close").over(by("symbol", "date")), "day_close"))
     long = d.unpivot(["symbol", "date", "rv", "next_ret"], list(hours), "feature", "share")
-    return long.groupBy("symbol", "feature").agg(F.count("*").alias("n"), F.corr("share", "next_ret").alias("r_next"), F.corr("share", "rv").alias("r_rv"))
+    return long.groupBy("symbol", "feature").agg(F.count("*").alias("n"), corr("share", "next_ret").alias("r_next"), corr("share", "rv").alias("r_rv"))
 
 
 def compression(bars: DataFrame, short: int = 10, long: int = 50, threshold: float = 0.75, least: int = 3, channel: int = 20, expiry: int = 10) -> DataFrame:

@@ -133,8 +133,10 @@ def volatility_regime(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(features.volatility_regime(x, "size").select("symbol", "date", "rank_pct", "volatility_regime"), "rank_pct")
 
 
-@query(f"""WITH {POSITIONS}, z AS (SELECT symbol, week, ((longs - shorts) - {roll("avg", "(longs - shorts)", 26, "week")}) / nullif({roll("stddev_pop", "(longs - shorts)", 26, "week")}, 0) AS z FROM cot)
-    SELECT symbol, week, {R("z")} AS crowding_z, CASE WHEN z IS NULL THEN NULL WHEN z > 1 THEN 1 WHEN z < -1 THEN -1 ELSE 0 END AS crowding_regime FROM z""")
+@query(f"""WITH {POSITIONS}, n AS (SELECT symbol, week, CAST(longs - shorts AS DOUBLE) AS net FROM cot),
+    z AS (SELECT symbol, week, (net - {roll("avg", "net", 26, "week")}) / nullif({roll("stddev_pop", "net", 26, "week")}, 0) AS z,
+        26 * net - {roll("sum", "net", 26, "week")} AS away, {roll("sum", "net", 26, "week")} AS s, {roll("sum", "net * net", 26, "week")} AS q FROM n)
+    SELECT symbol, week, {R("z")} AS crowding_z, CASE WHEN z IS NULL THEN NULL WHEN away * away <= 26 * q - s * s THEN 0 WHEN away > 0 THEN 1 ELSE -1 END AS crowding_regime FROM z""")
 def crowding_regime(spark: SparkSession, sf: str) -> DataFrame:
     c = positioning(spark, sf).withColumn("net", F.col("longs") - F.col("shorts"))
     return rounded(features.crowding_regime(c, "net").select("symbol", "week", "crowding_z", "crowding_regime"), "crowding_z")
@@ -176,10 +178,10 @@ def group_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, "mean", "std", "skew", "t_stat", "q05", "q95")
 
 
-@query(f"""WITH p AS (SELECT event_type, event_id, value / 1000 AS p FROM events WHERE value < 1000), k AS (SELECT *, row_number() OVER w AS rk, count(*) OVER (PARTITION BY event_type) AS m FROM p WINDOW w AS (PARTITION BY event_type ORDER BY p, event_id))
+@query(f"""WITH p AS (SELECT event_type, event_id, 1 / (1 + abs(value)) AS p FROM events), k AS (SELECT *, row_number() OVER w AS rk, count(*) OVER (PARTITION BY event_type) AS m FROM p WINDOW w AS (PARTITION BY event_type ORDER BY p, event_id))
     SELECT event_type, event_id, {R("least(1.0, min(p * m / rk) OVER (PARTITION BY event_type ORDER BY p, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")} AS q_value FROM k""")
 def fdr_bh(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf}/events.parquet").where("value < 1000").select("event_type", "event_id", (F.col("value") / 1000).alias("p"))
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_type", "event_id", (1 / (1 + F.abs("value"))).alias("p"))
     return rounded(numeric.fdr(e, "p", ["event_type"], ["event_id"]).select("event_type", "event_id", "q_value"), "q_value")
 
 
