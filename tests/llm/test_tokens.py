@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import zlib
 from collections import defaultdict
@@ -56,11 +57,9 @@ def test_every_code_point_as_the_library_has_it():
             assert np.frombuffer(mine, "<u4").tolist() == e.ids, ascii(text)
 
 
-_NATIVE = {}
-
-
+@functools.cache
 def native_cached(path):
-    return _NATIVE.setdefault(path, native(path))
+    return native(path)
 
 
 def test_query_against_the_library(spark, data):
@@ -135,3 +134,12 @@ def test_repeated_rows_take_places_of_their_own(spark):
     table = cases.documents(spark, ["word " * 10] * 3).unionByName(cases.documents(spark, ["word " * 10] * 3))
     found = packing.best_fit_pack(table, WORD_BPE, capacity=16).collect()
     assert len(found) == 6 and len({(r.sequence_id, r.offset) for r in found}) == 6
+
+
+def test_one_long_word_takes_linear_time():
+    word = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(300_000))
+    for path in (BYTE_BPE, WORD_BPE):
+        codec = tokens.Chunks(path)
+        codec.encode([word, word[:-1] + "A"])
+        codec.forget()
+        assert not codec.known.ids and not codec.packed.ids
