@@ -64,8 +64,7 @@ class TrieEncoder:
             for symbol in reversed(t):
                 node = node.setdefault(symbol, {})
             node[""] = t
-        #: each token's right and left edge: the tokens met from it downwards, with the rank at which each is merged away
-        self.right, self.left = ({t: self._edge(t, side) for t in self.usable} for side in (1, 0))
+        self.edges: dict[tuple[str, int], list[tuple[str, int]]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
 
     def _symbols(self, token: str) -> str:
@@ -79,17 +78,24 @@ class TrieEncoder:
         return text[:-1] + chr(ord(text[-1]) + self.SHIFT) if self.suffix and text else text
 
     def _edge(self, token: str, side: int) -> list[tuple[str, int]]:
-        edge, gone = [], _NEVER
-        while True:
-            edge.append((token, gone))
-            if token not in self.parts:
-                return edge[::-1]
-            gone = self.rank[token]
-            token = self.parts[token][side]
+        """A token's left (0) or right (1) edge: the tokens met from it downwards, with the rank at which each is merged away."""
+        edge = self.edges.get((token, side))
+        if edge is None:
+            if len(self.edges) > 20_000:
+                self.edges.clear()
+            edge, part, gone = [], token, _NEVER
+            while part in self.parts:
+                edge.append((part, gone))
+                gone = self.rank[part]
+                part = self.parts[part][side]
+            edge.append((part, gone))
+            edge.reverse()
+            self.edges[token, side] = edge
+        return edge
 
     def _stand(self, a: str, b: str) -> bool:
         """Whether a stays before b: walk both borders upwards in time and look for an earlier merge across."""
-        left, right = self.right[a], self.left[b]
+        left, right = self._edge(a, 1), self._edge(b, 0)
         i = j = 0
         while True:
             (x, x_gone), (y, y_gone) = left[i], right[j]
@@ -176,5 +182,7 @@ def load(path: str) -> tuple[TrieEncoder, dict]:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model = spec["model"]
-    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-    return TrieEncoder(model["vocab"], merges, model.get("end_of_word_suffix") or ""), spec
+    merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    encoder = TrieEncoder(model["vocab"], merges, model.get("end_of_word_suffix") or "")
+    del spec["model"]  # the encoder holds what it needs of it
+    return encoder, spec

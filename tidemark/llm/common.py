@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -50,6 +51,13 @@ def id_and_text(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and what they keep adds up with the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
     """mapInArrow with a per-task setup: make() runs once in a task, what it returns runs on slices of at most `rows` rows."""
 
@@ -58,6 +66,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 yield apply(batch.slice(start, rows))
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -67,7 +76,7 @@ HOT_ROWS = 100_000
 
 
 def sized_join(
-    big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", row_bytes: int = 64, most_bytes: int = 32 << 20, total_bytes: int | None = None, counts: DataFrame | None = None
+    big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", row_bytes: int = 64, most_bytes: int = 8 << 20, total_bytes: int | None = None, counts: DataFrame | None = None
 ) -> DataFrame:
     """Join to a table whose size is counted first: broadcast it if it is small, else shuffle both sides by key.
 

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tidemark.llm import bpe
-from tidemark.llm.common import id_and_text
+from tidemark.llm.common import give_back, id_and_text
 
 #: Unicode white space, as the tokenizers' patterns take it (Python's own class has four control characters more).
 SPACE = " \t-\r\x85\xa0  -     　"
@@ -144,6 +144,7 @@ class Chunks:
         """Drop what a task has cached; the vocabulary's tables stay with the worker."""
         self.known, self.packed = Cache(), Cache()
         self.encoder.fits.clear()
+        self.encoder.edges.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
@@ -185,6 +186,7 @@ def map_encoded(rows: DataFrame, path: str, make: Callable[[Chunks, pa.RecordBat
                     yield make(codec, batch.slice(start), codec.encode(texts[start:]))
         finally:
             codec.forget()
+            give_back()
 
     return rows.mapInArrow(run, schema)
 
