@@ -255,3 +255,10 @@ def kalman(df: DataFrame, value: str, process: float = 1e-3, noise: float = 1e-1
         return pdf.assign(filtered=out)
 
     return df.groupBy("symbol").applyInPandas(run, schema)
+
+
+def positions_of(df: DataFrame, codes: list[str], start: str | None = None, end: str | None = None, code: str = "symbol", week: str = "week") -> DataFrame:
+    """Rows of the codes, whatever their case and spaces around them, from `start` on and before `end`."""
+    out = df.where(F.upper(F.trim(F.col(code))).isin([c.strip().upper() for c in codes]))
+    out = out if start is None else out.where(F.col(week) >= F.lit(start).cast("date"))
+    return out if end is None else out.where(F.col(week) < F.lit(end).cast("date"))

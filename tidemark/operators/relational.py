@@ -104,3 +104,15 @@ def pairs(df: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
     b = df.select(*keys, F.col(name).alias("name_b"), F.col(value).alias("y"))
     both = a.join(b, keys).where("name_a < name_b AND x IS NOT NULL AND y IS NOT NULL")
     return both.groupBy("name_a", "name_b").agg(F.count("*").alias("n"), corr("x", "y").alias("correlation"))
+
+
+def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Rank correlation of the rows that have both values, by key; equal values share their mean rank."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+
+    def rank(c: str) -> Column:
+        ties = F.count("*").over(Window.partitionBy(*keys, c))
+        return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (ties - 1) / 2
+
+    ranked = both.select(*keys, rank(x).alias("rank_x"), rank(y).alias("rank_y"))
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), corr("rank_x", "rank_y").alias("rank_correlation"))
