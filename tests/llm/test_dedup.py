@@ -183,3 +183,13 @@ def test_pairs_that_are_alike_always_meet():
         for b in range(a):
             apart = sum(int(x ^ y).bit_count() for x, y in zip(bits[a].tolist(), bits[b].tolist(), strict=True))
             assert apart <= len(sets[a] ^ sets[b])
+
+
+def test_batches_are_all_rows_whatever_the_files(spark, tmp_path):
+    table = spark.createDataFrame([(i if i % 5 else None, f"line {i}") for i in range(40)], "doc_id bigint, text string")
+    for files in (1, 6):
+        path = f"{tmp_path}/{files}"
+        table.repartition(files).write.parquet(path)
+        batches = line_dedup.batches_of(spark, path, 4)
+        assert len(batches) == 4
+        assert sorted(r.text for b in batches for r in b.collect()) == sorted(f"line {i}" for i in range(40))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable, numbered, sized_join
@@ -72,13 +72,13 @@ class LineRuns:
         return self.merged(r for level in self.levels for r in level)
 
 
-def batches_of(documents: DataFrame, batches: int) -> list[DataFrame]:
-    """Split a file table into that many groups of files; any other frame is one batch.  Rows of all batches are all rows."""
-    files = sorted(documents.inputFiles())
-    if len(files) < 2:
-        return [documents]
-    groups = [files[i::batches] for i in range(min(batches, len(files)))]
-    return [documents.sparkSession.read.schema(documents.schema).parquet(*g) for g in groups]
+def batches_of(spark: SparkSession, path: str, batches: int, id_col: str = "doc_id") -> list[DataFrame]:
+    """A parquet table as that many batches, whose rows are all its rows: groups of its files, or shares by a hash of the id if it has fewer."""
+    whole = spark.read.parquet(path)
+    files = sorted(whole.inputFiles())
+    if len(files) >= batches:
+        return [spark.read.schema(whole.schema).parquet(*files[i::batches]) for i in range(batches)]
+    return [whole.where(F.pmod(F.xxhash64(id_col), F.lit(batches)) == i) for i in range(batches)]
 
 
 def drop_lines(documents: DataFrame, batches: Iterable[DataFrame], least: int = 20, enough: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,7 +58,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    lines = line_dedup.drop_lines(documents, line_dedup.batches_of(documents, 4), least=20, enough=3)
+    lines = line_dedup.drop_lines(documents, line_dedup.batches_of(spark, f"{sf_dir}/documents.parquet", 4), least=20, enough=3)
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
