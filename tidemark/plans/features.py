@@ -62,9 +62,14 @@ def momentum(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(features.momentum(daily_bars(spark, sf)).select("symbol", "date", *names), *names)
 
 
-@query()
+@query(f"""WITH RECURSIVE {BARS}, n AS (SELECT symbol, date, close, row_number() {W} AS i FROM bars),
+    e AS (SELECT symbol, date, i, close, CAST(close AS DOUBLE) AS f, CAST(close AS DOUBLE) AS s, CAST(0 AS DOUBLE) AS g FROM n WHERE i = 1
+        UNION ALL SELECT n.symbol, n.date, n.i, n.close, e.f + (n.close - e.f) * 2 / 13, e.s + (n.close - e.s) * 2 / 27,
+            e.g + ((e.f + (n.close - e.f) * 2 / 13) - (e.s + (n.close - e.s) * 2 / 27) - e.g) * 2 / 10 FROM n JOIN e ON n.symbol = e.symbol AND n.i = e.i + 1)
+    SELECT symbol, date, {R("f", 2)} AS ema_12, {R("s", 2)} AS ema_26, {R("f - s", 2)} AS macd, {R("g", 2)} AS macd_signal, {R("f - s - g", 2)} AS macd_histogram FROM e""")
 def macd(spark: SparkSession, sf: str) -> DataFrame:
-    return features.macd(daily_bars(spark, sf))
+    names = ["ema_12", "ema_26", "macd", "macd_signal", "macd_histogram"]
+    return rounded(features.macd(daily_bars(spark, sf)).select("symbol", "date", *names), *names, digits=2)
 
 
 @query()

@@ -102,9 +102,12 @@ def momentum_by_weekday(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(screens.momentum_by_weekday(_sessions(spark, sf)).drop("skew", "t_stat"), "mean", "std")
 
 
-@query()
+@query(f"""WITH {_SESSION}, v AS (SELECT *, avg(abs(opening_ret)) OVER w AS open_vol, avg(abs(closing_ret)) OVER w AS close_vol FROM mom WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+    z AS (SELECT *, (open_vol - avg(open_vol) OVER (PARTITION BY symbol)) / nullif(stddev(open_vol) OVER (PARTITION BY symbol), 0) AS z FROM v)
+    SELECT symbol, date, {R("open_vol")} AS open_vol, {R("close_vol")} AS close_vol, {R("z")} AS open_vol_z, coalesce(z > 2, false) AS high_vol, coalesce(z < -2, false) AS low_vol FROM z""")
 def volatility_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    return screens.volatility_patterns(_sessions(spark, sf))
+    out = screens.volatility_patterns(_sessions(spark, sf)).select("symbol", "date", "open_vol", "close_vol", "open_vol_z", "high_vol", "low_vol")
+    return rounded(out, "open_vol", "close_vol", "open_vol_z")
 
 
 @query(f"""WITH {HOURS}, g AS (SELECT symbol, hour, avg(volume) AS mv, count(*) AS n FROM hours GROUP BY 1, 2), e AS (SELECT symbol, quantile_cont(mv, 0.8) AS edge FROM g GROUP BY 1)
