@@ -101,3 +101,51 @@ def test_streamed_ingest(spark, tmp_path):
     stream = ticks(spark, str(tmp_path / "t")).select("symbol", "ts", F.col("price").alias("close"))
     flow.ingest(stream, table, str(tmp_path / "c")).awaitTermination(120)
     assert table.read().count() == 12
+
+
+def test_correlation_of_constant_and_tiny_groups_is_null(spark):
+    from tidemark.functions.numeric import corr
+
+    rows = [("c", 1.0, 2.0), ("c", 1.0, 3.0), ("one", 1.0, 2.0), ("two", 1.0, 2.0), ("two", 2.0, 4.0), ("gap", None, 1.0), ("gap", 2.0, 2.0), ("gap", 2.0, 5.0)]
+    found = spark.createDataFrame(rows, "k string, x double, y double").groupBy("k").agg(corr("x", "y").alias("r")).collect()
+    assert {r.k: r.r and round(r.r, 9) for r in found} == {"c": None, "one": None, "two": 1.0, "gap": None}
+
+
+def test_rates_by_brute_force(spark):
+    from tidemark.functions.numeric import fdr
+
+    rows = [(k, i, None if i % 7 == 0 else ((i * 37 + k) % 23) / 23) for k in range(3) for i in range(40)]
+    found = fdr(spark.createDataFrame(rows, "k int, i int, p double"), "p", ["k"], ["i"]).collect()
+    for k in range(3):
+        p = sorted((v, i) for g, i, v in rows if g == k and v is not None)
+        q = {}
+        low = 1.0
+        for rank in range(len(p), 0, -1):
+            low = min(low, p[rank - 1][0] * len(p) / rank)
+            q[p[rank - 1][1]] = low
+        assert all(r.q_value is None if r.p is None else abs(r.q_value - q[r.i]) < 1e-12 for r in found if r.k == k)
+
+
+def test_buckets_do_not_depend_on_days(spark):
+    from tidemark.operators import orderflow
+
+    rows = [("a", f"2024-01-{1 + i // 5:02d} 10:00:{i % 5:02d}", float(i % 4), 1.0) for i in range(60)]
+    ticks = spark.createDataFrame(rows, "symbol string, ts string, ask_volume double, bid_volume double").selectExpr("symbol", "to_timestamp(ts) AS ts", "ask_volume", "bid_volume")
+    total, truth = 0.0, {}
+    for _, _, ask, bid in rows:
+        total += ask + bid
+        truth.setdefault(int((total - 1e-9) // 10), []).append(ask + bid)
+    found = {r.bucket: (r.n_ticks, r.total_volume) for r in orderflow.volume_buckets(ticks, 10).collect()}
+    assert found == {b: (len(v), sum(v)) for b, v in truth.items()}
+
+
+def test_levels_and_nearest_by_hand(spark):
+    from tidemark.operators import microstructure
+
+    rows = [(1, "2024-01-01 09:00:00", 10.0, 2.0), (2, "2024-01-02 08:30:00", 12.0, 1.0), (3, "2024-01-02 09:10:00", 31.0, 3.0), (4, "2024-01-02 14:00:00", 55.0, 1.0), (5, "2024-01-02 15:00:00", 99.0, 9.0)]
+    t = spark.createDataFrame(rows, "tick_id int, ts string, price double, size double").selectExpr("'a' AS symbol", "to_timestamp(ts) AS ts", "price", "size AS ask_volume", "0D AS bid_volume", "'B' AS side", "tick_id")
+    levels = microstructure.session_levels(t)
+    second = {r.level: r.price for r in levels.collect() if r.date.day == 2}
+    assert second == {"first_high": 31.0, "first_low": 12.0, "vwap": (12 + 93 + 55) / 5, "prior_high": 10.0, "prior_low": 10.0, "prior_close": 10.0, "point_of_control": 35.0}
+    near = {r.tick_id: r.level for r in microstructure.nearest_level(t.selectExpr("tick_id", "symbol", "to_date(ts) AS date", "price"), levels, 1.5).collect()}
+    assert near == {1: "first_high", 2: "first_low", 3: "first_high", 4: None, 5: None}

@@ -15,7 +15,7 @@ def collapse_ticks(ticks: DataFrame, values: tuple[str, ...] = ("ask_volume", "b
     return ticks.groupBy("symbol", "ts").agg(*[F.sum(v).alias(v) for v in values])
 
 
-def volume_buckets(ticks: DataFrame, size: float, order: tuple[str, ...] = ("ts",), keys: tuple[str, ...] = ("symbol",), epsilon: str = "0.000000001") -> DataFrame:
+def volume_buckets(ticks: DataFrame, size: float, order: tuple[str, ...] = ("ts",), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Consecutive ticks of about `size` volume: bucket floor((cumulative - 1e-9) / size); a tick is never split.
 
     Volumes are summed as decimals, so that bucket borders do not depend on the order of partial sums.  Shares are null
@@ -29,7 +29,10 @@ def volume_buckets(ticks: DataFrame, size: float, order: tuple[str, ...] = ("ts"
     before = daily.select(*keys, "tick_day", F.coalesce(earlier, F.lit(0)).alias("day_before"))
     within = F.sum("tick_volume").over(by([*keys, "tick_day"], list(order)).rowsBetween(Window.unboundedPreceding, 0))
     placed = ticks.withColumn("within", within).join(before, [*keys, "tick_day"]).withColumn("cumulative", (F.col("day_before") + F.col("within")).cast("decimal(38,6)"))
-    placed = placed.withColumn("bucket", F.floor((F.col("cumulative").cast("decimal(38,9)") - F.lit(epsilon).cast("decimal(38,9)")) / F.lit(str(size)).cast("decimal(18,6)")).cast("bigint"))
+    # in millionths, as a quotient of decimals is rounded and would move ticks at the borders
+    millionths, width = (F.col("cumulative") * 1_000_000).cast("decimal(38,0)"), F.lit(round(size * 1_000_000)).cast("decimal(38,0)")
+    bucket = F.when(millionths <= 0, F.lit(-1).cast("bigint")).otherwise(F.call_function("div", millionths - 1, width))
+    placed = placed.withColumn("bucket", bucket.cast("bigint"))
     g = placed.groupBy(*keys, "bucket").agg(
         F.min("ts").alias("ts_start"),
         F.max("ts").alias("ts_end"),
@@ -72,7 +75,7 @@ def vpin_signed(ticks: DataFrame, size: float, window: int = 50, least_volume: f
     """
     zero = F.lit(0.0)
     clipped = ticks.withColumns({c: F.greatest(F.col(c), zero) for c in ("ask_volume", "bid_volume")})
-    b = volume_buckets(clipped, size, order, epsilon="0.000000001")
+    b = volume_buckets(clipped, size, order)
     b = b if least_volume is None else b.where(F.col("total_volume") >= least_volume)
     frame = by("symbol", "bucket").rowsBetween(-(window - 1), 0)
     volume = F.sum("total_volume").over(frame)
