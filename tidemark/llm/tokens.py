@@ -20,9 +20,9 @@ from tidemark.llm.common import give_back, id_and_text
 #: Unicode white space, as the tokenizers' patterns take it (Python's own class has four control characters more).
 SPACE = " \t-\r\x85\xa0  -     　"
 #: Bytes that a task's caches of chunks and of words hold each before they start anew, counting ENTRY for an entry besides its text and ids.
-CACHED, ENTRY = 64 << 20, 180
-#: Characters of the texts that are encoded together, one text at least.
-TOGETHER = 8 << 20
+CACHED, ENTRY = 32 << 20, 180
+#: Characters of the texts that are encoded together, one text at least; and rows whose texts are held at a time.
+TOGETHER, ROWS = 1 << 20, 512
 
 
 #: Letters and numbers that the regex module knows and the vocabularies' own patterns, of Unicode 16, do not (fixed values).
@@ -175,14 +175,15 @@ def map_encoded(rows: DataFrame, path: str, make: Callable[[Chunks, pa.RecordBat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = chunks(path)
         try:
-            for batch in batches:
-                texts, start, size = batch.column(1).to_pylist(), 0, 0
-                for at, text in enumerate(texts):
-                    if size and size + len(text) > TOGETHER:
-                        yield make(codec, batch.slice(start, at - start), codec.encode(texts[start:at]))
-                        start, size = at, 0
-                    size += len(text)
-                if start < len(texts):
+            for whole in batches:
+                for first in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(first, ROWS)
+                    texts, start, size = batch.column(1).to_pylist(), 0, 0
+                    for at, text in enumerate(texts):
+                        if size and size + len(text) > TOGETHER:
+                            yield make(codec, batch.slice(start, at - start), codec.encode(texts[start:at]))
+                            start, size = at, 0
+                        size += len(text)
                     yield make(codec, batch.slice(start), codec.encode(texts[start:]))
         finally:
             codec.forget()
