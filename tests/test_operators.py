@@ -146,6 +146,45 @@ def test_levels_and_nearest_by_hand(spark):
     t = spark.createDataFrame(rows, "tick_id int, ts string, price double, size double").selectExpr("'a' AS symbol", "to_timestamp(ts) AS ts", "price", "size AS ask_volume", "0D AS bid_volume", "'B' AS side", "tick_id")
     levels = microstructure.session_levels(t)
     second = {r.level: r.price for r in levels.collect() if r.date.day == 2}
-    assert second == {"first_high": 31.0, "first_low": 12.0, "vwap": (12 + 93 + 55) / 5, "prior_high": 10.0, "prior_low": 10.0, "prior_close": 10.0, "point_of_control": 35.0}
-    near = {r.tick_id: r.level for r in microstructure.nearest_level(t.selectExpr("tick_id", "symbol", "to_date(ts) AS date", "price"), levels, 1.5).collect()}
+    area = {"point_of_control": 35.0, "value_area_low": 15.0, "value_area_high": 35.0}
+    assert second == {"first_high": 31.0, "first_low": 12.0, "vwap": (12 + 93 + 55) / 5, "prior_high": 10.0, "prior_low": 10.0, "prior_close": 10.0} | area
+    prices = t.selectExpr("tick_id", "symbol", "to_date(ts) AS date", "price")
+    near = {r.tick_id: r.level for r in microstructure.nearest_level(prices, levels, 1.5).collect()}
     assert near == {1: "first_high", 2: "first_low", 3: "first_high", 4: None, 5: None}
+    again = prices.drop("tick_id")
+    assert microstructure.nearest_level(again.union(again).union(again.selectExpr("symbol", "date", "CAST(NULL AS DOUBLE)")), levels, 1.5).count() == 15
+
+
+def brute_area(volumes, share=0.7):
+    top = max(range(len(volumes)), key=lambda i: (volumes[i], -i))
+    lo = hi = top
+    held = volumes[top]
+    while held < share * sum(volumes) and (lo or hi + 1 < len(volumes)):
+        left, right = volumes[lo - 1] if lo else -1, volumes[hi + 1] if hi + 1 < len(volumes) else -1
+        lo, hi, held = (lo, hi + 1, held + right) if right > left else (lo - 1, hi, held + left)
+    return top, lo, hi
+
+
+def test_value_area_by_brute_force(spark):
+    import random
+
+    from tidemark.operators import microstructure
+
+    r = random.Random(3)
+    sessions = {k: [float(r.choice([0, 0, 1, 2, 5, 9])) for _ in range(r.randint(1, 30))] + [1.0] for k in range(40)}
+    rows = [(k, b - 5, v) for k, vs in sessions.items() for b, v in enumerate([1.0, *vs]) if v]
+    found = microstructure.value_area(spark.createDataFrame(rows, "k int, bin bigint, volume double"), ["k"]).collect()
+    assert {r.k: (r.poc_bin + 5, r.low_bin + 5, r.high_bin + 5) for r in found} == {k: brute_area([1.0, *vs]) for k, vs in sessions.items()}
+
+
+def test_labels_take_the_first_hit(spark):
+    from tidemark.operators import microstructure
+
+    at = lambda s: f"2024-01-02 10:00:{s:02d}"
+    path = [(0, 100.0), (5, 101.0), (6, 98.0), (20, 103.0), (21, 97.0), (40, 100.5)]
+    ticks = spark.createDataFrame([(i, at(s), p) for i, (s, p) in enumerate(path)], "tick_id int, ts string, price double").selectExpr("'a' AS symbol", "to_timestamp(ts) AS ts", "price", "1D AS ask_volume", "0D AS bid_volume", "'B' AS side", "tick_id")
+    start = 1704189600
+    entries = spark.createDataFrame([("a", start, 100.0, 1), ("a", start, 100.0, -1), ("a", start + 7, 100.0, 1), ("a", start + 22, 100.0, -1), ("a", start + 50, 100.0, 1)], "symbol string, second bigint, price double, direction int")
+    entries = entries.selectExpr("symbol", "DATE'2024-01-02' AS date", "1 AS part", "second", "price", "direction")
+    found = microstructure.auction_labels(entries, ticks, 1.0, target_ticks=2, stop_ticks=3, horizon=30).collect()
+    assert {(r.second - start, r.direction): (r.y, r.exit_kind) for r in found} == {(0, 1): (2.0, "target"), (0, -1): (2.0, "target"), (7, 1): (2.0, "target"), (22, -1): (-0.5, "time"), (50, 1): (None, None)}
