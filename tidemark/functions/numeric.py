@@ -7,13 +7,16 @@ window has an explicit total order.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructType
 
 
 def col(c: Column | str) -> Column:
@@ -119,7 +122,11 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     swap = x > (a + 1) / (a + b + 2)
     p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
     y = np.clip(y, 1e-300, 1)
-    gamma = np.vectorize(math.lgamma, otypes=[float])
+
+    def gamma(v: np.ndarray) -> np.ndarray:  # few degrees of freedom differ
+        few, place = np.unique(v, return_inverse=True)
+        return np.array([math.lgamma(g) for g in few.tolist()])[place].reshape(v.shape)
+
     front = np.exp(p * np.log(y) + q * np.log1p(-np.minimum(y, 1 - 1e-16)) + gamma(p + q) - gamma(p) - gamma(q)) / p
     tiny = 1e-300
     c, d = np.ones_like(y), 1 - (p + q) * y / (p + 1)
@@ -183,18 +190,62 @@ def fdr(df: DataFrame, p_col: str, keys: list[str], order: list[str], alpha: flo
     return ranked.withColumn(q_col, q).withColumn(rejected_col, F.coalesce(F.col(q_col) <= alpha, F.lit(False))).drop("fdr_p", "fdr_m", "fdr_rank")
 
 
-def ewm(df: DataFrame, value: str, keys: list[str], order: list[str], alpha: float, into: str, adjust: bool = False, spread: bool = False, least: int = 1) -> DataFrame:
-    """Exponentially weighted mean (or standard deviation) per key, in order.
+def scan(df: DataFrame, keys: list[str], order: list[str], reads: list[str], start: Callable, step: Callable, into: str) -> DataFrame:
+    """df with the columns `into` (names and types), from a recursion over each key's rows in order, nulls first.
 
-    The recursion has no window form, so a key's rows go to one Python group; use it on series that fit an executor.
-    With adjust, weights are (1 - alpha)^age normalised; without, the recursive filter that starts at the first value.
+    step(state, *values of reads) gives the next state and the new columns' values; start() is a key's first state.  Rows
+    reach a task sorted and pass one by one with the state of one key, so a long history is streamed, never gathered.
     """
-    schema = df.withColumn(into, F.lit(None).cast("double")).schema
+    new = StructType.fromDDL(into)
+    names, kinds = [*df.columns, *new.names], [to_arrow_type(f.dataType) for f in new.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            values = [batch.column(c).to_pylist() for c in reads]
+            outs = []
+            for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)):
+                if key != at:
+                    at, state = key, start()
+                state, out = step(state, *(v[i] for v in values))
+                outs.append(out)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([o[j] for o in outs], kind) for j, kind in enumerate(kinds))], names)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        e = pdf[value].astype(float).ewm(alpha=alpha, adjust=adjust, min_periods=least)
-        return pdf.assign(**{into: (e.std() if spread else e.mean()).to_numpy()})
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
 
-    out = df.groupBy(*keys).applyInPandas(run, schema)
+
+def ewm(df: DataFrame, value: str, keys: list[str], order: list[str], alpha: float, into: str, adjust: bool = False, spread: bool = False, least: int = 1) -> DataFrame:
+    """Exponentially weighted mean (or bias-corrected standard deviation) per key, in order.
+
+    With adjust, weights are (1 - alpha)^age normalised; without, the recursive filter that starts at the first value.
+    Null and NaN values add nothing, but older values age over them.  Rows stream through `scan`.
+    """
+    fresh, fade = (1.0 if adjust else alpha), 1 - alpha
+
+    def start():
+        return (None, 0.0, 1.0, 1.0, 1.0, 0)  # mean, variance, weight so far, sums of weights and of their squares, values
+
+    def step(state, x):
+        mean, var, old, total, squares, n = state
+        known = x is not None and x == x
+        if mean is None:
+            state = (float(x), 0.0, 1.0, 1.0, 1.0, 1) if known else state
+        else:
+            old, total, squares = old * fade, total * fade, squares * fade * fade
+            if known:
+                before, whole = mean, old + fresh
+                mean = (old * before + fresh * x) / whole
+                var = (old * (var + (before - mean) ** 2) + fresh * (x - mean) ** 2) / whole
+                total, squares, old, n = total + fresh, squares + fresh * fresh, whole, n + 1
+                if not adjust:
+                    total, squares, old = total / old, squares / old**2, 1.0
+            state = (mean, var, old, total, squares, n)
+        mean, var, _, total, squares, n = state
+        if mean is None or n < least:
+            return state, (None,)
+        left = total * total - squares
+        return state, ((math.sqrt(max(var * total * total / left, 0.0)) if left > 0 else None) if spread else mean,)
+
+    out = scan(df, keys, order, [value], start, step, f"`{into}` double")
     return out.withColumn(into, finite(into))

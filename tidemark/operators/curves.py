@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import backward_fill, by, col, corr, expanding, forward_fill, log_ratio, ratio, rolling
+from tidemark.functions.numeric import backward_fill, by, col, corr, expanding, forward_fill, log_ratio, ratio, rolling, scan
 from tidemark.operators.features import returns
 
 DAYS = 365.25
@@ -178,26 +178,21 @@ def match_front(seq: DataFrame, prices: DataFrame, tolerance: float) -> DataFram
 
 
 def confirmed_rolls(fronts: DataFrame, persistence: int = 3, gap_days: int = 5) -> DataFrame:
-    """The front after hysteresis: a change holds once it persists, and not within gap_days of the last one.
-
-    What a row decides depends on the row before, so a symbol's dates run in one Python group.
-    """
-    schema = fronts.select("symbol", "date", "contract").withColumn("confirmed", F.col("contract")).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")[["symbol", "date", "contract"]]
-        seen, out, now, last = pdf["contract"].tolist(), [], None, None
-        for i, c in enumerate(seen):
-            if now is None:
-                now = c
-            elif c != now and all(x == c for x in seen[i : i + persistence]) and len(seen) - i >= persistence:
-                day = pdf["date"].iloc[i]
-                if last is None or (day - last).days >= gap_days:
-                    now, last = c, day
-            out.append(now)
-        return pdf.assign(confirmed=out)
-
-    return fronts.select("symbol", "date", "contract").groupBy("symbol").applyInPandas(run, schema)
+    """The front after hysteresis: a change holds once it persists, and not within gap_days of the last one."""
+    ahead = by("symbol", "date").rowsBetween(0, persistence - 1)
+    lasts = (F.count("contract").over(ahead) == persistence) & (F.min("contract").over(ahead) == F.max("contract").over(ahead))
+    seen = fronts.select("symbol", "date", "contract").withColumn("lasts", lasts)
+
+    def step(state, contract, day, stays):
+        now, last = state
+        if now is None:
+            now = contract
+        elif contract != now and stays and (last is None or (day - last).days >= gap_days):
+            now, last = contract, day
+        return (now, last), (now,)
+
+    kind = fronts.schema["contract"].dataType.simpleString()
+    return scan(seen, ["symbol"], ["date"], ["contract", "date", "lasts"], lambda: (None, None), step, f"confirmed {kind}").drop("lasts")
 
 
 def synthetic(bars: DataFrame, legs: list[tuple[str, float]], columns: tuple[str, ...] = ("close",), align: str = "intersection", keys: tuple[str, ...] = ("date",)) -> DataFrame:

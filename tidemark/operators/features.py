@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import by, corr, cumulative, ewm, expanding, finite, log_ratio, ratio, rolling, rolling_percentile, zscore
+from tidemark.functions.numeric import by, corr, cumulative, ewm, expanding, finite, log_ratio, ratio, rolling, rolling_percentile, scan, zscore
 
 
 def returns(bars: DataFrame, n: int = 1, order: str = "date", into: str = "ret", log: bool = True) -> DataFrame:
@@ -238,23 +237,20 @@ def autocorrelation(df: DataFrame, value: str, lag: int = 1, order: str = "date"
 
 
 def kalman(df: DataFrame, value: str, process: float = 1e-3, noise: float = 1e-1, order: str = "date") -> DataFrame:
-    """One-dimensional local-level filter of each symbol, sequential within its group."""
-    schema = df.withColumn("filtered", F.lit(None).cast("double")).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        out, level, p = [], None, 1.0
-        for x in pdf[value].astype(float):
-            if level is None:
-                level = x
-            p += process
-            if x == x:
-                gain = p / (p + noise)
-                level, p = level + gain * (x - level), (1 - gain) * p
-            out.append(level)
-        return pdf.assign(filtered=out)
-
-    return df.groupBy("symbol").applyInPandas(run, schema)
+    """One-dimensional local-level filter of each symbol, from its first number on; a null or NaN keeps the level."""
+
+    def step(state, x):
+        level, p = state
+        known = x is not None and x == x
+        if level is None and known:
+            level = float(x)
+        p += process
+        if known:
+            gain = p / (p + noise)
+            level, p = level + gain * (x - level), (1 - gain) * p
+        return (level, p if level is not None else 1.0), (level,)
+
+    return scan(df, ["symbol"], [order], [value], lambda: (None, 1.0), step, "filtered double")
 
 
 def positions_of(df: DataFrame, codes: list[str], start: str | None = None, end: str | None = None, code: str = "symbol", week: str = "week") -> DataFrame:

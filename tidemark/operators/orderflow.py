@@ -20,7 +20,7 @@ def volume_buckets(ticks: DataFrame, size: float, order: tuple[str, ...] = ("ts"
 
     Volumes are summed as decimals, so that bucket borders do not depend on the order of partial sums.  Shares are null
     without volume.  Running sums are taken in two steps, within a symbol's day and over the symbol's days, so that no task
-    holds a symbol's whole history; `order` starts with a timestamp.
+    holds a symbol's whole history; `order` starts with a timestamp.  Ticks without a time are the first of their key.
     """
     volume = (F.col("ask_volume") + F.col("bid_volume")).cast("decimal(28,6)")
     ticks = ticks.withColumn("tick_volume", volume).withColumn("tick_day", F.to_date(order[0]))
@@ -28,7 +28,9 @@ def volume_buckets(ticks: DataFrame, size: float, order: tuple[str, ...] = ("ts"
     earlier = F.sum("day_volume").over(by(list(keys), "tick_day").rowsBetween(Window.unboundedPreceding, -1))
     before = daily.select(*keys, "tick_day", F.coalesce(earlier, F.lit(0)).alias("day_before"))
     within = F.sum("tick_volume").over(by([*keys, "tick_day"], list(order)).rowsBetween(Window.unboundedPreceding, 0))
-    placed = ticks.withColumn("within", within).join(before, [*keys, "tick_day"]).withColumn("cumulative", (F.col("day_before") + F.col("within")).cast("decimal(38,6)"))
+    # null-safe: ticks without a key or a time stay, the latter before a key's first day
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"d.{k}")) for k in (*keys, "tick_day")]
+    placed = ticks.withColumn("within", within).alias("t").join(before.alias("d"), same).select("t.*", "d.day_before").withColumn("cumulative", (F.col("day_before") + F.col("within")).cast("decimal(38,6)"))
     # in millionths, as a quotient of decimals is rounded and would move ticks at the borders
     millionths, width = (F.col("cumulative") * 1_000_000).cast("decimal(38,0)"), F.lit(round(size * 1_000_000)).cast("decimal(38,0)")
     bucket = F.when(millionths <= 0, F.lit(-1).cast("bigint")).otherwise(F.call_function("div", millionths - 1, width))

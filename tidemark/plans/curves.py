@@ -121,7 +121,12 @@ def roll_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(curves.roll_summary(curves.roll_dates(_seq(spark, sf))), "mean_interval", "std_interval")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEQ}, f AS (SELECT symbol, date, contract, row_number() {W} AS i, count(*) OVER a = 3 AND min(contract) OVER a = max(contract) OVER a AS lasts FROM seq WHERE seq = 0
+        WINDOW a AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+    c AS (SELECT symbol, date, contract, i, contract AS confirmed, NULL::DATE AS changed FROM f WHERE i = 1
+        UNION ALL SELECT f.symbol, f.date, f.contract, f.i, CASE WHEN f.contract <> c.confirmed AND f.lasts AND (c.changed IS NULL OR f.date - c.changed >= 5) THEN f.contract ELSE c.confirmed END,
+            CASE WHEN f.contract <> c.confirmed AND f.lasts AND (c.changed IS NULL OR f.date - c.changed >= 5) THEN f.date ELSE c.changed END FROM c JOIN f ON f.symbol = c.symbol AND f.i = c.i + 1)
+    SELECT symbol, date, contract, confirmed FROM c""")
 def confirmed_front(spark: SparkSession, sf: str) -> DataFrame:
     return curves.confirmed_rolls(_seq(spark, sf).where("seq = 0"))
 

@@ -72,9 +72,15 @@ def macd(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(features.macd(daily_bars(spark, sf)).select("symbol", "date", *names), *names, digits=2)
 
 
-@query()
+@query(f"""WITH {BARS}, c AS (SELECT *, close / lag(close) {W} - 1 AS change, close / lag(close, 5) {W} - 1 AS moved, row_number() {W} AS i FROM bars),
+    w AS (SELECT a.symbol, a.date, a.moved, sum(power(1 - 2.0 / 21, a.i - b.i)) AS w1, sum(power(1 - 2.0 / 21, 2 * (a.i - b.i))) AS w2, sum(power(1 - 2.0 / 21, a.i - b.i) * b.change) / sum(power(1 - 2.0 / 21, a.i - b.i)) AS m, a.i
+        FROM c a JOIN c b ON a.symbol = b.symbol AND b.i <= a.i AND b.change IS NOT NULL GROUP BY ALL),
+    v AS (SELECT w.symbol, w.date, w.moved, sqrt(any_value(w1) * any_value(w1) / (any_value(w1) * any_value(w1) - any_value(w2)) * sum(power(1 - 2.0 / 21, w.i - b.i) * power(b.change - m, 2)) / any_value(w1)) AS sd, count(*) AS n
+        FROM w JOIN c b ON w.symbol = b.symbol AND b.i <= w.i AND b.change IS NOT NULL GROUP BY w.symbol, w.date, w.moved)
+    SELECT c.symbol, c.date, {R("CASE WHEN n > 1 THEN sd END", 5)} AS ewm_vol, {R("CASE WHEN n > 1 THEN c.moved / (sd * sqrt(5) + 1e-8) END", 4)} AS normalised_return FROM c LEFT JOIN v USING (symbol, date)""")
 def volatility_normalised_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return features.volatility_normalised_returns(daily_bars(spark, sf))
+    out = features.volatility_normalised_returns(daily_bars(spark, sf)).select("symbol", "date", "ewm_vol", "normalised_return")
+    return rounded(rounded(out, "ewm_vol", digits=5), "normalised_return", digits=4)
 
 
 _RV = f"""{HOURS}, hr AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS ret FROM hours),
@@ -190,11 +196,18 @@ def fdr_bh(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(numeric.fdr(e, "p", ["event_type"], ["event_id"]).select("event_type", "event_id", "q_value"), "q_value")
 
 
-@query()
+@query(f"""WITH {RETURNS}, x AS (SELECT *, row_number() {W} AS i FROM rets), a AS (SELECT a.symbol, a.date, a.ret AS own, a.i, b.ret, CASE WHEN b.i = 2 THEN 1 ELSE 1 - power(0.5, 0.1) END * power(power(0.5, 0.1), a.i - b.i) AS w FROM x a JOIN x b ON a.symbol = b.symbol AND b.i <= a.i AND b.ret IS NOT NULL),
+    m AS (SELECT symbol, date, sum(w * ret) AS mean, sum(w * w) AS w2, count(*) AS n FROM a GROUP BY 1, 2),
+    v AS (SELECT a.symbol, a.date, CASE WHEN any_value(n) >= 5 THEN sqrt(sum(w * power(ret - mean, 2)) / (1 - any_value(w2))) END AS vol FROM a JOIN m USING (symbol, date) GROUP BY 1, 2)
+    SELECT x.symbol, x.date, {R("vol")} AS ewma_vol, {R(f"ret / greatest(lag(vol) OVER (PARTITION BY x.symbol ORDER BY x.date), 0.0001)", 4)} AS weighted FROM x LEFT JOIN v USING (symbol, date)""")
 def ewma_volatility(spark: SparkSession, sf: str) -> DataFrame:
-    return features.volatility_weighted(features.returns(daily_bars(spark, sf))).select("symbol", "date", "ewma_vol", "weighted")
+    out = features.volatility_weighted(features.returns(daily_bars(spark, sf))).select("symbol", "date", "ewma_vol", "weighted")
+    return rounded(rounded(out, "ewma_vol"), "weighted", digits=4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {BARS}, n AS (SELECT symbol, date, close::DOUBLE AS x, row_number() {W} AS i FROM bars),
+    k AS (SELECT symbol, date, i, x AS level, 1.001 - 1.001 / 1.101 * 1.001 AS p FROM n WHERE i = 1
+        UNION ALL SELECT n.symbol, n.date, n.i, k.level + (k.p + 0.001) / (k.p + 0.101) * (n.x - k.level), (k.p + 0.001) - (k.p + 0.001) / (k.p + 0.101) * (k.p + 0.001) FROM n JOIN k ON n.symbol = k.symbol AND n.i = k.i + 1)
+    SELECT symbol, date, {R("level", 3)} AS filtered FROM k""")
 def kalman_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return features.kalman(daily_bars(spark, sf), "close").select("symbol", "date", "filtered")
+    return rounded(features.kalman(daily_bars(spark, sf), "close").select("symbol", "date", "filtered"), "filtered", digits=3)
