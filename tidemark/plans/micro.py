@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import features, microstructure, relational
+from tidemark.operators import features, machine, microstructure, relational
 from tidemark.plans.registry import R, query, rounded
-from tidemark.sources.tables import BARS, POSITIONS, TICKS, daily_bars, positioning, ticks
+from tidemark.sources.tables import BARS, HOURS, POSITIONS, TICKS, daily_bars, hourly_bars, positioning, ticks
 
 _GRID = f"""{TICKS}, grid AS (SELECT symbol, CAST(ts AS DATE) AS date, CAST(floor(epoch(ts)) AS BIGINT) AS second, arg_max(price, tick_id) AS price, count(*) AS n_trades,
     count(*) FILTER (side = 'B') AS buy_count, count(*) FILTER (side = 'S') AS sell_count,
@@ -127,6 +127,23 @@ def auction_labels(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("symbol", "date", "part", "second", "direction", "y", "exit_kind", (F.unix_micros("exit_ts") / 1_000_000 - F.col("second")).alias("seconds_held")), "seconds_held", digits=3).transform(lambda x: rounded(x, "y", digits=4))
 
 
+@query(f"""WITH RECURSIVE {HOURS}, n AS (SELECT symbol, ts, high, low, close, volume, epoch(ts) AS sec, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM hours),
+    m AS (SELECT DISTINCT symbol, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, NULL::DOUBLE AS close, 0 AS state, 0 AS quiet, NULL::DOUBLE AS hi, NULL::DOUBLE AS lo, NULL::DOUBLE AS lvl, 0::BIGINT AS nv, 0::DOUBLE AS sv, NULL::DOUBLE AS entered, NULL::VARCHAR AS kind, 0 AS was, NULL::DOUBLE AS told FROM n
+        UNION ALL SELECT symbol, i, ts, close, CASE kind WHEN 'stay' THEN state WHEN 'advance' THEN state + 1 ELSE 0 END, CASE WHEN kind IN ('stay', 'advance') THEN q2 ELSE 0 END, CASE WHEN kind IN ('stay', 'advance') THEN hi2 END, CASE WHEN kind IN ('stay', 'advance') THEN lo2 END,
+            CASE WHEN kind IN ('stay', 'advance') THEN CASE WHEN state = 0 AND kind = 'advance' THEN hi2 ELSE lvl END END, CASE WHEN kind IN ('stay', 'advance') THEN nv + 1 ELSE 0 END, CASE WHEN kind IN ('stay', 'advance') THEN sv + volume ELSE 0 END,
+            CASE WHEN kind IN ('stay', 'advance') THEN CASE WHEN state = 1 AND kind = 'advance' THEN sec ELSE entered END END, kind, state, CASE WHEN state = 0 AND kind = 'advance' THEN hi2 ELSE lvl END FROM (
+            SELECT *, CASE WHEN entered IS NOT NULL AND sec - entered > 36000 THEN 'timeout' WHEN state = 0 THEN CASE WHEN q2 >= 2 THEN 'advance' ELSE 'stay' END WHEN state = 1 THEN CASE WHEN close > lvl AND volume > sv / nv THEN 'advance' WHEN close < lvl * 0.1 THEN 'reset' ELSE 'stay' END
+                WHEN state = 2 THEN CASE WHEN abs(close - lvl) / lvl < 0.4 THEN 'advance' WHEN close < lvl * 0.05 OR close > lvl * 5 THEN 'reset' ELSE 'stay' END WHEN close > lvl * 1.05 THEN 'signal' ELSE 'stay' END AS kind FROM (
+                SELECT m.symbol, n.i, n.ts, n.sec, n.close, n.volume, state, lvl, nv, sv, entered, CASE WHEN state > 0 THEN quiet WHEN hi IS NULL THEN 0 WHEN (n.high - n.low) / n.close < 1.0 THEN quiet + 1 ELSE 0 END AS q2,
+                    CASE WHEN state > 0 THEN hi WHEN hi IS NULL OR (n.high - n.low) / n.close >= 1.0 THEN n.high ELSE greatest(hi, n.high) END AS hi2, CASE WHEN state > 0 THEN lo WHEN hi IS NULL OR (n.high - n.low) / n.close >= 1.0 THEN n.low ELSE least(lo, n.low) END AS lo2
+                FROM m JOIN n ON n.symbol = m.symbol AND n.i = m.i + 1)))
+    SELECT symbol, ts, kind, was AS from_state, CASE WHEN kind = 'advance' THEN was + 1 ELSE 0 END AS to_state, {R("told", 2)} AS level, {R("CASE WHEN kind = 'signal' THEN close END", 2)} AS entry_price, {R("CASE WHEN kind = 'signal' THEN told * 0.995 END", 4)} AS stop_loss FROM m WHERE kind <> 'stay'""")
+def breakout_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    setup = machine.Breakout(quiet_range=1.0, quiet_bars=2, spike=1.0, failed=0.1, near=0.4, lost=(0.05, 5.0), away=1.05, timeout_seconds=36000)
+    out = machine.transitions(hourly_bars(spark, sf), setup).select("symbol", "ts", "kind", "from_state", "to_state", "level", "entry_price", "stop_loss")
+    return rounded(rounded(out, "level", "entry_price", digits=2), "stop_loss", digits=4)
+
+
 @query(f"""WITH {BARS}, r AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS ret FROM bars), f AS (SELECT symbol, ret, volume FROM r WHERE ret IS NOT NULL),
     k AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY ret) + (count(*) OVER (PARTITION BY symbol, ret) - 1) / 2 AS x, rank() OVER (PARTITION BY symbol ORDER BY volume) + (count(*) OVER (PARTITION BY symbol, volume) - 1) / 2 AS y FROM f)
     SELECT symbol, count(*) AS n, {R("CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) END")} AS rank_correlation FROM k GROUP BY 1""")
