@@ -215,17 +215,10 @@ def scan(df: DataFrame, keys: list[str], order: list[str], reads: list[str], sta
     return dealt.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
 
 
-def ewm(df: DataFrame, value: str, keys: list[str], order: list[str], alpha: float, into: str, adjust: bool = False, spread: bool = False, least: int = 1) -> DataFrame:
-    """Exponentially weighted mean (or bias-corrected standard deviation) per key, in order.
-
-    With adjust, weights are (1 - alpha)^age normalised; without, the recursive filter that starts at the first value.
-    Null and NaN values add nothing, but older values age over them.  Rows stream through `scan`.
-    """
+def _weighted(alpha: float, adjust: bool, spread: bool, least: int) -> tuple[tuple, Callable]:
+    """The first state and the step of one exponentially weighted mean or deviation."""
     fresh, fade = (1.0 if adjust else alpha), 1 - alpha
 
-    def start():
-        return (None, 0.0, 1.0, 1.0, 1.0, 0)  # mean, variance, weight so far, sums of weights and of their squares, values
-
     def step(state, x):
         mean, var, old, total, squares, n = state
         known = x is not None and x == x
@@ -243,9 +236,30 @@ def ewm(df: DataFrame, value: str, keys: list[str], order: list[str], alpha: flo
             state = (mean, var, old, total, squares, n)
         mean, var, _, total, squares, n = state
         if mean is None or n < least:
-            return state, (None,)
+            return state, None
         left = total * total - squares
-        return state, ((math.sqrt(max(var * total * total / left, 0.0)) if left > 0 else None) if spread else mean,)
+        return state, ((math.sqrt(max(var * total * total / left, 0.0)) if left > 0 else None) if spread else mean)
+
+    # mean, variance, weight so far, sums of weights and of their squares, values
+    return (None, 0.0, 1.0, 1.0, 1.0, 0), step
+
+
+def ewms(df: DataFrame, columns: dict[str, tuple[str, float]], keys: list[str], order: list[str], adjust: bool = False, spread: bool = False, least: int = 1) -> DataFrame:
+    """Exponentially weighted means (or bias-corrected standard deviations) per key, in order: {into: (value, alpha)}.
 
-    out = scan(df, keys, order, [value], start, step, f"`{into}` double")
-    return out.withColumn(into, finite(into))
+    With adjust, weights are (1 - alpha)^age normalised; without, the recursive filter that starts at the first value.
+    Null and NaN values add nothing, but older values age over them.  Rows stream through `scan`, once for all columns.
+    """
+    starts, steps = zip(*(_weighted(alpha, adjust, spread, least) for _, alpha in columns.values()), strict=True)
+
+    def step(states, *values):
+        both = [f(s, v) for f, s, v in zip(steps, states, values, strict=True)]
+        return [s for s, _ in both], [out for _, out in both]
+
+    out = scan(df, keys, order, [v for v, _ in columns.values()], lambda: list(starts), step, ", ".join(f"`{c}` double" for c in columns))
+    return out.withColumns({c: finite(c) for c in columns})
+
+
+def ewm(df: DataFrame, value: str, keys: list[str], order: list[str], alpha: float, into: str, adjust: bool = False, spread: bool = False, least: int = 1) -> DataFrame:
+    """`ewms` of one column."""
+    return ewms(df, {into: (value, alpha)}, keys, order, adjust, spread, least)

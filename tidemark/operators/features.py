@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import by, corr, cumulative, ewm, expanding, finite, log_ratio, ratio, rolling, rolling_percentile, scan, zscore
+from tidemark.functions.numeric import by, corr, cumulative, ewm, ewms, expanding, finite, log_ratio, ratio, rolling, rolling_percentile, scan, zscore
 
 
 def returns(bars: DataFrame, n: int = 1, order: str = "date", into: str = "ret", log: bool = True) -> DataFrame:
@@ -60,8 +60,7 @@ def obv(bars: DataFrame, order: str = "date", seeded: bool = True) -> DataFrame:
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, order: str = "date") -> DataFrame:
     """EMA difference, its signal line and histogram; spans give alpha 2 / (span + 1)."""
-    out = ewm(bars, "close", ["symbol"], [order], 2 / (fast + 1), f"ema_{fast}")
-    out = ewm(out, "close", ["symbol"], [order], 2 / (slow + 1), f"ema_{slow}")
+    out = ewms(bars, {f"ema_{n}": ("close", 2 / (n + 1)) for n in (fast, slow)}, ["symbol"], [order])
     out = out.withColumn("macd", F.col(f"ema_{fast}") - F.col(f"ema_{slow}"))
     out = ewm(out, "macd", ["symbol"], [order], 2 / (signal + 1), "macd_signal")
     return out.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))

@@ -6,13 +6,12 @@ shared kernel, q values through numeric.fdr with the scope that the screen names
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import by, corr, corrected_skew, f_pvalue, fdr, log_ratio, ratio, rolling, rolling_percentile, t_of_r, t_pvalue, t_stat
 from tidemark.operators.features import returns
+from tidemark.operators.models import walk_forward
 from tidemark.operators.relational import asof_join, pairs
 
 FLAGS = [f"{side}_{unit}_{k}" for unit in ("month", "quarter") for side in ("first", "last") for k in (1, 3, 5)] + ["first_week", "last_week"]
@@ -338,31 +337,30 @@ def first_hours(intraday: DataFrame, open_hour: int = 8, hours: int = 2, least:
     return g.withColumn("rank", F.when(F.col("relative_volume").isNotNull(), F.rank().over(Window.partitionBy("date").orderBy(F.col("relative_volume").desc_nulls_last())))).drop("sd", "usual")
 
 
-def har_scores(daily: DataFrame, first: int = 60, ridge: float = 1e-4) -> DataFrame:
-    """Expanding log-HAR(1, 5, 22) one-step forecasts by symbol and their out-of-sample r2 and QLIKE."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.log(pdf.sort_values("date")["rv"].clip(lower=1e-12).astype(float).to_numpy())
-        rows = []
-        cum = np.concatenate(([0.0], np.cumsum(v)))
-        for t in range(22, len(v)):
-            rows.append((1.0, v[t - 1], (cum[t] - cum[t - 5]) / 5, (cum[t] - cum[t - 22]) / 22))
-        x, y = np.array(rows).reshape(-1, 4), v[22:]
-        made, real = [], []
-        for t in range(first, len(y)):
-            a = x[:t].T @ x[:t] + ridge * np.eye(4)
-            made.append(float(x[t] @ np.linalg.solve(a, x[:t].T @ y[:t])))
-            real.append(y[t])
-        if len(real) < 2:
-            return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "n": [len(real)], "r2": [None], "qlike": [None], "score": [None]})
-        p, q = np.array(made), np.array(real)
-        r2 = 1 - ((q - p) ** 2).sum() / max(((q - q.mean()) ** 2).sum(), 1e-12)
-        ratio_ = np.exp(q - p)
-        ql = float((ratio_ - np.log(ratio_) - 1).mean())
-        z = (p[-1] - p.mean()) / max(p.std(), 1e-12)
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "n": [len(q)], "r2": [r2], "qlike": [ql], "score": [z * max(0.0, r2) / (1 + max(0.0, ql))]})
-
-    return daily.groupBy("symbol").applyInPandas(run, "symbol string, n long, r2 double, qlike double, score double")
+def har_scores(daily: DataFrame, first: int = 60, ridge: float = 1e-4, exogenous: tuple[str, ...] = ()) -> DataFrame:
+    """Expanding log-HAR(1, 5, 22) one-step forecasts by symbol and their out-of-sample r2, QLIKE and score.
+
+    daily: symbol, date, rv and the exogenous columns, whose values of the day before join the regression.  Each forecast
+    is fitted on the rows before it, `first` at least; the score is the last forecast's z among all, discounted by r2
+    and QLIKE.
+    """
+    w = by("symbol", "date")
+    v = daily.withColumn("v", F.ln(F.greatest("rv", F.lit(1e-12)))).withColumn("nth", F.row_number().over(w))
+    mean = lambda n: F.avg("v").over(w.rowsBetween(-n, -1))
+    x = v.withColumns({"v1": mean(1), "v5": mean(5), "v22": mean(22), **{f"x_{c}": F.lag(c).over(w) for c in exogenous}}).where("nth > 22")
+    made = walk_forward(x, ["v1", "v5", "v22", *[f"x_{c}" for c in exogenous]], "v", ["symbol"], "date", ridge=ridge, least=first, penalise_intercept=True)
+    made = made.withColumns({"p": F.when(F.col("n_train") >= first, F.col("predicted")), "off": F.exp(F.col("v") - F.col("predicted"))})
+    known = F.col("p").isNotNull() & F.col("v").isNotNull()
+    q = lambda c: F.when(known, c)
+    g = made.groupBy("symbol").agg(
+        F.count(q(F.col("v"))).alias("n"),
+        (1 - F.sum(q((F.col("v") - F.col("p")) ** 2)) / F.greatest(F.var_pop(q(F.col("v"))) * F.count(q(F.col("v"))), F.lit(1e-12))).alias("r2"),
+        F.avg(q(F.col("off") - F.ln("off") - 1)).alias("qlike"),
+        ((F.max_by("p", q(F.col("date"))) - F.avg(q(F.col("p")))) / F.greatest(F.stddev_pop(q(F.col("p"))), F.lit(1e-12))).alias("z"),
+    )
+    enough = F.col("n") >= 2
+    score = F.col("z") * F.greatest("r2", F.lit(0.0)) / (1 + F.greatest("qlike", F.lit(0.0)))
+    return g.select("symbol", "n", F.when(enough, F.col("r2")).alias("r2"), F.when(enough, F.col("qlike")).alias("qlike"), F.when(enough, score).alias("score"))
 
 
 def correlation_matrix(sessions: DataFrame, value: str = "ret") -> DataFrame:

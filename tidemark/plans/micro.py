@@ -137,11 +137,11 @@ def auction_labels(spark: SparkSession, sf: str) -> DataFrame:
                 SELECT m.symbol, n.i, n.ts, n.sec, n.close, n.volume, state, lvl, nv, sv, entered, CASE WHEN state > 0 THEN quiet WHEN hi IS NULL THEN 0 WHEN (n.high - n.low) / n.close < 1.0 THEN quiet + 1 ELSE 0 END AS q2,
                     CASE WHEN state > 0 THEN hi WHEN hi IS NULL OR (n.high - n.low) / n.close >= 1.0 THEN n.high ELSE greatest(hi, n.high) END AS hi2, CASE WHEN state > 0 THEN lo WHEN hi IS NULL OR (n.high - n.low) / n.close >= 1.0 THEN n.low ELSE least(lo, n.low) END AS lo2
                 FROM m JOIN n ON n.symbol = m.symbol AND n.i = m.i + 1)))
-    SELECT symbol, ts, kind, was AS from_state, CASE WHEN kind = 'advance' THEN was + 1 ELSE 0 END AS to_state, {R("told", 2)} AS level, {R("CASE WHEN kind = 'signal' THEN close END", 2)} AS entry_price, {R("CASE WHEN kind = 'signal' THEN told * 0.995 END", 4)} AS stop_loss FROM m WHERE kind <> 'stay'""")
+    SELECT symbol, ts, kind, was AS from_state, CASE WHEN kind = 'advance' THEN was + 1 ELSE 0 END AS to_state, {R("told", 2)} AS level, {R("CASE WHEN kind = 'signal' THEN close END", 2)} AS entry_price, {R("CASE WHEN kind = 'signal' THEN told * 0.995 END", 5)} AS stop_loss FROM m WHERE kind <> 'stay'""")
 def breakout_transitions(spark: SparkSession, sf: str) -> DataFrame:
     setup = machine.Breakout(quiet_range=1.0, quiet_bars=2, spike=1.0, failed=0.1, near=0.4, lost=(0.05, 5.0), away=1.05, timeout_seconds=36000)
     out = machine.transitions(hourly_bars(spark, sf), setup).select("symbol", "ts", "kind", "from_state", "to_state", "level", "entry_price", "stop_loss")
-    return rounded(rounded(out, "level", "entry_price", digits=2), "stop_loss", digits=4)
+    return rounded(rounded(out, "level", "entry_price", digits=2), "stop_loss", digits=5)
 
 
 @query(f"""WITH {BARS}, r AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS ret FROM bars), f AS (SELECT symbol, ret, volume FROM r WHERE ret IS NOT NULL),
