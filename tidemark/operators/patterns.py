@@ -59,20 +59,28 @@ def merged(left: DataFrame, right: DataFrame, conflict: str = "prefer_strong", m
 
 
 def gates(bars: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Long gates: the bars of each pattern.
+    """Long gates: the bars of each pattern, with its mean, correlation, strength and bias where patterns have them.
 
     patterns: symbol, pattern_key, pattern_type, weekday, hour, wom, months (null: no condition).  weekday and
-    wom_weekday gates open on the session's last bar; time gates on bars of their clock hour; weekend gates on the last
+    order-flow gates open on the session's last bar; time gates on bars of their clock hour; weekend gates on the last
     bar of a Friday.  Order-flow types take no month mask.
+
+    A bar meets patterns by equality only: it stands once for each of the eight choices of conditions that a pattern can
+    have, so the join makes no more rows than gates, whatever the number of patterns.
     """
     last = F.row_number().over(Window.partitionBy("symbol", "date").orderBy(F.col("ts").desc())) == 1
-    b = bars.withColumns({"bar_weekday": F.weekday("date"), "bar_month": F.month("date"), "is_last": last, "bar_wom": (F.floor((F.day("date") + F.weekday(F.trunc("date", "month")) - 1) / 7) + 1).cast("int")})
-    j = b.join(patterns.withColumnRenamed("symbol", "p_symbol").withColumnRenamed("hour", "p_hour"), (F.col("symbol") == F.col("p_symbol")), "inner")
-    free = lambda c, v: F.col(c).isNull() | (F.col(c) == v)
-    anchored = F.col("pattern_type").isin("weekday_mean", "oflow_weekly", "oflow_wom", "weekend_hedging")
+    conditions = {"weekday": F.weekday("date"), "hour": F.col("hour"), "wom": (F.floor((F.day("date") + F.weekday(F.trunc("date", "month")) - 1) / 7) + 1).cast("int")}
+    none = F.lit(-1)
+    b = bars.withColumns({f"at_{c}": v for c, v in conditions.items()} | {"bar_month": F.month("date"), "is_last": last})
+    b = b.select("symbol", "ts", "date", "bar_month", "is_last", *[f"at_{c}" for c in conditions])
+    for c in conditions:
+        b = b.withColumn(f"key_{c}", F.explode(F.array(F.col(f"at_{c}").cast("int"), none)))
+    anchored = F.col("pattern_type").isin("weekday_mean", "weekday_returns", "momentum_weekday", "oflow_weekly", "oflow_wom", "weekend_hedging")
+    numbers = [c for c in ("mean", "correlation", "strength", "bias") if c in patterns.columns]
+    p = patterns.select("symbol", "pattern_key", "pattern_type", "months", *numbers, anchored.alias("anchored"), *[F.coalesce(F.col(c).cast("int"), none).alias(f"key_{c}") for c in conditions])
     month_ok = F.col("months").isNull() | F.col("pattern_type").startswith("oflow") | F.array_contains("months", F.col("bar_month"))
-    on = free("weekday", F.col("bar_weekday")) & free("p_hour", F.col("hour")) & free("wom", F.col("bar_wom")) & month_ok & (~anchored | F.col("is_last"))
-    return j.where(on).select("symbol", "ts", "date", "pattern_key", "pattern_type", F.lit(1).cast("tinyint").alias("gate"))
+    j = b.join(p, ["symbol", *[f"key_{c}" for c in conditions]]).where(month_ok & (~F.col("anchored") | F.col("is_last")))
+    return j.select("symbol", "ts", "date", "pattern_key", "pattern_type", *numbers, F.lit(1).cast("tinyint").alias("gate"))
 
 
 def any_gate(bars: DataFrame, gated: DataFrame) -> DataFrame:
@@ -125,17 +133,19 @@ def opening_period(bars: DataFrame, minutes: int, tolerance_seconds: int = 300)
     return found.select("symbol", "date", log_ratio("close", "first_open").alias("opening_ret"))
 
 
-def decisions(gated: DataFrame, bars: DataFrame, patterns: DataFrame, minutes: int = 60) -> DataFrame:
+def decisions(gated: DataFrame, bars: DataFrame, patterns: DataFrame | None = None, minutes: int = 60) -> DataFrame:
     """Decision rows: symbol, ts_decision, gate, pattern_type, returns_x, returns_y, side_hint, correlation, strength.
 
     y is the pattern type's horizon.  x is the past move for time patterns, the same session a week before for weekly
     ones, else the pattern's mean.  Rows without finite x and y are left out; side hints come from order flow only.
+    patterns are needed only where the gates do not carry their numbers.
     """
     s = session_horizons(bars)
     d = intraday_delta(bars, minutes)
     back = shifted_join(bars.select("symbol", "ts", "close"), ["symbol"], "ts", "close", -minutes * 60, "earlier").select("symbol", "ts", log_ratio("close", "earlier").alias("past"))
     j = gated.join(s.drop("open", "close"), ["symbol", "date"]).join(d, ["symbol", "ts"], "left").join(back, ["symbol", "ts"], "left")
-    j = j.join(patterns.select("symbol", "pattern_key", "mean", "correlation", "strength", "bias"), ["symbol", "pattern_key"])
+    if patterns is not None:
+        j = j.drop("mean", "correlation", "strength", "bias").join(patterns.select("symbol", "pattern_key", "mean", "correlation", "strength", "bias"), ["symbol", "pattern_key"])
     h = horizon_of("pattern_type")
     y = F.coalesce(*[F.when(h == name, F.col(name)) for name in ("same_day_oc", "next_day_cc", "next_week_cc", "next_monday_oc", "intraday_delta")])
     x = F.when(F.col("pattern_type").startswith("time_"), F.coalesce("past", "correlation")).when(F.col("pattern_type").startswith("oflow"), F.coalesce("prev_week", "mean")).otherwise(F.col("mean"))

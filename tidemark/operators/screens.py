@@ -151,7 +151,7 @@ def time_predictability(intraday: DataFrame, least: int = 15) -> DataFrame:
         later = d.select("symbol", "hour", F.date_sub("date", k).alias("date"), F.col("ret").alias(name))
         out = out.join(later, ["symbol", "hour", "date"], "left")
     return out.groupBy("symbol", "hour").agg(
-        F.count("*").alias("n"), F.count("next_day").alias("n_next_day"), corr("ret", "next_day").alias("r_next_day"), corr("ret", "next_week").alias("r_next_week"), corr("ret", "to_close").alias("r_to_close")
+        F.count("*").alias("n"), F.avg("ret").alias("mean"), F.count("next_day").alias("n_next_day"), F.count("next_week").alias("n_next_week"), corr("ret", "next_day").alias("r_next_day"), corr("ret", "next_week").alias("r_next_week"), corr("ret", "to_close").alias("r_to_close")
     ).where(F.col("n") >= least)
 
 

@@ -257,10 +257,16 @@ def orderflow_weekly_pressure(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.drop("p_value", "q_value", "rejected"), "mean", "std", "t_stat")
 
 
-@query(_seasonality_sql("wom, weekday"))
+WOM_WEEKDAY = _seasonality_sql("wom, weekday")
+
+
+def pressure_by_wom(spark: SparkSession, sf: str) -> DataFrame:
+    return orderflow.seasonality_table(_metrics(spark, sf), ["wom", "weekday"], _NAMES)
+
+
+@query(WOM_WEEKDAY)
 def orderflow_wom_weekday(spark: SparkSession, sf: str) -> DataFrame:
-    out = orderflow.seasonality_table(_metrics(spark, sf), ["wom", "weekday"], _NAMES)
-    return rounded(out.drop("p_value", "q_value", "rejected"), "mean", "std", "t_stat")
+    return rounded(pressure_by_wom(spark, sf).drop("p_value", "q_value", "rejected"), "mean", "std", "t_stat")
 
 
 @query()

@@ -5,34 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import extraction, screens
 from tidemark.operators import patterns as P
-from tidemark.operators import screens
+from tidemark.plans.flow import WOM_WEEKDAY, pressure_by_wom
 from tidemark.plans.registry import R, query, rounded
 from tidemark.sources.tables import BARS, HOURS, daily_bars, hourly_bars
 
 W = "OVER (PARTITION BY symbol ORDER BY date)"
-#: Patterns of the hourly bars: a weekday, an hour with its next-day horizon, and an order-flow week of the month.
-_DIM = f"""{HOURS}, pat AS (SELECT symbol, 'wd_' || d AS pattern_key, 'weekday_mean' AS pattern_type, d AS weekday, NULL::INTEGER AS p_hour, NULL::INTEGER AS wom, 0.01 * (d - 2) AS mean, 0.5 - 0.2 * d AS correlation, 1.0 + d AS strength, 'buy' AS bias FROM (SELECT DISTINCT symbol FROM hours), (SELECT unnest([0, 1, 2, 3, 4])::INTEGER AS d)
-    UNION ALL SELECT symbol, 'hr_' || h, 'time_predictive_nextday', NULL, h, NULL, 0.0, 0.1 * (h - 12), 2.0, 'buy' FROM (SELECT DISTINCT symbol FROM hours), (SELECT unnest([10, 13])::INTEGER AS h)
-    UNION ALL SELECT symbol, 'wom_2', 'oflow_wom', 1, NULL, 2, 0.02, 0.3, 1.5, 'sell' FROM (SELECT DISTINCT symbol FROM hours)),
+#: Patterns of the hourly bars, from three screens: weekdays, predictive hours, and order flow by week of month and weekday.
+_PATTERNS = f"""{HOURS}, day AS (SELECT symbol, date, arg_max(close, ts) AS close FROM hours GROUP BY 1, 2), dr AS (SELECT symbol, date, ln(close / lag(close) {W}) AS ret FROM day),
+    wds AS (SELECT symbol, CAST(isodow(date) - 1 AS INTEGER) AS weekday, count(*) AS n, avg(ret) AS mean, avg(ret) / (stddev(ret) / sqrt(count(*))) AS t FROM dr WHERE ret IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1),
+    hr AS (SELECT symbol, hour, date, ln(close / open) AS ret FROM hours),
+    tps AS (SELECT a.symbol, a.hour, avg(a.ret) AS mean, count(b.ret) AS n, corr(a.ret, b.ret) AS r FROM hr a LEFT JOIN hr b ON b.symbol = a.symbol AND b.hour = a.hour AND b.date = a.date + 1 GROUP BY 1, 2 HAVING count(*) >= 15),
+    ofs AS ({WOM_WEEKDAY}),
+    pat AS (SELECT symbol, 'wd_' || weekday AS pattern_key, 'weekday_mean' AS pattern_type, weekday, NULL::INTEGER AS p_hour, NULL::INTEGER AS wom, n, mean, t AS t_stat, NULL::DOUBLE AS correlation, abs(t) AS strength, CASE WHEN mean > 0 THEN 'buy' WHEN mean < 0 THEN 'sell' END AS bias FROM wds WHERE abs(t) > 0.4
+        UNION ALL SELECT symbol, 'hr_' || hour || '_next_day', 'time_predictive_nextday', NULL, hour, NULL, n, mean, r * sqrt(n - 2) / sqrt(1 - r * r), r, abs(r), CASE WHEN r > 0 THEN 'buy' ELSE 'sell' END FROM tps WHERE n > 2 AND abs(r * sqrt(n - 2) / sqrt(1 - r * r)) > 1.0
+        UNION ALL SELECT symbol, 'of_buy_pressure_w' || wom || '_' || weekday, 'oflow_wom', weekday, NULL, wom, n, mean, t_stat, NULL, abs(t_stat), CASE WHEN mean > 0 THEN 'buy' ELSE 'sell' END FROM ofs WHERE metric = 'buy_pressure' AND abs(t_stat) > 0.7)"""
+_DIM = f"""{_PATTERNS},
     b AS (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY ts DESC) = 1 AS is_last, CAST(isodow(date) - 1 AS INTEGER) AS bw, CAST(floor((day(date) + isodow(date_trunc('month', date)) - 2) / 7) + 1 AS INTEGER) AS bwom FROM hours),
     gates AS (SELECT b.symbol, b.ts, b.date, p.* EXCLUDE (symbol) FROM b JOIN pat p ON b.symbol = p.symbol AND (p.weekday IS NULL OR p.weekday = b.bw) AND (p.p_hour IS NULL OR p.p_hour = b.hour) AND (p.wom IS NULL OR p.wom = b.bwom)
         AND (p.pattern_type NOT IN ('weekday_mean', 'oflow_wom') OR b.is_last)),
     s0 AS (SELECT symbol, date, arg_min(open, ts) AS open, arg_max(close, ts) AS close FROM hours GROUP BY 1, 2), s1 AS (SELECT *, greatest(-0.5, least(0.5, ln(close / open))) AS oc FROM s0),
     s AS (SELECT symbol, date, oc, CASE WHEN lead(close) {W} IS NOT NULL THEN greatest(-0.5, least(0.5, ln(lead(close) {W} / close))) END AS nd, CASE WHEN lead(close, 5) {W} IS NOT NULL THEN greatest(-0.5, least(0.5, ln(lead(close, 5) {W} / close))) END AS nw, CASE WHEN isodow(date) = 5 AND isodow(lead(date) {W}) = 1 THEN lead(oc) {W} END AS mon, lag(oc, 5) {W} AS pw FROM s1),
     xy AS (SELECT g.symbol, g.ts AS ts_decision, g.pattern_key AS gate, g.pattern_type, CASE WHEN g.pattern_type LIKE 'time%' THEN coalesce(ln(b.close / e.close), g.correlation) WHEN g.pattern_type LIKE 'oflow%' THEN coalesce(s.pw, g.mean) ELSE g.mean END AS returns_x,
-        CASE WHEN g.pattern_type = 'time_predictive_nextday' THEN s.nd ELSE s.oc END AS returns_y, CASE WHEN g.pattern_type LIKE 'oflow%' THEN -1 ELSE 0 END AS side_hint, g.correlation, g.strength
+        CASE WHEN g.pattern_type = 'time_predictive_nextday' THEN s.nd ELSE s.oc END AS returns_y, CASE WHEN g.pattern_type LIKE 'oflow%' THEN CASE g.bias WHEN 'buy' THEN 1 WHEN 'sell' THEN -1 ELSE 0 END ELSE 0 END AS side_hint, g.correlation, g.strength
         FROM gates g JOIN s USING (symbol, date) JOIN hours b ON b.symbol = g.symbol AND b.ts = g.ts LEFT JOIN hours e ON e.symbol = g.symbol AND e.ts = g.ts - INTERVAL 1 HOUR),
     dec AS (SELECT * FROM xy WHERE returns_x IS NOT NULL AND returns_y IS NOT NULL)"""
 
 
 def _patterns(spark, sf) -> DataFrame:
-    symbols = hourly_bars(spark, sf).select("symbol").distinct()
-    rows = [(f"wd_{d}", "weekday_mean", d, None, None, 0.01 * (d - 2), 0.5 - 0.2 * d, 1.0 + d, "buy") for d in range(5)]
-    rows += [(f"hr_{h}", "time_predictive_nextday", None, h, None, 0.0, 0.1 * (h - 12), 2.0, "buy") for h in (10, 13)]
-    rows += [("wom_2", "oflow_wom", 1, None, 2, 0.02, 0.3, 1.5, "sell")]
-    dim = spark.createDataFrame(rows, "pattern_key string, pattern_type string, weekday int, hour int, wom int, mean double, correlation double, strength double, bias string")
-    return symbols.crossJoin(F.broadcast(dim)).withColumn("months", F.lit(None).cast("array<int>"))  # a row a pattern
+    hours = hourly_bars(spark, sf)
+    days = hours.groupBy("symbol", "date").agg(F.max_by("close", "ts").alias("close"))
+    flow = pressure_by_wom(spark, sf).where("metric = 'buy_pressure'")
+    return extraction.index(
+        extraction.weekday_patterns(screens.weekday_statistics(days), 0.4),
+        extraction.time_patterns(screens.time_predictability(hours), 1.0).where("pattern_type = 'time_predictive_nextday'"),
+        extraction.orderflow_patterns(flow, 0.7),
+    )
+
+
+@query(f"WITH {_PATTERNS} SELECT symbol, pattern_key, pattern_type, weekday, p_hour AS hour, wom, n, {R('mean')} AS mean, {R('t_stat', 4)} AS t_stat, {R('correlation', 5)} AS correlation, bias FROM pat")
+def screen_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    out = _patterns(spark, sf).select("symbol", "pattern_key", "pattern_type", "weekday", "hour", "wom", "n", "mean", "t_stat", "correlation", "bias")
+    return rounded(rounded(rounded(out, "mean"), "t_stat", digits=4), "correlation", digits=5)
+
+
+@query(f"WITH {_PATTERNS} SELECT symbol, pattern_key, CAST(row_number() OVER (PARTITION BY symbol ORDER BY strength DESC, pattern_key) AS INTEGER) AS rank FROM pat WHERE pattern_type IN ('weekday_mean', 'time_predictive_nextday')")
+def seasonal_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.seasonal_ranking(extraction.chosen(_patterns(spark, sf), sources=["seasonality"])).select("symbol", "pattern_key", "rank")
+
+
+@query(f"""WITH {_PATTERNS}, occ AS (SELECT d.symbol, p.pattern_key, d.date, d.ret FROM dr d JOIN pat p ON p.symbol = d.symbol AND p.pattern_type = 'weekday_mean' AND p.weekday = isodow(d.date) - 1
+        UNION ALL SELECT d.symbol, p.pattern_key, d.date, d.ret FROM dr d JOIN pat p ON p.symbol = d.symbol AND p.pattern_type = 'oflow_wom' AND p.weekday = isodow(d.date) - 1 AND p.wom = floor((day(d.date) + isodow(date_trunc('month', d.date)) - 2) / 7) + 1
+        UNION ALL SELECT h.symbol, p.pattern_key, h.date, h.ret FROM hr h JOIN pat p ON p.symbol = h.symbol AND p.p_hour = h.hour)
+    SELECT o.symbol, pattern_key, o.date, {R("o.ret")} AS pattern_return, {R("d.close", 2)} AS close, {R("exp(sum(ln(1 + o.ret)) OVER (PARTITION BY o.symbol, pattern_key ORDER BY o.date))", 4)} AS rebased
+    FROM occ o JOIN day d ON d.symbol = o.symbol AND d.date = o.date WHERE o.ret > -1""")
+def pattern_series(spark: SparkSession, sf: str) -> DataFrame:
+    hours = hourly_bars(spark, sf)
+    series = extraction.pattern_series(_patterns(spark, sf), hours).where("pattern_return > -1")
+    return rounded(rounded(rounded(extraction.rebased(series, hours), "pattern_return"), "close", digits=2), "rebased", digits=4)
 
 
 def _gates(spark, sf):
@@ -40,12 +71,12 @@ def _gates(spark, sf):
 
 
 def _xy(spark, sf):
-    return P.decisions(_gates(spark, sf), hourly_bars(spark, sf), _patterns(spark, sf), 60)
+    return P.decisions(_gates(spark, sf), hourly_bars(spark, sf), minutes=60)
 
 
 @query(f"WITH {_DIM} SELECT symbol, ts, date, pattern_key, pattern_type FROM gates")
 def pattern_gates(spark: SparkSession, sf: str) -> DataFrame:
-    return _gates(spark, sf).drop("gate")
+    return _gates(spark, sf).select("symbol", "ts", "date", "pattern_key", "pattern_type")
 
 
 @query(f"WITH {_DIM}, n AS (SELECT symbol, ts, count(*) AS n FROM gates GROUP BY 1, 2) SELECT h.symbol, h.ts, coalesce(n, 0) AS n_gates, n IS NOT NULL AS any_active FROM hours h LEFT JOIN n USING (symbol, ts)")
@@ -76,11 +107,11 @@ def decision_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_xy(spark, sf).select("symbol", "ts_decision", "gate", "returns_x", "returns_y", "side_hint"), "returns_x", "returns_y")
 
 
-@query(f"""WITH {_DIM}, a AS (SELECT symbol, ts_decision, sum(abs(returns_x) * sign(correlation) * strength) AS score, avg(returns_x) AS x, count(*) AS n FROM dec GROUP BY 1, 2)
-    SELECT symbol, ts_decision, n, {R("x")} AS returns_x, CASE WHEN abs(score) < 1e-12 THEN 0 ELSE CAST(sign(score) AS INTEGER) END AS position FROM a""")
+@query(f"""WITH {_DIM}, a AS (SELECT symbol, ts_decision, sum(abs(returns_x) * sign(coalesce(correlation, 1)) * coalesce(strength, 1)) AS score, avg(returns_x) AS x, count(*) AS n FROM dec GROUP BY 1, 2)
+    SELECT symbol, ts_decision, n, {R("x", 5)} AS returns_x, CASE WHEN abs(score) < 1e-12 THEN 0 ELSE CAST(sign(score) AS INTEGER) END AS position FROM a""")
 def aggregated_positions(spark: SparkSession, sf: str) -> DataFrame:
     a = P.aggregated_positions(_xy(spark, sf)).withColumn("position", F.when(F.abs("score") < 1e-12, 0).otherwise(F.col("position")))
-    return rounded(a.select("symbol", "ts_decision", "n", "returns_x", "position"), "returns_x")
+    return rounded(a.select("symbol", "ts_decision", "n", "returns_x", "position"), "returns_x", digits=5)
 
 
 @query(f"""WITH {_DIM}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts_decision ORDER BY abs(returns_x) * strength DESC, abs(returns_x) DESC, gate) AS pick, count(*) OVER (PARTITION BY symbol, ts_decision) AS members FROM dec)
