@@ -229,17 +229,35 @@ def convert_units(df: DataFrame, value: str, from_unit: str, to_unit: str, commo
     return df.withColumn(value, F.col(value) * (tons(from_unit) / tons(to_unit)))
 
 
-def constant_maturity(curve: DataFrame, taus: list[float]) -> DataFrame:
-    """ln price linear in years to expiry, at each tau; beyond the ends along the outer segment, flat with one point."""
+def constant_maturity(curve: DataFrame, taus: list[float], method: str = "linear") -> DataFrame:
+    """ln price at each tau, in years to expiry: linear between points, or a cubic through the four around tau.
+
+    "cubic" is the natural spline over the two points on either side of tau, three points at the ends of the curve; with
+    fewer than four points in all it is linear.  Beyond the ends the outer segment goes on, its line or its cubic; one
+    point is flat.  Of points with the same time to expiry the lowest price counts.
+    """
     t = F.col("dte") / DAYS
-    points = curve.where("price > 0 AND dte > 0").groupBy("symbol", "date").agg(F.sort_array(F.collect_list(F.struct(t.alias("t"), F.ln("price").alias("y")))).alias("p"))
-    x = points.select("symbol", "date", "p", F.explode(F.array(*map(F.lit, taus))).alias("tau"))
-    n = F.size("p")
-    # the segment that holds tau, or the outer one
-    upper = F.greatest(F.lit(2), F.least(n, F.size(F.filter("p", lambda q: q["t"] < F.col("tau"))) + 1))
-    x = x.withColumn("n", n).withColumn("a", F.when(n > 1, F.element_at("p", (upper - 1).cast("int")))).withColumn("b", F.when(n > 1, F.element_at("p", upper.cast("int"))))
-    slope = ratio(F.col("b.y") - F.col("a.y"), F.col("b.t") - F.col("a.t"))
-    value = F.when(F.col("n") == 1, F.col("p")[0]["y"]).otherwise(F.col("a.y") + F.coalesce(slope, F.lit(0.0)) * (F.col("tau") - F.col("a.t")))
+    priced = curve.where("price > 0 AND dte > 0").groupBy("symbol", "date", t.alias("t")).agg(F.ln(F.min("price")).alias("y"))
+    points = priced.groupBy("symbol", "date").agg(F.sort_array(F.collect_list(F.struct("t", "y"))).alias("p"))
+    x = points.select("symbol", "date", "p", F.size("p").alias("n"), F.explode(F.array(*map(F.lit, taus))).alias("tau"))
+    # the segment that holds tau, or the outer one: its upper point, counted from 0
+    k = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.size(F.filter("p", lambda q: q["t"] < F.col("tau")))))
+    x = x.withColumn("k", k.cast("int")).withColumns({f"q{i}": F.get("p", F.col("k") + i - 2) for i in range(4)})
+    t0, t1, t2, t3 = (F.col(f"q{i}.t") for i in range(4))
+    y0, y1, y2, y3 = (F.col(f"q{i}.y") for i in range(4))
+    h0, h1, h2 = t1 - t0, t2 - t1, t3 - t2
+    d0, d1, d2 = (y1 - y0) / h0, (y2 - y1) / h1, (y3 - y2) / h2
+    at = F.col("tau")
+    line = y1 + d1 * (at - t1)
+    # second derivatives at the segment's ends; those at the outermost points are zero
+    first, last = F.col("k") == 1, F.col("k") == F.col("n") - 1
+    whole = (h0 + h1) * (h1 + h2) / 9 - h1 * h1 / 36
+    m1 = F.when(first, 0.0).when(last, 3 * (d1 - d0) / (h0 + h1)).otherwise(((d1 - d0) * (h1 + h2) / 3 - (d2 - d1) * h1 / 6) / whole)
+    m2 = F.when(last, 0.0).when(first, 3 * (d2 - d1) / (h1 + h2)).otherwise(((d2 - d1) * (h0 + h1) / 3 - (d1 - d0) * h1 / 6) / whole)
+    left, right = t2 - at, at - t1
+    cubic = (m1 * left * left * left + m2 * right * right * right) / (6 * h1) + (y1 / h1 - m1 * h1 / 6) * left + (y2 / h1 - m2 * h1 / 6) * right
+    value = F.when(F.col("n") == 1, F.col("p")[0]["y"])
+    value = value.when(F.col("n") >= 4, cubic).otherwise(line) if method == "cubic" else value.otherwise(line)
     return x.select("symbol", "date", "tau", value.alias("ln_f"))
 
 
@@ -284,6 +302,45 @@ def path_variation(pairs: DataFrame, x: str, y: str, window: int) -> DataFrame:
     return z.withColumn("path_length", F.when(F.count("step").over(frame) == window - 1, F.sum("step").over(frame))).drop("step")
 
 
+def signature_levels(pairs: DataFrame, x: str, y: str, window: int, levels: int = 3) -> DataFrame:
+    """pairs with level_1 .. level_n of the two log paths over the `window` rows before each row.
+
+    Level 1 is the change of y less that of x, level 2 the signed area of `levy_area`, each later one the product of the
+    level before it with its own previous row.  Null with gaps.
+    """
+    w = by("symbol", "date")
+    z = levy_area(pairs, x, y, window).withColumn("gap", F.ln(y) - F.ln(x))
+    frame = w.rowsBetween(-window, -1)
+    z = z.withColumn("level_1", F.when(F.count("gap").over(frame) == window, F.lag("gap", 1).over(w) - F.lag("gap", window).over(w))).withColumn("level_2", F.col("levy_area"))
+    for n in range(3, levels + 1):
+        z = z.withColumn(f"level_{n}", F.col(f"level_{n - 1}") * F.lag(f"level_{n - 1}").over(w))
+    return z.drop("gap", "levy_area", "lx", "ly", "dx", "dy")
+
+
+def leadership(seq: DataFrame, window: int, split: int) -> tuple[DataFrame, DataFrame]:
+    """Which end of the curve leads: by symbol and date front_area, back_area and their difference, and each symbol's shares.
+
+    The signed area between neighbouring contracts (seq and seq + 1, on dates that have both) is positive where the
+    nearer one leads; front_area is its mean over pairs below `split`, back_area over those from it on.  The second
+    table has the share of dates on which the front leads, and the back.
+    """
+    w = Window.partitionBy("symbol", "date").orderBy("seq")
+    pairs = seq.withColumns({"far": F.lead("price").over(w), "far_seq": F.lead("seq").over(w)}).where((F.col("far_seq") == F.col("seq") + 1) & (F.col("price") > 0) & (F.col("far") > 0))
+    keyed = pairs.select(F.concat_ws("|", "symbol", F.col("seq").cast("string")).alias("symbol"), F.col("symbol").alias("name"), "seq", "date", F.col("price").alias("near"), "far")
+    areas = levy_area(keyed, "near", "far", window).where("levy_area IS NOT NULL")
+    by_date = areas.groupBy(F.col("name").alias("symbol"), "date").agg(F.avg(F.when(F.col("seq") < split, F.col("levy_area"))).alias("front_area"), F.avg(F.when(F.col("seq") >= split, F.col("levy_area"))).alias("back_area"))
+    by_date = by_date.withColumn("leadership", F.col("front_area") - F.col("back_area"))
+    shares = by_date.where("leadership IS NOT NULL").groupBy("symbol").agg(F.avg((F.col("leadership") > 0).cast("double")).alias("front_leads"), F.avg((F.col("leadership") < 0).cast("double")).alias("back_leads"), F.count("*").alias("n"))
+    return by_date, shares
+
+
+def regime_transitions(states: DataFrame, state: str) -> DataFrame:
+    """symbol, from_state, to_state, n and share of the moves out of from_state, from one row a symbol and date to the next."""
+    w = by("symbol", "date")
+    moves = states.withColumn("from_state", F.lag(state).over(w)).where("from_state IS NOT NULL").groupBy("symbol", "from_state", F.col(state).alias("to_state")).agg(F.count("*").alias("n"))
+    return moves.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("symbol", "from_state")))
+
+
 def sign_changes(df: DataFrame, value: str, confirm: int = 3) -> DataFrame:
     """Rows where the sign changes and no row of the next `confirm` has the old sign (zeros allowed)."""
     w = by("symbol", "date")

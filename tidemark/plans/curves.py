@@ -155,6 +155,58 @@ def constant_maturity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(curves.constant_maturity(_seq(spark, sf), [0.25]), "ln_f").withColumn("tau", F.col("tau").cast("decimal(3,2)"))
 
 
+@query(f"""WITH {SEQ}, raw AS (SELECT symbol, date, dte / 365.25 AS t, ln(min(price)) AS y FROM seq WHERE price > 0 GROUP BY 1, 2, 3), pts AS (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY symbol, date) AS n FROM raw),
+    u AS (SELECT symbol, date, tau, any_value(n) AS n, greatest(1, least(any_value(n) - 1, count(*) FILTER (t < tau))) AS k FROM pts, (SELECT unnest([0.02, 0.2, 0.35, 0.9])::DOUBLE AS tau) GROUP BY 1, 2, 3),
+    q AS (SELECT u.*, p0.t AS t0, p0.y AS y0, p1.t AS t1, p1.y AS y1, p2.t AS t2, p2.y AS y2, p3.t AS t3, p3.y AS y3 FROM u LEFT JOIN pts p0 ON p0.symbol = u.symbol AND p0.date = u.date AND p0.i = k - 2 LEFT JOIN pts p1 ON p1.symbol = u.symbol AND p1.date = u.date AND p1.i = k - 1
+        LEFT JOIN pts p2 ON p2.symbol = u.symbol AND p2.date = u.date AND p2.i = k LEFT JOIN pts p3 ON p3.symbol = u.symbol AND p3.date = u.date AND p3.i = k + 1),
+    g AS (SELECT *, (y1 - y0) / (t1 - t0) AS d0, (y2 - y1) / (t2 - t1) AS d1, (y3 - y2) / (t3 - t2) AS d2, CASE WHEN k = 1 THEN 0 END AS z1, CASE WHEN k = n - 1 THEN 0 END AS z2 FROM q),
+    m AS (SELECT *, coalesce(z1, CASE WHEN k = n - 1 THEN (d1 - d0) / ((t2 - t0) / 3) ELSE ((d1 - d0) * (t3 - t1) / 3 - (d2 - d1) * (t2 - t1) / 6) / ((t2 - t0) * (t3 - t1) / 9 - (t2 - t1) * (t2 - t1) / 36) END) AS m1,
+        coalesce(z2, CASE WHEN k = 1 THEN (d2 - d1) / ((t3 - t1) / 3) ELSE ((d2 - d1) * (t2 - t0) / 3 - (d1 - d0) * (t2 - t1) / 6) / ((t2 - t0) * (t3 - t1) / 9 - (t2 - t1) * (t2 - t1) / 36) END) AS m2, (tau - t1) / (t2 - t1) AS s FROM g)
+    SELECT m.symbol, m.date, tau, {R("CASE WHEN m.n = 1 THEN p.y ELSE y1 + d1 * (tau - t1) END", 5)} AS linear, {R("CASE WHEN m.n = 1 THEN p.y WHEN m.n < 4 THEN y1 + d1 * (tau - t1) ELSE (1 - s) * y1 + s * y2 + (t2 - t1) * (t2 - t1) / 6 * ((power(1 - s, 3) - (1 - s)) * m1 + (power(s, 3) - s) * m2) END", 5)} AS cubic
+    FROM m JOIN pts p ON p.symbol = m.symbol AND p.date = m.date AND p.i = 0""")
+def constant_maturity_panel(spark: SparkSession, sf: str) -> DataFrame:
+    taus = [0.02, 0.2, 0.35, 0.9]
+    linear = curves.constant_maturity(_seq(spark, sf), taus).withColumnRenamed("ln_f", "linear")
+    cubic = curves.constant_maturity(_seq(spark, sf), taus, "cubic").withColumnRenamed("ln_f", "cubic")
+    return rounded(linear.join(cubic, ["symbol", "date", "tau"]), "linear", "cubic", digits=5)
+
+
+_SIGNED = f"""{SPREAD}, z AS (SELECT symbol, date, ln(near) AS lx, ln(far) AS ly FROM sp WHERE near > 0 AND far > 0), i AS (SELECT *, row_number() {W} AS k, lx - lag(lx) {W} AS dx, ly - lag(ly) {W} AS dy FROM z),
+    area AS (SELECT b.symbol, b.date, 0.5 * sum((a.lx - a.dx / 2 - s.lx) * a.dy - (a.ly - a.dy / 2 - s.ly) * a.dx) AS levy_area, any_value(s.ly - s.lx) AS g0 FROM i b JOIN i s ON s.symbol = b.symbol AND s.k = b.k - 10 JOIN i a ON a.symbol = b.symbol AND a.k BETWEEN b.k - 9 AND b.k - 1 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_SIGNED}, l AS (SELECT i.symbol, i.date, lag(ly - lx) {W.replace("symbol", "i.symbol").replace("date", "i.date")} - g0 AS level_1, levy_area AS level_2 FROM i LEFT JOIN area a ON a.symbol = i.symbol AND a.date = i.date),
+    m AS (SELECT *, level_2 * lag(level_2) {W} AS level_3 FROM l)
+    SELECT symbol, date, {R("level_1")} AS level_1, {R("level_2")} AS level_2, {R("level_3")} AS level_3, {R(f"level_3 * lag(level_3) {W}")} AS level_4 FROM m""")
+def signature_levels(spark: SparkSession, sf: str) -> DataFrame:
+    out = curves.signature_levels(_spread(spark, sf).where("near > 0 AND far > 0"), "near", "far", 10, 4)
+    names = [f"level_{n}" for n in range(1, 5)]
+    return rounded(out.select("symbol", "date", *names), *names)
+
+
+_LEAD = f"""{SEQ}, pr AS (SELECT symbol, seq, date, ln(price) AS lx, ln(far) AS ly FROM (SELECT *, lead(price) OVER (PARTITION BY symbol, date ORDER BY seq) AS far FROM seq) WHERE far > 0 AND price > 0), i AS (SELECT *, row_number() OVER p AS k, lx - lag(lx) OVER p AS dx, ly - lag(ly) OVER p AS dy FROM pr WINDOW p AS (PARTITION BY symbol, seq ORDER BY date)),
+    area AS (SELECT b.symbol, b.seq, b.date, 0.5 * sum((a.lx - a.dx / 2 - s.lx) * a.dy - (a.ly - a.dy / 2 - s.ly) * a.dx) AS a FROM i b JOIN i s ON s.symbol = b.symbol AND s.seq = b.seq AND s.k = b.k - 10 JOIN i a ON a.symbol = b.symbol AND a.seq = b.seq AND a.k BETWEEN b.k - 9 AND b.k - 1 GROUP BY ALL),
+    lead AS (SELECT symbol, date, avg(a) FILTER (seq < 2) AS front_area, avg(a) FILTER (seq >= 2) AS back_area FROM area GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_LEAD} SELECT symbol, date, {R('front_area')} AS front_area, {R('back_area')} AS back_area, {R('front_area - back_area')} AS leadership FROM lead")
+def curve_leadership(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(curves.leadership(_seq(spark, sf), 10, 2)[0], "front_area", "back_area", "leadership")
+
+
+@query(f"WITH {_LEAD}, d AS (SELECT symbol, front_area - back_area AS l FROM lead WHERE front_area IS NOT NULL AND back_area IS NOT NULL) SELECT symbol, {R('avg(CASE WHEN l > 0 THEN 1.0 ELSE 0 END)')} AS front_leads, {R('avg(CASE WHEN l < 0 THEN 1.0 ELSE 0 END)')} AS back_leads, count(*) AS n FROM d GROUP BY 1")
+def curve_leadership_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(curves.leadership(_seq(spark, sf), 10, 2)[1], "front_leads", "back_leads")
+
+
+@query(f"""WITH {SEQ}, s AS (SELECT symbol, date, CASE WHEN count(*) > 1 THEN regr_slope(price, seq) END AS slope FROM seq GROUP BY 1, 2), st AS (SELECT symbol, date, CASE WHEN slope IS NULL THEN 'Unknown' WHEN slope > 0.01 THEN 'Contango' WHEN slope < -0.01 THEN 'Backwardation' ELSE 'Flat' END AS structure FROM s),
+    m AS (SELECT symbol, lag(structure) {W} AS from_state, structure AS to_state FROM st), c AS (SELECT symbol, from_state, to_state, count(*) AS n FROM m WHERE from_state IS NOT NULL GROUP BY ALL)
+    SELECT *, {R("n / sum(n) OVER (PARTITION BY symbol, from_state)")} AS share FROM c""")
+def structure_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    states = curves.shape(_seq(spark, sf)).select("symbol", "date", curves.market_structure("slope").alias("structure"))
+    return rounded(curves.regime_transitions(states, "structure"), "share")
+
+
 @query(f"""WITH {SPREAD}, z AS (SELECT symbol, date, ln(near) AS lx, ln(far) AS ly FROM sp WHERE near > 0 AND far > 0), i AS (SELECT *, row_number() {W} AS k, lx - lag(lx) {W} AS dx, ly - lag(ly) {W} AS dy FROM z)
     SELECT b.symbol, b.date, {R("0.5 * sum((a.lx - a.dx / 2 - s.lx) * a.dy - (a.ly - a.dy / 2 - s.ly) * a.dx)")} AS levy_area FROM i b JOIN i s ON s.symbol = b.symbol AND s.k = b.k - 10 JOIN i a ON a.symbol = b.symbol AND a.k BETWEEN b.k - 9 AND b.k - 1 GROUP BY 1, 2""")
 def levy_area(spark: SparkSession, sf: str) -> DataFrame:
