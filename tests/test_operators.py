@@ -59,17 +59,68 @@ def market_rows(spark, rows):
 
 
 def test_market_table_upserts_and_prunes(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
     table = files.MarketTable(spark, str(tmp_path / "market"))
     table.upsert(market_rows(spark, [("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 5.0)]))
     table.upsert(market_rows(spark, [("a", 2, 9.0), ("a", 3, 3.0)]))
     assert sorted((r.symbol, r.close) for r in table.read().collect()) == [("a", 1.0), ("a", 3.0), ("a", 9.0), ("b", 5.0)]
     assert [r.close for r in table.tail("a", 2).collect()] == [3.0, 9.0]
-    assert {r.symbol: r.n_rows for r in table.summary().collect()} == {"a": 3, "b": 1}
+    assert {r.symbol: r.n_rows for r in table.summary().collect()} == {"a": 3, "b": 1} and table.symbols() == ["a", "b"]
     plan = table.read(["a"], where="close > 2")._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^\n]*symbol", plan) and "GreaterThan(close,2.0)" in plan
 
 
+def test_only_touched_months_are_rewritten(spark, tmp_path):
+    table, day = files.MarketTable(spark, str(tmp_path / "market")), 86_400
+    table.upsert(market_rows(spark, [(s, d * day, float(d)) for s in ("a", "b/c") for d in range(0, 400, 5)]))
+
+    def versions():
+        return {f"{p.parent.parent.name}/{p.parent.name}": p.name for p in (tmp_path / "market").rglob("*.parquet")}
+
+    before = versions()
+    assert len(before) == 26
+    table.upsert(market_rows(spark, [("a", 35 * day, -1.0), ("a", 36 * day, -2.0)]))
+    after = versions()
+    assert {k for k in after if before.get(k) != after[k]} == {"symbol=a/month=1970_02"}
+    assert table.read(["a"]).count() == 81 and [r.close for r in table.read(["a"], where="close < 0").orderBy("ts").collect()] == [-1.0, -2.0]
+    plan = table.read(["a"], start="1970-03-02", end="1970-04-20")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert plan.count() == 10 and re.search(r"PartitionFilters: \[[^\n]*month#\d+ >= 1970_03\)[^\n]*month#\d+ <= 1970_04\)", shown)
+    assert {r.m for r in table.read(months=[2]).selectExpr("month(ts) AS m").collect()} == {2}
+    table.write(market_rows(spark, [("b/c", 10, 7.0)]))
+    assert [r.close for r in table.read(["b/c"]).collect()] == [7.0] and table.read(["a"]).count() == 81
+    assert [p.name for p in tmp_path.iterdir()] == ["market"]
+
+
+def test_contract_files_to_a_series_without_jumps(spark, tmp_path):
+    from tidemark.operators import curves
+
+    days = [str(d.date()) for d in pd.bdate_range("2025-01-02", "2025-04-18")]
+    for i, (code, gap) in enumerate([("G", 0.0), ("H", 5.0), ("J", 12.0), ("K", 20.0)]):
+        rows = [f"{d}, {100 + 0.1 * k + gap}, {10 + i}, {k}" for k, d in enumerate(days)]
+        head = "Date, Settle, Volume, Open Interest" if code != "J" else "Volume,date,LAST"
+        if code == "J":
+            rows = [f"{10 + i},{d},{100 + 0.1 * k + gap}" for k, d in enumerate(days)]
+        (tmp_path / f"CL{code}25-NYM.dly").write_text("\n".join([head, *rows, "bad, x, y, z", ""]))
+    (tmp_path / "NGZ99-NYM.dly").write_text("19991001 2.5 7 8\n19991001 2.6 7 9\n")
+    (tmp_path / "notes.csv").write_text("Date,Close\n2025-01-02,1\n")
+    curve = files.read_contracts(spark, str(tmp_path))
+    found = curve.where("symbol = 'NG'").first()
+    assert (found.contract, found.price, found.oi, str(found.expiry)) == ("Z1999", 2.6, 9.0, "1999-12-20")
+    cl = curve.where("symbol = 'CL'").cache()
+    assert cl.count() == 4 * len(days) and {r.contract for r in cl.collect()} == {"G2025", "H2025", "J2025", "K2025"}
+    assert cl.where("contract = 'J2025' AND oi IS NULL AND volume = 12").count() == len(days)
+    fronts = curves.sequentialise(cl).where("seq = 0")
+    for method in ("ratio", "difference"):
+        series = curves.continuous(cl, fronts, method).orderBy("date").collect()
+        assert sum(r.rolled for r in series) == 3 and len(series) == len(days)
+        moves = [b.adjusted - a.adjusted for a, b in zip(series, series[1:], strict=False)]
+        assert max(abs(m - 0.1) for m in moves) < 0.03 and max(abs(m) for m in moves) < 0.2
+        assert series[-1].adjusted == series[-1].price
+    cl.unpersist()
+
+
 def ticks(spark, folder):
     rows = [("a", 10 * i, 100.0 + i, 3.0 * (i % 2), 3.0 * (1 - i % 2), i) for i in range(12)]
     df = spark.createDataFrame(rows, "symbol string, t int, price double, ask_volume double, bid_volume double, tick_id bigint")
@@ -96,7 +147,6 @@ def test_streamed_volume_buckets(spark, tmp_path):
 
 
 def test_streamed_ingest(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
     table = files.MarketTable(spark, str(tmp_path / "market"))
     stream = ticks(spark, str(tmp_path / "t")).select("symbol", "ts", F.col("price").alias("close"))
     flow.ingest(stream, table, str(tmp_path / "c")).awaitTermination(120)

@@ -195,6 +195,33 @@ def confirmed_rolls(fronts: DataFrame, persistence: int = 3, gap_days: int = 5)
     return scan(seen, ["symbol"], ["date"], ["contract", "date", "lasts"], lambda: (None, None), step, f"confirmed {kind}").drop("lasts")
 
 
+def continuous(curve: DataFrame, fronts: DataFrame | None = None, method: str = "ratio") -> DataFrame:
+    """One unbroken series a symbol: symbol, date, contract, price, adjusted, rolled.
+
+    fronts (symbol, date, contract; by default `front`) tells whose price counts on a date.  Where the contract changes,
+    the earlier history is carried over by the quotient of the new contract's price and the old one's on the last date
+    of the old ("ratio"), or by their difference ("difference"); with no such price, by those of the date of the change,
+    else not at all.  So the latest prices stay as they are and rolls leave no jump.
+    """
+    w = by("symbol", "date")
+    prices = curve.where("price IS NOT NULL").groupBy("symbol", "date", "contract").agg(F.min("price").alias("price"))
+    held = (front(curve) if fronts is None else fronts).select("symbol", "date", "contract").join(prices, ["symbol", "date", "contract"])
+    held = held.withColumns({"old": F.lag("contract").over(w), "old_date": F.lag("date").over(w), "old_price": F.lag("price").over(w)})
+    held = held.withColumn("rolled", F.coalesce(F.col("old") != F.col("contract"), F.lit(False)))
+    rolls = held.where("rolled").select("symbol", "date", "contract", "old", "old_date", "old_price", F.col("price").alias("new_price"))
+    at_old = prices.select("symbol", F.col("date").alias("old_date"), "contract", F.col("price").alias("new_then"))
+    at_new = prices.select("symbol", "date", F.col("contract").alias("old"), F.col("price").alias("old_now"))
+    rolls = rolls.join(at_old, ["symbol", "old_date", "contract"], "left").join(at_new, ["symbol", "date", "old"], "left")
+    if method == "ratio":
+        step = F.coalesce(log_ratio("new_then", "old_price"), log_ratio("new_price", "old_now"), F.lit(0.0))
+    else:
+        step = F.coalesce(F.col("new_then") - F.col("old_price"), F.col("new_price") - F.col("old_now"), F.lit(0.0))
+    out = held.join(rolls.select("symbol", "date", step.alias("step")), ["symbol", "date"], "left")
+    later = F.coalesce(F.sum("step").over(by("symbol", F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    adjusted = F.col("price") * F.exp("later") if method == "ratio" else F.col("price") + F.col("later")
+    return out.withColumn("later", later).select("symbol", "date", "contract", "price", adjusted.alias("adjusted"), "rolled")
+
+
 def synthetic(bars: DataFrame, legs: list[tuple[str, float]], columns: tuple[str, ...] = ("close",), align: str = "intersection", keys: tuple[str, ...] = ("date",)) -> DataFrame:
     """Weighted sum of legs' columns; with "intersection" only at times that all legs have, with "union" a missing leg counts zero."""
     dim = bars.sparkSession.createDataFrame(legs, "symbol string, weight double")

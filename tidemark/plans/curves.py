@@ -131,6 +131,15 @@ def confirmed_front(spark: SparkSession, sf: str) -> DataFrame:
     return curves.confirmed_rolls(_seq(spark, sf).where("seq = 0"))
 
 
+@query(f"""WITH {SEQ}, h AS (SELECT symbol, date, contract, price, lag(contract) {W} AS old, lag(date) {W} AS od, lag(price) {W} AS op FROM seq WHERE seq = 0),
+    r AS (SELECT h.*, CASE WHEN old <> h.contract THEN coalesce(a.price / op, h.price / b.price, 1) END AS q FROM h LEFT JOIN curve a ON a.symbol = h.symbol AND a.date = od AND a.contract = h.contract LEFT JOIN curve b ON b.symbol = h.symbol AND b.date = h.date AND b.contract = old)
+    SELECT symbol, date, contract, coalesce(old <> contract, false) AS rolled, {R("ln(price * coalesce(exp(sum(ln(q)) OVER (PARTITION BY symbol ORDER BY date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1))", 5)} AS ln_adjusted FROM r""")
+def continuous_series(spark: SparkSession, sf: str) -> DataFrame:
+    c = curve(spark, sf)
+    out = curves.continuous(c, curves.sequentialise(c).where("seq = 0"))
+    return rounded(out.select("symbol", "date", "contract", "rolled", F.ln("adjusted").alias("ln_adjusted")), "ln_adjusted", digits=5)
+
+
 @query(f"""WITH {BARS} SELECT date, {R("sum(CASE symbol WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN -2 ELSE -1 END * close)", 2)} AS close FROM bars WHERE symbol IN ('1-URGENT', '2-HIGH', '5-LOW') GROUP BY 1 HAVING count(DISTINCT symbol) = 3""")
 def synthetic_symbol(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(curves.synthetic(daily_bars(spark, sf), [("1-URGENT", 3.0), ("2-HIGH", -2.0), ("5-LOW", -1.0)]), "close", digits=2)

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import struct
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.curves import expiry
+
 #: Headers under which files have the canonical columns (fixed values).
 ALIASES = {
     "open": ["open"],
@@ -80,43 +85,78 @@ def report_date(c: Column | str, pivot: int = 29) -> Column:
 
 
 class MarketTable:
-    """Bars as Parquet, partitioned by symbol.  Every write replaces whole symbols, so readers see one version of each."""
+    """Bars as Parquet, partitioned by symbol and month.  A write replaces whole months of a symbol, so readers see one version of each."""
 
     def __init__(self, spark: SparkSession, path: str, ts: str = "ts"):
         self.spark, self.path, self.ts = spark, path.rstrip("/"), ts
 
-    def _exists(self) -> bool:
+    def _place(self, path: str):
         jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(self.path)
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
+
+    def _exists(self) -> bool:
+        fs, place = self._place(self.path)
+        return fs.exists(place)
+
+    def _month(self) -> Column:
+        return F.date_format(self.ts, "yyyy_MM")
 
-    def read(self, symbols: list[str] | None = None, start=None, end=None, where: str | None = None, columns: list[str] | None = None) -> DataFrame:
-        """Filters reach the scan: symbols prune partitions, times and conditions are pushed to Parquet."""
+    def read(self, symbols: list[str] | None = None, start=None, end=None, where: str | None = None, columns: list[str] | None = None, months: list[int] | None = None) -> DataFrame:
+        """Filters reach the scan: symbols, the span of time and calendar months prune partitions, times and conditions are pushed to Parquet."""
         df = self.spark.read.parquet(self.path)
         if symbols is not None:
             df = df.where(F.col("symbol").isin(symbols))
-        df = df.where(F.col(self.ts) >= start) if start is not None else df
-        df = df.where(F.col(self.ts) <= end) if end is not None else df
+        if start is not None:
+            df = df.where((F.col(self.ts) >= start) & (F.col("month") >= F.date_format(F.lit(start).cast("timestamp"), "yyyy_MM")))
+        if end is not None:
+            df = df.where((F.col(self.ts) <= end) & (F.col("month") <= F.date_format(F.lit(end).cast("timestamp"), "yyyy_MM")))
+        if months is not None:
+            df = df.where(F.substring("month", 6, 2).isin([f"{m:02d}" for m in months]))
         df = df.where(where) if where else df
-        return df.select("symbol", self.ts, *columns) if columns else df
+        return df.select("symbol", self.ts, *columns) if columns else df.drop("month")
 
     def _last(self, df: DataFrame, order: str) -> DataFrame:
         w = Window.partitionBy("symbol", self.ts).orderBy(F.col(order).desc())
         return df.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth", order)
 
+    def _put(self, df: DataFrame) -> None:
+        spread = df.withColumn("month", self._month()).repartition("symbol", "month").sortWithinPartitions("symbol", "month", self.ts)
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "month").parquet(self.path)
+
     def write(self, df: DataFrame) -> None:
-        """Replace the symbols of df."""
-        spread = df.repartition("symbol", F.year(self.ts)).sortWithinPartitions("symbol", self.ts)
-        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(self.path)
+        """Replace the symbols of df, all their months included."""
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        with self._staged(df) as rows:
+            for r in rows.select("symbol").distinct().collect():  # a row a symbol
+                fs, place = self._place(f"{self.path}/symbol={escape(r.symbol)}")
+                fs.delete(place, True)
+            self._put(rows)
+
+    @contextmanager
+    def _staged(self, df: DataFrame) -> Iterator[DataFrame]:
+        """The rows of df as a table beside this one, read before files that df may come from are replaced; it goes afterwards."""
+        fs, place = self._place(f"{self.path}.staged-{uuid.uuid4().hex}")
+        df.write.parquet(place.toString())
+        try:
+            yield self.spark.read.schema(df.schema).parquet(place.toString())
+        finally:
+            fs.delete(place, True)
 
     def upsert(self, df: DataFrame) -> None:
-        """New rows win over old ones of the same symbol and time; only the symbols that df has are rewritten."""
+        """New rows win over old ones of the same symbol and time; only the months that df has are read and rewritten."""
         new = df.withColumn("is_new", F.lit(1))
         if self._exists():
-            old = self.read().join(df.select("symbol").distinct(), "symbol", "left_semi").withColumn("is_new", F.lit(0))
+            # a row a month and symbol that changes
+            touched = F.broadcast(df.select("symbol", self._month().alias("month")).distinct())
+            old = self.spark.read.parquet(self.path).join(touched, ["symbol", "month"], "left_semi").drop("month").withColumn("is_new", F.lit(0))
             new = old.unionByName(new, allowMissingColumns=True)
-        # cut from the files about to be replaced
-        self.write(self._last(new, "is_new").checkpoint())
+        with self._staged(self._last(new, "is_new")) as rows:
+            self._put(rows)
+
+    def symbols(self) -> list[str]:
+        """The symbols of the table, from its partitions alone."""
+        return sorted(r.symbol for r in self.spark.read.parquet(self.path).select("symbol").distinct().collect()) if self._exists() else []
 
     def tail(self, symbol: str, n: int) -> DataFrame:
         return self.read([symbol]).orderBy(F.col(self.ts).desc()).limit(n)
@@ -125,6 +165,59 @@ class MarketTable:
         return self.read().groupBy("symbol").agg(F.count("*").alias("n_rows"), F.min(self.ts).alias("first"), F.max(self.ts).alias("last"))
 
 
+#: The letters of delivery months, January to December, and the headers of contract files.
+MONTH_CODES = "FGHJKMNQUVXZ"
+CONTRACT_ALIASES = {
+    "date": ["date", "datetime", "timestamp"],
+    "price": ["settle", "settlement", "close", "last", "adjclose", "price"],
+    "volume": ["volume", "vol", "totalvolume"],
+    "oi": ["openinterest", "oi"],
+}
+
+
+def contract_of(path: Column, pivot: int = 70) -> Column:
+    """Symbol, month letter, exchange and first delivery day of a file such as CLH25-NYM.dly; null for other names.
+
+    Two-digit years up to the pivot are of this century.
+    """
+    part = lambda i: F.upper(F.regexp_extract(path, r"(?i)([^/]*?)([FGHJKMNQUVXZ])(\d{2})(?:-([A-Za-z]+))?\.[A-Za-z]+$", i))
+    year = part(3).cast("int")
+    year = F.when(year <= pivot, year + 2000).otherwise(year + 1900)
+    delivery = F.make_date(year, F.call_function("locate", part(2), F.lit(MONTH_CODES)), F.lit(1))
+    found = (part(1) != "") & part(1).rlike("^[A-Z]+$")
+    return F.when(found, F.struct(part(1).alias("symbol"), F.concat(part(2), year.cast("string")).alias("contract"), F.nullif(part(4), F.lit("")).alias("exchange"), delivery.alias("delivery")))
+
+
+def read_contracts(spark: SparkSession, path: str, rule: str = "twentieth", pivot: int = 70, symbols: list[str] | None = None) -> DataFrame:
+    """A curve from a folder of contract files: symbol, date, contract, exchange, price, volume, oi, expiry, dte.
+
+    Contract and year come from a file's name; files with other names are passed over.  Each file has its own header, or
+    none and the columns date, price, volume and open interest; absent columns and bad numbers are null, rows without a
+    date are left out, and of a repeated date the last row stays.  A file, one contract's days, is one row of the scan.
+    """
+    files = spark.read.text(path, wholetext=True).select(contract_of(F.col("_metadata.file_path"), pivot).alias("c"), "value").where("c IS NOT NULL")
+    files = files if symbols is None else files.where(F.col("c.symbol").isin([s.upper() for s in symbols]))
+    lines = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
+    fields = lambda x: F.split(F.trim(x), r"\s*,\s*|\s+")
+    named = files.withColumn("lines", lines).withColumn("header", F.transform(F.split(F.get("lines", F.lit(0)), ","), lambda h: F.regexp_replace(F.lower(h), "[^a-z0-9]", "")))
+    place = lambda names: F.coalesce(*[F.nullif(F.array_position("header", n), F.lit(0).cast("bigint")) for n in names])
+    named = named.withColumn("has_header", place(CONTRACT_ALIASES["date"]).isNotNull())
+    for i, (name, aliases) in enumerate(CONTRACT_ALIASES.items()):
+        named = named.withColumn(f"at_{name}", F.when(F.col("has_header"), place(aliases)).otherwise(i + 1).cast("int"))
+    body = named.withColumn("body", F.when(F.col("has_header"), F.slice("lines", F.lit(2), F.size("lines"))).otherwise(F.col("lines")))
+    rows = body.select("c", "has_header", *[f"at_{n}" for n in CONTRACT_ALIASES], F.posexplode("body").alias("nth", "line"))
+    cells = F.when(F.col("has_header"), F.transform(F.split("line", ","), lambda x: F.trim(x))).otherwise(fields(F.col("line")))
+    rows = rows.withColumn("cells", cells)
+    cell = lambda n: F.get("cells", F.col(f"at_{n}") - 1)
+    first = F.split_part(cell("date"), F.lit(" "), F.lit(1))
+    date = F.coalesce(*[F.try_to_timestamp(first, F.lit(p)) for p in ("yyyy-M-d", "M/d/yyyy", "yyyyMMdd", "yyyy/M/d")]).cast("date")
+    number = lambda n: cell(n).try_cast("double").alias(n)
+    day = rows.select("c", "nth", date.alias("date"), *[number(n) for n in ("price", "volume", "oi")]).where("date IS NOT NULL")
+    last = day.groupBy("c", "date").agg(F.max_by(F.struct("price", "volume", "oi"), "nth").alias("v"))
+    out = last.select("c.symbol", "date", "c.contract", "c.exchange", "v.*", expiry("c.delivery", rule).alias("expiry"))
+    return out.withColumn("dte", F.datediff("expiry", "date"))
+
+
 def write_tidy(df: DataFrame, folder: str, name: str) -> None:
     """A result table as CSV and as Parquet."""
     df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
