@@ -96,7 +96,7 @@ def test_only_touched_months_are_rewritten(spark, tmp_path):
 def test_contract_files_to_a_series_without_jumps(spark, tmp_path):
     from tidemark.operators import curves
 
-    days = [str(d.date()) for d in pd.bdate_range("2025-01-02", "2025-04-18")]
+    days = [str(d.date()) for d in pd.bdate_range("2025-01-02", "2025-05-16")]
     for i, (code, gap) in enumerate([("G", 0.0), ("H", 5.0), ("J", 12.0), ("K", 20.0)]):
         rows = [f"{d}, {100 + 0.1 * k + gap}, {10 + i}, {k}" for k, d in enumerate(days)]
         head = "Date, Settle, Volume, Open Interest" if code != "J" else "Volume,date,LAST"
