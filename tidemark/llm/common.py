@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,8 +42,16 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str = "row_no") -> DataFrame:
-    """A number for each row that tells repeated rows apart; the same in every scan of the same files."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """A number for each row that tells repeated rows apart, kept with the rows as a table (`durable`).
+
+    How a scan is split, and so the numbers, may change from scan to scan; whoever needs them twice reads this table.
+    """
+    return durable(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def content_key(*columns: Column) -> list[Column]:
+    """k1 and k2, 128 bits that stand for the columns' values: the same in every scan, shared by rows that are equal in them."""
+    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit("second"), *columns).alias("k2")]
 
 
 def id_and_text(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

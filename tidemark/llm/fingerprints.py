@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, numbered
+from tidemark.llm.common import durable
 
 LANES, MODULUS, HEX = 128, 1 << 24, 6
 #: Two lanes of 32 bits in a long: bits j and j + 32 of a hash, for j from 0 to 31.
@@ -88,7 +88,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(documents: DataFrame, buckets: int) -> DataFrame:
-    """bucket, guest, row_no, doc_id, text and the next row's text in descending order of ids, after the last the first.
+    """bucket, guest, text_hash, doc_id, text and the next row's text in descending order of ids, after the last the first.
 
     Rows are dealt to buckets of neighbouring ids, at quantiles of the ids, and one shuffle brings a bucket together.
     Its last row needs the next bucket's first one, which joins it as a guest; there is one guest a bucket.
@@ -97,20 +97,24 @@ def with_next(documents: DataFrame, buckets: int) -> DataFrame:
     bounds = documents.where(F.col("doc_id").isNotNull()).agg(F.percentile_approx("doc_id", quantiles, 10 * buckets)).first()[0] or []
     bounds = sorted({int(b) for b in bounds}, reverse=True)
     rank = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b >= F.col("doc_id"))).cast("bigint")
-    # null ids come last, in the order of rows
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1).cast("bigint") + F.shiftright("row_no", 33)).otherwise(rank)
+    # null ids come last, in the order of their texts' hashes
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1).cast("bigint") + F.floor((F.col("text_hash") / 2.0**62 + 1) / 2 * buckets).cast("bigint")).otherwise(rank)
     rows = documents.withColumn("bucket", bucket)
-    place = F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), (-F.col("row_no")).alias("row"))
-    firsts = sorted((r.bucket, -r.best.row) for r in rows.groupBy("bucket").agg(F.max(place).alias("best")).collect())  # a row a bucket
-    guests = [(row, firsts[i - 1][0]) for i, (_, row) in enumerate(firsts)]
+    place = F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), (-F.col("text_hash")).alias("hash"))
+    firsts = sorted((r.bucket, r.best.id, -r.best.hash) for r in rows.groupBy("bucket").agg(F.max(place).alias("best")).collect())  # a row a bucket
+    guests = [(*row, firsts[i - 1][0]) for i, (_, *row) in enumerate(firsts)]
     spark = documents.sparkSession
-    invited = rows.drop("bucket").join(F.broadcast(spark.createDataFrame(guests, "row_no bigint, bucket bigint")), "row_no")
-    both = rows.select("bucket", "row_no", "doc_id", "text", F.lit(False).alias("guest")).unionByName(invited.select("bucket", "row_no", "doc_id", "text", F.lit(True).alias("guest")))
-    return both.withColumn("next_text", F.lead("text").over(in_order()))
+    guest = F.broadcast(spark.createDataFrame(guests, "guest_id bigint, guest_hash bigint, bucket bigint"))
+    same = F.col("doc_id").eqNullSafe(F.col("guest_id")) & (F.col("text_hash") == F.col("guest_hash"))
+    # rows that repeat an id with its text are equal: one of them is the guest
+    invited = rows.drop("bucket").join(guest, same).groupBy("bucket", "text_hash", "doc_id").agg(F.min("text").alias("text"))
+    both = rows.select("bucket", "text_hash", "doc_id", "text", F.lit(False).alias("guest")).unionByName(invited.withColumn("guest", F.lit(True)))
+    both = both.withColumn("nth", F.row_number().over(in_order()))
+    return both.withColumn("next_text", F.lead("text").over(in_order("nth")))
 
 
-def in_order():
-    return Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "row_no")
+def in_order(last: str = "text_hash"):
+    return Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text_hash", last)
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,21 +122,23 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text ends in the beginning of the next document: its last floor(n_chars / 3) code points are replaced by
     the next one's first as many (or all), in descending order of ids, after the last the first; a null id comes last,
-    rows that repeat an id follow in their order in the table.  A null text counts as empty.  A single document is its
+    rows that repeat an id follow in the order of their texts' hashes, so that every scan has the same order.  A null text counts as empty.  A single document is its
     own next.  An empty table gives an empty result.  Other columns are not read.
     """
-    rows = numbered(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # 63 bits, so that the order of hashes can be turned round
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.shiftright(F.xxhash64(text), 1).alias("text_hash"))
     buckets = 3 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n, cut = F.char_length("text").cast("bigint"), F.floor(F.char_length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    pair = with_next(rows, buckets).select("bucket", "guest", "row_no", "doc_id", "text", n.alias("n_chars"), F.when(~F.col("guest"), edited).alias("edited"))
-    keys = ["bucket", "guest", "row_no", "doc_id", "n_chars", "edited_sha256"]
+    pair = with_next(rows, buckets).select("bucket", "guest", "text_hash", "nth", "doc_id", "text", n.alias("n_chars"), F.when(~F.col("guest"), edited).alias("edited"))
+    keys = ["bucket", "guest", "text_hash", "nth", "doc_id", "n_chars", "edited_sha256"]
     texts = pair.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(
         *keys, F.explode(F.filter(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("t")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("t"))), lambda s: s["t"].isNotNull())).alias("s")
     )
     lanes = vectors(texts.select(*keys, "s.is_edited", F.col("s.t").alias("t")), [*keys, "is_edited"], "t")
     both = lanes.groupBy(*keys).agg(F.max(F.when(~F.col("is_edited"), F.col("lanes"))).alias("own"), F.max(F.when(F.col("is_edited"), F.col("lanes"))).alias("edited"))
-    then = both.withColumn("next", F.lead("own").over(in_order())).where(~F.col("guest"))
+    then = both.withColumn("next", F.lead("own").over(in_order("nth"))).where(~F.col("guest"))
     return then.select(
         "doc_id",
         "n_chars",

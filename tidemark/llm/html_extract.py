@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, map_batches, numbered, sized_join
+from tidemark.llm.common import content_key, durable, map_batches, sized_join
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|[^<]++|<",
@@ -53,7 +54,10 @@ ENDS = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 
-FOUND = pa.list_(pa.struct([("subtree", pa.int64()), ("around", pa.int64()), ("short", pa.bool_())]))
+FOUND = pa.list_(pa.struct([("subtree", pa.int64()), ("around", pa.int64()), ("titled", pa.bool_()), ("marked", pa.bool_()), ("short", pa.bool_())]))
+
+#: Headings that belong to their article, however many articles share them.
+HEADINGS = {"h1", "h2", "h3"}
 
 
 class Element:
@@ -209,12 +213,15 @@ def main_tree(page: str) -> list[Element]:
     return _split(page)[1]
 
 
-def subtrees(page: str, short: int) -> tuple[int, dict[int, tuple[int, bool]], list[int]]:
+def subtrees(page: str, short: int) -> tuple[int, dict[int, tuple[int, bool, bool, bool]], list[int]]:
     """The hash of the main tree, the page's block elements with text, and the hashes of those in the main tree.
 
     Elements are told by the hash of all they hold, and by that of what boilerplate leaves of them if it differs.  Each
-    comes with its surrounding, the longest block of the main text outside it, and with whether it has under `short`
-    characters.  Short ones outside the main tree (menu entries) and elements without a surrounding are left out.
+    comes with its surrounding, the longest block of the main text outside it, and with whether it says the same as the
+    page's first heading, whether its own tag or name marks it as boilerplate, and whether it has under `short`
+    characters.  Headings of the main tree, and what holds nothing but one, are not among them: they are the
+    article's.  Elements under `short` characters outside the main tree (menu entries) are left out, as they are nowhere
+    to be taken from, and so are elements without a surrounding.
     """
     whole, tops = _split(page)
     order = _order(tops)
@@ -237,19 +244,26 @@ def subtrees(page: str, short: int) -> tuple[int, dict[int, tuple[int, bool]], l
         after.append(t if len(t) >= len(after[-1]) else after[-1])
     after.reverse()
     top_ids, found, own = {id(t) for t in tops}, {}, []
+    headings = [i for i, e in enumerate(order) if e.tag in HEADINGS and e.size]
+    first = said[headings[0]] if headings else None
     for e in whole:
         if e.tag not in BLOCK or not e.size or id(e) in top_ids:
             continue
         place = last.get(id(e))
         if place:
+            j = bisect_left(headings, place[0])
+            if j < len(headings) and headings[j] < place[1] and order[headings[j]].size == e.size:
+                continue
             own += {e.full, e.digest}
         elif e.size < short:
             continue
         start, end = place or (0, 0)
         around = max(before[start], after[end], key=len)
         if around:
+            titled = bool(place and first and said[start] == first)
+            marks = (titled, not place and boilerplate(e, True), e.size < short)
             for h in {e.full, e.digest} if place else {e.full}:
-                found.setdefault(h, (xxhash.xxh3_64_intdigest(around) - (1 << 63), e.size < short))
+                found.setdefault(h, (xxhash.xxh3_64_intdigest(around) - (1 << 63), *marks))
     return xxhash.xxh3_64_intdigest(repr([t.digest for t in tops])) - (1 << 63), found, own
 
 
@@ -284,48 +298,55 @@ def host_of(url):
 
 
 def site_subtrees(rows: DataFrame, short: int) -> DataFrame:
-    """row_no, host, top, found (subtree, around, short), own of every page, as `subtrees` gives them; kept, as it is read twice."""
+    """k1, k2, host, top, found (subtree, around, titled, marked, short), own of every page, as `subtrees` gives them; kept, as it is read twice."""
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            each = [subtrees(p, short) for p in batch.column(2).to_pylist()]
-            found = [[{"subtree": h, "around": around, "short": little} for h, (around, little) in f.items()] for _, f, _ in each]
-            columns = [batch.column(0), batch.column(1), pa.array([t for t, *_ in each], pa.int64()), pa.array(found, FOUND), pa.array([o for *_, o in each], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["row_no", "host", "top", "found", "own"])
+            each = [subtrees(p, short) for p in batch.column(3).to_pylist()]
+            names = ("around", "titled", "marked", "short")
+            found = [[{"subtree": h, **dict(zip(names, v, strict=True))} for h, v in f.items()] for _, f, _ in each]
+            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array([t for t, *_ in each], pa.int64()), pa.array(found, FOUND), pa.array([o for *_, o in each], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["k1", "k2", "host", "top", "found", "own"])
 
         return apply
 
-    return durable(map_batches(rows.select("row_no", "host", "html"), make, "row_no bigint, host string, top bigint, found array<struct<subtree:bigint,around:bigint,short:boolean>>, own array<bigint>"))
+    return durable(map_batches(rows.select("k1", "k2", "host", "html"), make, "k1 bigint, k2 bigint, host string, top bigint, found array<struct<subtree:bigint,around:bigint,titled:boolean,marked:boolean,short:boolean>>, own array<bigint>"))
 
 
-def site_templates(each: DataFrame, least: int, share: float) -> DataFrame:
-    """host, subtree of the subtrees that stand among at least `least` different surroundings on a host.
+def site_templates(each: DataFrame, least: int, share: float, short_share: float) -> DataFrame:
+    """host, subtree of the subtrees that stand among many different surroundings on a host: more than `share` times as
+    many as the host has different main trees, and `least` at least.
 
-    A short one, such as a cell or a heading that articles share by chance, also has to stand among more than `share`
-    times as many surroundings as the host has different main trees.  Counts are taken over all pages; repeated pages and
-    the versions of an article that share their longest block give one surrounding, so a repeated article is no template.
+    A short one, such as a cell that tables share by chance, needs `short_share`.  One that some page of the host marks
+    as boilerplate by its own tag or name needs no share.  One that says what some page's first heading says is no
+    template.  Counts are taken over all pages; repeated pages and the versions of an article that share their longest
+    block give one surrounding, so a repeated article is no template.
     """
     trees = each.groupBy("host").agg(F.count_distinct("top").alias("n_trees"))
-    counted = each.select("host", F.explode("found").alias("f")).groupBy("host", "f.subtree").agg(F.count_distinct("f.around").alias("n"), F.min("f.short").alias("short"))
-    often = durable(counted.where(F.col("n") >= least))
-    return sized_join(often, durable(trees), ["host"], "inner", row_bytes=64).where(~F.col("short") | (F.col("n") > share * F.col("n_trees"))).select("host", "subtree")
+    over = {"titled": F.max, "marked": F.max, "short": F.min}
+    counted = each.select("host", F.explode("found").alias("f")).groupBy("host", "f.subtree").agg(F.count_distinct("f.around").alias("n"), *[g(f"f.{c}").alias(c) for c, g in over.items()])
+    often = durable(counted.where((F.col("n") >= least) & ~F.col("titled")))
+    wide = F.col("n") > F.when(F.col("short"), short_share).otherwise(share) * F.col("n_trees")
+    return sized_join(often, durable(trees), ["host"], "inner", row_bytes=64).where(wide | (F.col("marked") & ~F.col("short"))).select("host", "subtree")
 
 
-def main_text(pages: DataFrame, least: int = 3, short: int = 20, share: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, least: int = 3, share: float = 0.3, short: int = 20, short_share: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Subtrees that recur among at least `least` different surroundings on a host go, whatever their names; those under
-    `short` characters only if more than `share` of the host's different main trees have them.  A null or empty html
-    gives an empty text; a null url is the host of all pages without one.  Very long and deeply nested pages count whole,
-    in time linear in their length.  An empty table gives an empty result.
-    Other columns are not read.
+    Subtrees that recur among more than `share` of a host's different main trees, `least` at least, go, whatever their
+    names; of those under `short` characters only what recurs among more than `short_share`.  Lines, quotations and
+    licences that some articles share stay, and so do all headings (h1 to h3) of an article.  A null or empty html gives
+    an empty text; a null url is the host of all pages without one.  Very long and deeply nested pages count whole, in
+    time linear in their length.  Pages are told by host and html, so repeated pages fare alike.  An empty table gives an
+    empty result.  Other columns are not read.
     """
-    rows = numbered(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
+    rows = rows.select("*", *content_key(F.col("host"), F.col("html")))
     each = site_subtrees(rows, short)
-    templates = durable(site_templates(each, least, share))
-    own = each.select("row_no", "host", F.explode("own").alias("subtree"))
-    hits = durable(sized_join(own, templates, ["host", "subtree"], "inner", row_bytes=96).groupBy("row_no").agg(F.collect_set("subtree").alias("templates")))
+    templates = durable(site_templates(each, least, share, short_share))
+    own = each.select("k1", "k2", "host", F.explode("own").alias("subtree"))
+    hits = durable(sized_join(own, templates, ["host", "subtree"], "inner", row_bytes=96).groupBy("k1", "k2").agg(F.collect_set("subtree").alias("templates")))
     size = hits.agg(F.sum(F.size("templates") * 8 + 64)).first()[0] or 0
 
     def make():
@@ -335,5 +356,5 @@ def main_text(pages: DataFrame, least: int = 3, short: int = 20, share: float =
 
         return apply
 
-    joined = rows.join(F.broadcast(hits) if size <= 32 << 20 else hits, "row_no", "left").select("page_id", "url", "html", "templates")
+    joined = rows.join(F.broadcast(hits) if size <= 32 << 20 else hits, ["k1", "k2"], "left").select("page_id", "url", "html", "templates")
     return map_batches(joined, make, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")

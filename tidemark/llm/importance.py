@@ -75,7 +75,7 @@ def resample(
     """
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), words(F.col(text_col)).alias("words"))
     featured = with_buckets(rows, buckets).select("doc_id", F.size("words").alias("n_words"), "features")
-    featured = durable(numbered(featured))
+    featured = numbered(featured)
     aims = with_buckets(target.select(words(F.col(target_text)).alias("words")), buckets)
     gain = gains(featured, aims, buckets)
     each = featured.select("row_no", F.explode("features").alias("bucket"))

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, numbered, sized_join
+from tidemark.llm.common import content_key, durable, sized_join
 
 #: `[\\x20\\x09-\\x0D]`, stripped at both ends of a line.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -21,9 +21,9 @@ def _keys(text: Column, least: int) -> Column:
 
 
 def line_keys(documents: DataFrame, least: int) -> DataFrame:
-    """One row for each document and distinct long key: doc_id, row_no, h1, h2.  documents: doc_id, text, row_no."""
+    """One row for each document and distinct long key: doc_id, k1, k2, h1, h2.  documents: doc_id, text, k1, k2."""
     distinct = F.array_distinct(F.filter(_keys(F.col("text"), least), lambda k: k.isNotNull()))
-    return documents.select("doc_id", "row_no", F.explode(distinct).alias("k")).select("doc_id", "row_no", "k.h1", "k.h2")
+    return documents.select("doc_id", "k1", "k2", F.explode(distinct).alias("k")).select("doc_id", "k1", "k2", "k.h1", "k.h2")
 
 
 class LineRuns:
@@ -92,7 +92,9 @@ def drop_lines(documents: DataFrame, batches: Iterable[DataFrame], least: int =
     """
 
     def plain(df: DataFrame) -> DataFrame:
-        return numbered(df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+        rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        # what a row loses follows from its id and text, so rows are told by these and repeated rows share a key
+        return rows.select("doc_id", "text", *content_key(F.col("doc_id"), F.col("text")))
 
     runs = LineRuns(enough)
     for batch in batches:
@@ -102,7 +104,7 @@ def drop_lines(documents: DataFrame, batches: Iterable[DataFrame], least: int =
     lost = (
         sized_join(line_keys(docs, least), frequent, ["h1", "h2"], "inner", row_bytes=64)
         .where((F.col("doc_id") < F.col("top_id")) | (F.col("doc_id").isNull() & F.col("top_id").isNotNull()))
-        .groupBy("row_no")
+        .groupBy("k1", "k2")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
     )
     lines, lost_keys = F.split("text", "\n", -1), F.coalesce("lost", F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
@@ -110,6 +112,6 @@ def drop_lines(documents: DataFrame, batches: Iterable[DataFrame], least: int =
     gone = F.transform(_keys(F.col("text"), least), lambda k: F.coalesce(F.array_contains(F.col("lost_keys"), k), F.lit(False)))
     marked = F.zip_with(lines, gone, lambda line, lost: F.struct(line.alias("line"), lost.alias("lost")))
     stay = F.transform(F.filter(marked, lambda m: ~m["lost"]), lambda m: m["line"])
-    kept = docs.join(lost, "row_no", "left").select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), "text", "lost", lost_keys.alias("lost_keys"))
+    kept = docs.join(lost, ["k1", "k2"], "left").select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), "text", "lost", lost_keys.alias("lost_keys"))
     kept = kept.select("doc_id", "n_lines", F.when(F.col("lost").isNull(), lines).otherwise(stay).alias("stay"))
     return kept.select("doc_id", "n_lines", (F.col("n_lines") - F.size("stay")).alias("n_dropped"), F.array_join("stay", "\n").alias("kept"))

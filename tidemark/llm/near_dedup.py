@@ -212,6 +212,19 @@ def near_classes(documents: DataFrame, least: float = 0.8, n_bands: int = 30, ba
     An empty table gives an empty result.  Other columns are not read.
     """
     rows = numbered(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    return classes_of(rows, least, n_bands, band_rows)
+
+
+def kept_rows(documents: DataFrame, least: float = 0.8, n_bands: int = 30, band_rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of documents, all columns, that `near_classes` keeps: one row of each class."""
+    rows = numbered(documents.select(F.struct("*").alias("doc")))
+    plain = rows.select(F.col("doc")[id_col].cast("bigint").alias("doc_id"), "row_no", F.coalesce(F.col("doc")[text_col], F.lit("")).alias("text"))
+    kept = durable(classes_of(plain, least, n_bands, band_rows).where("kept").select("row_no"))
+    return sized_join(rows, kept, ["row_no"], "left_semi", row_bytes=16).select("doc.*")
+
+
+def classes_of(rows: DataFrame, least: float, n_bands: int, band_rows: int) -> DataFrame:
+    """`near_classes` of a table of doc_id, text and row_no that every scan reads alike."""
     signed = durable(_signed(rows.select("doc_id", "row_no", "text"), n_bands, band_rows))
     texts = durable(signed.groupBy("c1", "c2").agg(F.min("row_no").alias("row_no"), F.count("*").alias("n_rows")))
     first = signed.join(texts.select("row_no"), "row_no", "left_semi").select("row_no", "weight", "bands")

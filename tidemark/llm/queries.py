@@ -20,7 +20,7 @@ PII_KEY = "tidemark-pseudonyms-1"
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.main_text(table(spark, sf_dir, "pages"), least=3, short=20, share=0.5)
+    return html_extract.main_text(table(spark, sf_dir, "pages"), least=3, share=0.3)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

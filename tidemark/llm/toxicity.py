@@ -80,12 +80,14 @@ def fit(rows: list[tuple[int, np.ndarray]], p: Ftrl) -> tuple[np.ndarray, np.nda
 def labelled(documents: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """doc_id, text, label of `sample` labelled documents at most, those of the smallest hashes of their ids.
 
-    Labels that are null or whose id is null are left out; an id labelled twice counts once, with the larger label; of
+    Labels that are null, whose id is null or that no document has are left out; an id labelled twice counts once, with the larger label; of
     the texts of an id that several rows have, the one of the smallest hash stands.  So there are `sample` rows at most.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("label"))
-    chosen = durable(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # labels without a document do not take a place in the sample
+    known = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    chosen = durable(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # two passes, so that an id that many rows have moves hashes and not texts
     hashes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.char_length("text").alias("n"))).alias("one"))
     one = durable(chosen.join(hashes, "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "one.h", "one.n"))
