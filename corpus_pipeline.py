@@ -8,16 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, near_dedup, packing, pii, toxicity
-from tidemark.llm.common import numbered, shared_folder, sized_join, table
+from tidemark.llm.common import shared_folder, table
 from tidemark.llm.queries import PII_KEY, WORD_BPE
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose number is in kept (row_no)."""
-    rows = numbered(docs.select(F.struct("*").alias("doc")))
-    return sized_join(rows, kept, ["row_no"], "left_semi", row_bytes=16).select("doc.*")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go.  The model learns from the labelled rows of the source table that are not held out."""
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
@@ -33,8 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one with the smallest doc_id."""
-    classes = near_dedup.near_classes(docs)
-    return _only(docs, near_dedup.durable(classes.where("kept").select("row_no")))
+    return near_dedup.kept_rows(docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
