@@ -66,6 +66,19 @@ def give_back() -> None:
         trim(0)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, whatever its rows' length.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches bounded to BATCH_BYTES: a task holds a batch on both sides of its worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get(key))
+    if not 0 < held <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
     """mapInArrow with a per-task setup: make() runs once in a task, what it returns runs on slices of at most `rows` rows."""
 
@@ -76,7 +89,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 yield apply(batch.slice(start, rows))
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 #: Rows of one key that one task joins.

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, numbered, sized_join
+from tidemark.llm.common import durable, numbered, sized_join, small_batches
 
 
 class _Node:
@@ -179,7 +179,7 @@ def owners(documents: DataFrame, keep: str = "max", held_bytes: int = 48 << 20)
     """
     sign = {"max": 1, "min": -1}[keep]
     bodies = documents.select(F.col("text").cast("binary").alias("body"), F.xxhash64("text").alias("content_hash"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    partial = bodies.mapInArrow(_partial(held_bytes, sign), PARTIAL)
+    partial = small_batches(bodies).mapInArrow(_partial(held_bytes, sign), PARTIAL)
     dealt = partial.repartition("n_bytes", "content_hash").sortWithinPartitions("n_bytes", "content_hash")
     return dealt.mapInArrow(_owners(sign), CLASSES)
 

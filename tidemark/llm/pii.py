@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidemark.llm.common import small_batches
+
 DIGITS, HEX = "0123456789", "0123456789abcdef"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 8
@@ -274,7 +276,7 @@ def redacted(documents: DataFrame, key: str, text_col: str = "text", into: str =
         found = [(None, None) if t is None else pseudonymise(t, secret) for t in text]
         return pd.DataFrame({"text": [t for t, _ in found], "spans": [None if s is None else [{"kind": k, "start": a, "length": n} for k, a, n in s] for _, s in found]})
 
-    return documents.withColumn(into, apply(F.col(text_col)))
+    return small_batches(documents).withColumn(into, apply(F.col(text_col)))
 
 
 def pii(documents: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidemark.llm.common import small_batches
 from tidemark.llm.toxicity import held_out, labelled
 from tidemark.llm.wordhash import SPACES, distinct, hash_spans, mix, spans
 
@@ -106,7 +107,7 @@ def document_frequencies(texts: DataFrame, p: Lsa) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int64()), pa.array([*count[at], rows], pa.int64())], ["at", "n"])
 
-    summed = texts.select("text").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()  # p.features + 1 rows at most
+    summed = small_batches(texts.select("text")).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()  # p.features + 1 rows at most
     df, total = np.zeros(p.features), 0
     for r in summed:
         if r["at"] < 0:
@@ -172,7 +173,7 @@ def scored(documents: DataFrame, model: dict, p: Lsa = Lsa(), text_col: str = "t
             out.append(vote(vectors(text.iloc[start : start + 128].fillna("").tolist(), m["idf"], m["basis"]), m, p.neighbours))
         return pd.Series(np.concatenate(out).astype(float) if out else np.zeros(0))
 
-    return documents.withColumn(score_col, score(F.col(text_col)))
+    return small_batches(documents).withColumn(score_col, score(F.col(text_col)))
 
 
 def quality(documents: DataFrame, labels: DataFrame, p: Lsa = Lsa(), threshold: float = 0.3) -> DataFrame:

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tidemark.llm import bpe
-from tidemark.llm.common import give_back, id_and_text
+from tidemark.llm.common import give_back, id_and_text, small_batches
 
 #: Unicode white space, as the tokenizers' patterns take it (Python's own class has four control characters more).
 SPACE = " \t-\r\x85\xa0  -     　"
@@ -189,7 +189,7 @@ def map_encoded(rows: DataFrame, path: str, make: Callable[[Chunks, pa.RecordBat
             codec.forget()
             give_back()
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tidemark.llm.common import durable, map_batches
+from tidemark.llm.common import durable, map_batches, small_batches
 from tidemark.llm.wordhash import SIGNS, distinct, hash_spans, mix, spans
 
 _U = np.uint64
@@ -145,7 +145,7 @@ def scored(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bi
             out.append(1 / (1 + np.exp(-np.clip(np.bincount(of, dense[where], len(part)) + bias, -35, 35))))
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return documents.withColumn(score_col, score(F.col(text_col)))
+    return small_batches(documents).withColumn(score_col, score(F.col(text_col)))
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5):
