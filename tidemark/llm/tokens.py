@@ -68,13 +68,13 @@ def lowered(text: str) -> str:
 class Cache:
     """Ids by text, with the bytes that they take."""
 
-    def __init__(self):
+    def __init__(self, most: int = CACHED):
         self.ids: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.most = 0, most
 
     def room(self) -> dict[str, bytes]:
         """What is cached; nothing if the cache was full."""
-        if self.held > CACHED:
+        if self.held > self.most:
             self.ids.clear()
             self.held = 0
         return self.ids
@@ -140,9 +140,9 @@ class Chunks:
         self.packed.add({w: array("I", ids[s]).tobytes() for w, s in symbols.items()})
         self.known.add({c: packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws]) for c, ws in pieces.items()})
 
-    def forget(self) -> None:
-        """Drop what a task has cached; the vocabulary's tables stay with the worker."""
-        self.known, self.packed = Cache(), Cache()
+    def forget(self, most: int = CACHED) -> None:
+        """Drop what a task has cached, and bound what comes next; the vocabulary's tables stay with the worker."""
+        self.known, self.packed = Cache(most), Cache(most)
         self.encoder.fits.clear()
         self.encoder.edges.clear()
 
@@ -166,14 +166,16 @@ def chunks(path: str) -> Chunks:
     return _CHUNKS[path]
 
 
-def map_encoded(rows: DataFrame, path: str, make: Callable[[Chunks, pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
+def map_encoded(rows: DataFrame, path: str, make: Callable[[Chunks, pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, cached: int = CACHED, keep: bool = True) -> DataFrame:
     """make(encoder, batch, the batch's encoded texts) on parts of the rows (doc_id, text) of about TOGETHER characters.
 
-    The more words are walked together, the more prefixes they share.  A task's caches go when it ends.
+    The more words are walked together, the more prefixes they share.  A task's caches, of `cached` bytes each, go when it
+    ends, and the vocabulary's tables too unless the worker is to `keep` them for its next task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = chunks(path)
+        codec.forget(cached)
         try:
             for whole in batches:
                 for first in range(0, whole.num_rows, ROWS):
@@ -187,6 +189,9 @@ def map_encoded(rows: DataFrame, path: str, make: Callable[[Chunks, pa.RecordBat
                     yield make(codec, batch.slice(start), codec.encode(texts[start:]))
         finally:
             codec.forget()
+            if not keep:
+                _CHUNKS.pop(path, None)
+                codec = None
             give_back()
 
     return small_batches(rows).mapInArrow(run, schema)
