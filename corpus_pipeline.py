@@ -40,7 +40,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and offset."""
-    return packing.best_fit_pack(docs, WORD_BPE, capacity=2048, end_id=0)
+    return packing.best_fit_pack(docs, WORD_BPE, capacity=2048, end_id=0, cached=16 << 20, keep=False)
 
 
 STAGES = [
