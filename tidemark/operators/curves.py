@@ -449,3 +449,58 @@ def curve_returns(seq: DataFrame) -> DataFrame:
     """Log change of each sequential contract's price."""
     x = seq.select(F.concat_ws("_", "symbol", F.col("seq").cast("string")).alias("symbol"), "date", F.col("price").alias("close"))
     return returns(x)
+
+
+#: The kinds of curve tables.  Those of the second row have one number a contract in sequence, of the third one a date.
+CURVE_TYPES = [
+    "curve", "volume_curve", "oi_curve", "dte",
+    "seq_curve", "seq_volume", "seq_oi", "seq_labels", "seq_dte", "seq_spreads",
+    "front", "spot", "roll_dates",
+]
+
+
+def curve_tables(curve: DataFrame, types: list[str] | None = None, start: str | None = None, end: str | None = None, symbols: list[str] | None = None) -> DataFrame:
+    """The curve tables asked for (all by default) as one: symbol, date, curve_type, seq, contract, value.
+
+    seq is null outside the tables in sequence, contract is text, value is null for labels.  Days `start` and `end` count.
+    Contracts are put in sequence by one window and dealt to their tables by one explode; only spot and roll dates take more.
+    Roll dates need the day before, so the first day of the span is none.
+    """
+    types = CURVE_TYPES if types is None else types
+    unknown = sorted(set(types) - set(CURVE_TYPES))
+    if unknown:
+        raise ValueError(f"No such curve tables: {unknown}; there are {CURVE_TYPES}")
+    x = curve if symbols is None else curve.where(F.col("symbol").isin(symbols))
+    x = x if start is None else x.where(F.col("date") >= F.lit(start).cast("date"))
+    x = x if end is None else x.where(F.col("date") <= F.lit(end).cast("date"))
+    live = F.col("price").isNotNull() & (F.col("dte") > 0)
+    w = Window.partitionBy("symbol", "date", live).orderBy("dte", "contract")
+    x = x.withColumn("seq", F.when(live, F.row_number().over(w) - 1)).withColumn("adjacent", F.when(live, F.lead("price").over(w) - F.col("price")))
+    number = {"curve": "price", "volume_curve": "volume", "oi_curve": "oi", "dte": "dte", "seq_curve": "price", "seq_volume": "volume", "seq_oi": "oi", "seq_dte": "dte", "seq_spreads": "adjacent"}
+
+    def row(kind: str) -> Column:
+        seq = F.col("seq") if kind.startswith("seq_") else F.lit(None).cast("int")
+        value = F.col(number[kind]).cast("double") if kind in number else F.lit(None).cast("double")
+        have = F.col("seq").isNotNull() if kind == "seq_labels" else value.isNotNull() & (seq.isNotNull() if kind.startswith("seq_") else F.lit(True))
+        return F.when(have, F.struct(F.lit(kind).alias("curve_type"), seq.alias("seq"), F.col("contract").cast("string").alias("contract"), value.alias("value")))
+
+    shape = ["symbol", "date", "curve_type", "seq", "contract", "value"]
+    tables = []
+    if dealt := [row(t) for t in types if t in number or t == "seq_labels"]:
+        tables.append(x.select("symbol", "date", F.explode(F.array_compact(F.array(*dealt))).alias("p")).select("symbol", "date", "p.*"))
+    none = F.lit(None).cast("int").alias("seq")
+    if "front" in types:
+        tables.append(front(x).select("symbol", "date", F.lit("front").alias("curve_type"), none, F.col("contract").cast("string").alias("contract"), "price"))
+    if "spot" in types:
+        tables.append(synthetic_spot(x.where("seq IS NOT NULL")).select("symbol", "date", F.lit("spot").alias("curve_type"), none, F.lit(None).cast("string").alias("contract"), "spot"))
+    if "roll_dates" in types:
+        tables.append(roll_dates(x).select("symbol", "date", F.lit("roll_dates").alias("curve_type"), none, F.col("pattern").alias("contract"), F.col("interval_days").cast("double")))
+    out = tables[0].toDF(*shape)
+    for t in tables[1:]:
+        out = out.union(t.toDF(*shape))
+    return out
+
+
+def curve_summary(tables: DataFrame) -> DataFrame:
+    """Rows, days and span of each symbol's curve tables."""
+    return tables.groupBy("symbol", "curve_type").agg(F.count("*").alias("n_rows"), F.count_distinct("date").alias("n_days"), F.min("date").alias("first"), F.max("date").alias("last"))

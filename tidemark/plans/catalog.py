@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import curves, features, flow, micro, models, patterns, screens  # noqa: F401  (modules register their queries when imported)
+from tidemark.plans import curves, features, flow, micro, models, patterns, positions, screens  # noqa: F401  (modules register their queries when imported)
 from tidemark.plans.registry import QUERIES, SQL, Query
 
 

@@ -11,8 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tidemark.operators.curves import expiry
+from tidemark.operators.curves import expiry, synthetic
 
 #: Headers under which files have the canonical columns (fixed values).
 ALIASES = {
@@ -222,3 +223,99 @@ def write_tidy(df: DataFrame, folder: str, name: str) -> None:
     """A result table as CSV and as Parquet."""
     df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
     df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
+class KeyedTable:
+    """Rows kept by text keys as partitioned Parquet, for stored metrics, code sets and scan results.
+
+    `put` replaces the keys that it brings and no others, `read` prunes to the keys asked for.  Keys stay text ("001602" keeps its
+    zeros); rows with a null key are kept together.  A key with very many rows is written by several tasks.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = ("symbol",)):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+
+    def _place(self, path: str):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
+
+    def exists(self) -> bool:
+        fs, place = self._place(self.path)
+        return fs.exists(place)
+
+    def put(self, df: DataFrame) -> None:
+        spread = df.withColumns({k: F.col(k).cast("string") for k in self.keys}).hint("rebalance", *map(F.col, self.keys))
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.keys).parquet(self.path)
+
+    def read(self, where: str | None = None, columns: list[str] | None = None, **keys: str | list[str]) -> DataFrame:
+        """Rows of the keys given by name, each one value or a list, that meet the condition."""
+        found = self.spark.read.parquet(self.path).schema
+        text = StructType([StructField(f.name, StringType()) if f.name in self.keys else f for f in found])
+        df = self.spark.read.schema(text).parquet(self.path)
+        for k, v in keys.items():
+            df = df.where(F.col(k).isin([v] if isinstance(v, str) else v))
+        df = df.where(where) if where else df
+        return df.select(*self.keys, *columns) if columns else df
+
+    def has(self, **keys: str | list[str]) -> bool:
+        return self.exists() and not self.read(**keys).isEmpty()
+
+    def listed(self) -> DataFrame:
+        """The keys that have rows, from the partitions alone."""
+        return self.read().select(*self.keys).distinct()
+
+    def summary(self, order: str) -> DataFrame:
+        return self.read().groupBy(*self.keys).agg(F.count("*").alias("n_rows"), F.min(order).alias("first"), F.max(order).alias("last"))
+
+    def drop(self, **keys: str) -> bool:
+        """Remove the rows of the leading keys given, one value each; False if there were none."""
+        names = self.keys[: len(keys)]
+        if not keys or set(keys) != set(names):
+            raise ValueError(f"Rows go by one or more of the leading keys of {self.keys}")
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        fs, place = self._place("/".join([self.path, *[f"{k}={escape(keys[k])}" for k in names]]))
+        return fs.exists(place) and fs.delete(place, True)
+
+
+class SyntheticStore:
+    """Synthetic symbols as three tables by symbol: prices, legs (leg, weight) and properties (name, value)."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.prices, self.legs, self.properties = (KeyedTable(spark, f"{path.rstrip('/')}/{t}") for t in ("prices", "legs", "properties"))
+
+    def save(self, symbol: str, prices: DataFrame, legs: list[tuple[str, float]], properties: dict[str, str] | None = None, replace: bool = True) -> None:
+        """Keep a synthetic symbol; the legs, which make it whole, are written last.  Without `replace` a symbol that is there stays and is an error."""
+        if not replace and self.legs.has(symbol=symbol):
+            raise ValueError(f"{symbol} is stored already")
+        self.delete(symbol)
+        named = lambda df: df.withColumn("symbol", F.lit(symbol))
+        self.prices.put(named(prices.drop("symbol")))
+        if properties:
+            self.properties.put(named(self.spark.createDataFrame(sorted(properties.items()), "name string, value string")))
+        self.legs.put(named(self.spark.createDataFrame(legs, "leg string, weight double")))
+
+    def load(self, symbols: list[str], start=None, end=None, order: str = "date") -> DataFrame:
+        """Stored prices of the symbols, both ends counted."""
+        df = self.prices.read(symbol=symbols)
+        df = df if start is None else df.where(F.col(order) >= F.lit(start))
+        return df if end is None else df.where(F.col(order) <= F.lit(end))
+
+    def rebuilt(self, symbol: str, bars: DataFrame, columns: tuple[str, ...] = ("close",), align: str = "intersection") -> DataFrame:
+        """The symbol's prices anew from its stored legs and the legs' bars."""
+        legs = [(r.leg, r.weight) for r in self.legs.read(symbol=symbol).select("leg", "weight").collect()]  # a row a leg
+        if not legs:
+            raise KeyError(symbol)
+        return synthetic(bars, legs, columns, align).withColumn("symbol", F.lit(symbol))
+
+    def described(self) -> DataFrame:
+        """symbol, legs as a map from leg to weight, properties as a map (null if none)."""
+        legs = self.legs.read().groupBy("symbol").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("leg", "weight")))).alias("legs"))
+        if not self.properties.exists():
+            return legs.withColumn("properties", F.lit(None).cast("map<string,string>"))
+        properties = self.properties.read().groupBy("symbol").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("properties"))
+        return legs.join(properties, "symbol", "left")
+
+    def delete(self, symbol: str) -> bool:
+        """Remove a symbol from all three tables, its legs first."""
+        return any([t.drop(symbol=symbol) for t in (self.legs, self.prices, self.properties)])

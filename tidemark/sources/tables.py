@@ -71,6 +71,17 @@ def positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trader_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code, name, week, category, longs, shorts, spreads, open_interest, as order counts by status and the customer's segment."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lower("c_mktsegment").alias("category"))
+    o = read(spark, sf_dir, "orders").join(c, "o_custkey")
+    n = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    part = lambda i: F.split_part("o_orderpriority", F.lit("-"), F.lit(i))
+    return o.groupBy(part(1).alias("code"), F.concat(part(2), F.lit(" - EXCHANGE")).alias("name"), F.to_date(F.date_trunc("week", "o_orderdate")).alias("week"), "category").agg(
+        n("F").alias("longs"), n("O").alias("shorts"), n("P").alias("spreads"), F.count("*").alias("open_interest")
+    )
+
+
 #: The same tables in DuckDB's SQL, for the oracles.
 TICKS = """ticks AS (
     SELECT event_type AS symbol, ts, value AS price, CASE WHEN event_id % 2 = 0 THEN value ELSE 0 END AS ask_volume,
