@@ -57,6 +57,23 @@ def test_every_code_point_as_the_library_has_it():
             assert np.frombuffer(mine, "<u4").tolist() == e.ids, ascii(text)
 
 
+def test_latin_texts_go_word_by_word_as_the_library_has_them():
+    t, mine = native_cached(WORD_BPE), tokens.Chunks(WORD_BPE)
+    latin = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), 0x20AC]]
+    texts = [f"a{x}b {x} {y}{x}s 1{x}{y}2 '{x} {x}'s" for x, y in zip(latin, latin[7:] + latin[:7], strict=True)]
+    assert sum(mine.direct(text) is not None for text in texts) > 500 and not mine.known.ids
+    assert all(mine.direct(text) is None for text in ("\u0130", "a \u03b1", "x<|endoftext|>"))
+    for text in texts:
+        assert np.frombuffer(mine.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_small_cache_kept_from_task_to_task_changes_nothing(spark, data):
+    table = spark.read.parquet(f"{data}/documents.parquet").repartition(7)
+    whole, small = (packing.pieces(table, WORD_BPE, cached=size, together=chars).collect() for size, chars in ((128 << 20, 4 << 20), (1 << 12, 1)))
+    assert sorted(whole) == sorted(small)
+
+
+
 @functools.cache
 def native_cached(path):
     return native(path)

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable, id_and_text
-from tidemark.llm.tokens import CACHED, Chunks, map_encoded
+from tidemark.llm.tokens import CACHED, TOGETHER, Chunks, map_encoded
 
 PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED, keep: bool = True) -> DataFrame:
+def pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED, keep: bool = True, together: int = TOGETHER) -> DataFrame:
     """Pieces of at most `capacity` tokens of every document with its end token; only longer documents are cut."""
 
     end = end_id.to_bytes(4, "little")
@@ -37,7 +37,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id: int =
         )
 
     rows = id_and_text(documents, id_col, text_col)
-    return map_encoded(rows, path, made, PIECES.format(id=rows.schema["doc_id"].dataType.simpleString()), cached, keep)
+    return map_encoded(rows, path, made, PIECES.format(id=rows.schema["doc_id"].dataType.simpleString()), cached, keep, together)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -116,11 +116,11 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     )
 
 
-def best_fit_pack(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED, keep: bool = True) -> DataFrame:
+def best_fit_pack(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED, keep: bool = True, together: int = TOGETHER) -> DataFrame:
     """Pack every document into as few sequences as best-fit decreasing takes.
 
     A null or empty text is its end token alone.  Repeated rows are packed each for itself, even with equal ids; null
-    ids too.  An empty table gives an empty result.  Other columns are not read.  `cached` and `keep` trade the encoder's
-    time for a worker's memory (`map_encoded`).
+    ids too.  An empty table gives an empty result.  Other columns are not read.  `cached`, `keep` and `together` trade the
+    encoder's time for a worker's memory (`map_encoded`).
     """
-    return pack(pieces(documents, path, capacity, end_id, id_col, text_col, cached, keep), capacity)
+    return pack(pieces(documents, path, capacity, end_id, id_col, text_col, cached, keep, together), capacity)

@@ -49,7 +49,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048, end_id=0)
+    return packing.best_fit_pack(table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048, end_id=0, cached=128 << 20, together=4 << 20)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

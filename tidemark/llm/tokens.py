@@ -19,10 +19,13 @@ from tidemark.llm.common import give_back, id_and_text, small_batches
 
 #: Unicode white space, as the tokenizers' patterns take it (Python's own class has four control characters more).
 SPACE = " \t-\r\x85\xa0  -     　"
-#: Bytes that a task's caches of chunks and of words hold each before they start anew, counting ENTRY for an entry besides its text and ids.
+#: Bytes that a worker's caches of chunks and of words hold each before they start anew, counting ENTRY for an entry besides its text and ids.
 CACHED, ENTRY = 64 << 20, 180
 #: Characters of the texts that are encoded together, one text at least; and rows whose texts are held at a time.
-TOGETHER, ROWS = 1 << 20, 512
+TOGETHER, ROWS = 1 << 20, 4096
+#: Letters and numbers up to U+024F, and the characters of texts that are split by these alone (the others need Unicode's tables).
+LATIN_LETTERS, LATIN_NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼½¾"
+LATIN_TEXT = "\\x00-\u024f\u2010-\u2027€"
 
 
 #: Letters and numbers that the regex module knows and the vocabularies' own patterns, of Unicode 16, do not (fixed values).
@@ -98,9 +101,13 @@ class Chunks:
         if spec.get("normalizer"):  # white space is dropped
             words = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
             self.chunk = re.compile(f"[^{SPACE}]+")
+            self.beyond_latin = re.compile(f"[^{LATIN_TEXT}]")
+            latin = words.replace(r"[\p{L}]", f"[{LATIN_LETTERS}]").replace(r"[\p{N}]", f"[{LATIN_NUMBERS}]").replace(r"\p{L}\p{N}", LATIN_LETTERS + LATIN_NUMBERS)
+            self.latin_words = re.compile(_explicit(latin))
         else:
             words = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
             self.chunk = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+            self.latin_words = None
         self.words = regex.compile(_explicit(words))
         self.later_words = regex.compile(_without_later(_explicit(words)))
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -119,6 +126,13 @@ class Chunks:
             return [c for part in self.specials.split(text) for c in ([part] if part in self.special else self.chunk.findall(self.normalize(part)))]
         return self.chunk.findall(self.normalize(text))
 
+    def direct(self, text: str) -> list[str] | None:
+        """The words of a Latin text by one pattern of `re`, with no chunks between; None for other texts, which `split` takes."""
+        if self.latin_words is None or ("<|" in text and self.specials and self.specials.search(text)):
+            return None
+        text = self.normalize(text)
+        return None if self.beyond_latin.search(text) else self.latin_words.findall(text)
+
     def pieces(self, chunk: str) -> list[str]:
         """A chunk's words, as the vocabulary's pattern parts them; letters alone are one word."""
         letters = chunk[1:] if chunk[0] == " " else chunk
@@ -128,29 +142,30 @@ class Chunks:
             return [chunk[:-1], chunk[-1]]
         return (self.later_words if not chunk.isascii() and _LATER.search(chunk) else self.words).findall(chunk)
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks that are not cached.  A full cache starts anew."""
+    def learn(self, chunks: set[str], words: set[str]) -> None:
+        """Encode the chunks and words that are not cached.  A full cache starts anew."""
         known, packed, special = self.known.room(), self.packed.room(), self.special
         chunks = chunks.difference(known)
         self.known.add({c: array("I", [special[c]]).tobytes() for c in chunks.intersection(special)})
         pieces = {c: self.pieces(c) for c in chunks.difference(special)}
-        new = set(chain.from_iterable(pieces.values())).difference(packed)
+        new = words.union(chain.from_iterable(pieces.values())).difference(packed)
         symbols = {w: self.encoder.word(w.encode().decode("latin-1").translate(self.alphabet)) for w in new}
         ids = self.encoder.encode(symbols.values())
         self.packed.add({w: array("I", ids[s]).tobytes() for w, s in symbols.items()})
         self.known.add({c: packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws]) for c, ws in pieces.items()})
 
     def forget(self, most: int = CACHED) -> None:
-        """Drop what a task has cached, and bound what comes next; the vocabulary's tables stay with the worker."""
+        """Drop what is cached, and bound what comes next; the vocabulary's tables stay with the worker."""
         self.known, self.packed = Cache(most), Cache(most)
         self.encoder.fits.clear()
         self.encoder.edges.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        self.learn(set(chain.from_iterable(split)))
-        get = self.known.ids.__getitem__
-        return [b"".join(map(get, cs)) for cs in split]
+        words = [self.direct(t) for t in texts]
+        split = [self.split(t) if ws is None else [] for t, ws in zip(texts, words, strict=True)]
+        self.learn(set(chain.from_iterable(split)), set(chain.from_iterable(ws for ws in words if ws)))
+        chunk, word = self.known.ids.__getitem__, self.packed.ids.__getitem__
+        return [b"".join(map(chunk, cs) if ws is None else map(word, ws)) for cs, ws in zip(split, words, strict=True)]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.token_bytes.__getitem__, array("I", ids))).decode("utf-8", "replace")
@@ -166,30 +181,39 @@ def chunks(path: str) -> Chunks:
     return _CHUNKS[path]
 
 
-def map_encoded(rows: DataFrame, path: str, make: Callable[[Chunks, pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, cached: int = CACHED, keep: bool = True) -> DataFrame:
-    """make(encoder, batch, the batch's encoded texts) on parts of the rows (doc_id, text) of about TOGETHER characters.
+def map_encoded(
+    rows: DataFrame,
+    path: str,
+    make: Callable[[Chunks, pa.RecordBatch, list[bytes]], pa.RecordBatch],
+    schema: str,
+    cached: int = CACHED,
+    keep: bool = True,
+    together: int = TOGETHER,
+) -> DataFrame:
+    """make(encoder, batch, the batch's encoded texts) on parts of the rows (doc_id, text) of about `together` characters.
 
-    The more words are walked together, the more prefixes they share.  A task's caches, of `cached` bytes each, go when it
-    ends, and the vocabulary's tables too unless the worker is to `keep` them for its next task.
+    The more words are walked together, the more prefixes they share.  If the worker is to `keep` them for its next task,
+    its caches, of `cached` bytes each, and the vocabulary's tables stay when a task ends; else they go.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = chunks(path)
-        codec.forget(cached)
+        if codec.packed.most != cached:
+            codec.forget(cached)
         try:
             for whole in batches:
                 for first in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(first, ROWS)
                     texts, start, size = batch.column(1).to_pylist(), 0, 0
                     for at, text in enumerate(texts):
-                        if size and size + len(text) > TOGETHER:
+                        if size and size + len(text) > together:
                             yield make(codec, batch.slice(start, at - start), codec.encode(texts[start:at]))
                             start, size = at, 0
                         size += len(text)
                     yield make(codec, batch.slice(start), codec.encode(texts[start:]))
         finally:
-            codec.forget()
             if not keep:
+                codec.forget()
                 _CHUNKS.pop(path, None)
                 codec = None
             give_back()
