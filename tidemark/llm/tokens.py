@@ -149,7 +149,8 @@ class Chunks:
         self.known.add({c: array("I", [special[c]]).tobytes() for c in chunks.intersection(special)})
         pieces = {c: self.pieces(c) for c in chunks.difference(special)}
         new = words.union(chain.from_iterable(pieces.values())).difference(packed)
-        symbols = {w: self.encoder.word(w.encode().decode("latin-1").translate(self.alphabet)) for w in new}
+        # ASCII letters and digits stand for themselves in the byte alphabet
+        symbols = {w: self.encoder.word(w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(self.alphabet)) for w in new}
         ids = self.encoder.encode(symbols.values())
         self.packed.add({w: array("I", ids[s]).tobytes() for w, s in symbols.items()})
         self.known.add({c: packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws]) for c, ws in pieces.items()})
@@ -161,11 +162,17 @@ class Chunks:
         self.encoder.edges.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.direct(t) for t in texts]
-        split = [self.split(t) if ws is None else [] for t, ws in zip(texts, words, strict=True)]
-        self.learn(set(chain.from_iterable(split)), set(chain.from_iterable(ws for ws in words if ws)))
-        chunk, word = self.known.ids.__getitem__, self.packed.ids.__getitem__
-        return [b"".join(map(chunk, cs) if ws is None else map(word, ws)) for cs, ws in zip(split, words, strict=True)]
+        collects = gc.isenabled()
+        gc.disable()  # lists and dictionaries of strings by the hundred thousand, and no cycle among them
+        try:
+            words = [self.direct(t) for t in texts]
+            split = [self.split(t) if ws is None else [] for t, ws in zip(texts, words, strict=True)]
+            self.learn(set(chain.from_iterable(split)), set(chain.from_iterable(ws for ws in words if ws)))
+            chunk, word = self.known.ids.__getitem__, self.packed.ids.__getitem__
+            return [b"".join(map(chunk, cs) if ws is None else map(word, ws)) for cs, ws in zip(split, words, strict=True)]
+        finally:
+            if collects:
+                gc.enable()
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.token_bytes.__getitem__, array("I", ids))).decode("utf-8", "replace")
