@@ -29,6 +29,7 @@ def heavy(data, tmp_path_factory):
 #: Queries that stand on volume buckets.
 ON_BUCKETS = [
     "volume_buckets",
+    "vpin",
 ]
 
 
