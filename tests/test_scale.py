@@ -30,6 +30,7 @@ def heavy(data, tmp_path_factory):
 ON_BUCKETS = [
     "volume_buckets",
     "vpin",
+    "orderflow_wom_weekday",
 ]
 
 
