@@ -1,11 +1,14 @@
 """Results and plans that only large tables show: busy days, long histories, large running sums."""
 
+import datetime
 import os
+import random
 
 import duckdb
 import pytest
 
 from tests.test_oracle import TABLES, rows
+from tidemark.operators import microstructure
 from tidemark.plans import catalog
 
 
@@ -38,3 +41,43 @@ ON_BUCKETS = [
 def test_buckets_of_large_volumes(spark, heavy, name):
     folder, con = heavy
     assert rows(catalog.queries()[name](spark, folder).toPandas()) == rows(con.execute(catalog.oracle_sql()[name]).df())
+
+
+def grid(spark, days=2, seconds=400):
+    """Steps with gaps, some without volume or with an unknown one: symbol, date, second, n_trades, buy_count, sell_count, buy_vol, sell_vol."""
+    rng = random.Random(7)
+    out = []
+    for symbol in "ab":
+        for day in range(days):
+            for at in sorted(rng.sample(range(seconds), seconds // 3)):
+                buys, sells = rng.randrange(4), rng.randrange(4)
+                out.append((symbol, datetime.date(2024, 1, 1 + day), 86400 * day + at, buys + sells, buys, sells, 0.1 * buys if at % 90 > 30 else rng.choice([0.0, None]), 0.3 * sells if at % 90 > 30 else 0.0))
+    return out, spark.createDataFrame(out, "symbol string, date date, second bigint, n_trades bigint, buy_count bigint, sell_count bigint, buy_vol double, sell_vol double")
+
+
+def last(steps, i, column, n):
+    """Sum over the last n seconds of step i's day, row by row; None without a value."""
+    s, d, at = steps[i][:3]
+    values = [r[column] for r in steps if r[:2] == (s, d) and at - n < r[2] <= at and r[column] is not None]
+    return sum(values) if values else None
+
+
+def frames_of_time(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("RangeFrame, -")
+
+
+@pytest.mark.parametrize("window", [1, 10, 50, 1000])
+def test_flow_features_without_frames_of_time(spark, window):
+    steps, df = grid(spark)
+    out = microstructure.flow_features(df, window)
+    found = {(r.symbol, r.second): r for r in out.collect()}
+    assert len(found) == out.count() == len(steps) and out.columns == [*df.columns, "trade_imbalance", "flow", "fano", "variation"]
+    for i, step in enumerate(steps):
+        r = found[step[0], step[2]]
+        b, v, n = (last(steps, i, c, window) for c in (6, 7, 3))
+        share = None if b is None or v is None or b + v == 0 else (b - v) / (b + v)
+        assert (r.trade_imbalance is None) == (share is None) and (share is None or abs(r.trade_imbalance - share) < 1e-12)
+        k = min(window, step[2] - min(s[2] for s in steps if s[:2] == step[:2]) + 1)
+        squares = sum(s[3] ** 2 for s in steps if s[:2] == step[:2] and step[2] - window < s[2] <= step[2])
+        assert (r.fano is None) == (n == 0) and (n == 0 or abs(r.fano - max(squares / k - (n / k) ** 2, 0) / (n / k)) < 1e-9)
+    assert frames_of_time(out) == 0

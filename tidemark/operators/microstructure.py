@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import ratio
+from tidemark.functions.numeric import by, ratio
 
 
 def trade_grid(ticks: DataFrame, step: int = 1) -> DataFrame:
@@ -27,17 +27,38 @@ def trade_grid(ticks: DataFrame, step: int = 1) -> DataFrame:
     )
 
 
-def last_seconds(c: Column, n: int) -> Column:
-    """Sum over the last n seconds of a symbol's day; the frame is one of time, and no task holds more than a symbol's day."""
-    return F.sum(c).over(Window.partitionBy("symbol", "date").orderBy("second").rangeBetween(-(n - 1), 0))
+def last_seconds(grid: DataFrame, sums: dict[str, Column], n: int) -> DataFrame:
+    """grid with the columns `sums`, summed over the last n seconds of a symbol's day; a day has a second once.
+
+    Spark sums a frame of time anew for every row, so long frames of busy symbols would cost rows times frame.  Here time is
+    cut into blocks of n seconds: a frame is its row's block so far and the end of the block before, from the frame's first
+    row on, and both are running sums.  Nothing is subtracted, so the sums are as exact as those of the frames.  A row is the
+    first of the frames that end n seconds after the row before it, until the next row is; no task holds more than a
+    symbol's day.
+    """
+    day, until_now = ["symbol", "date"], (Window.unboundedPreceding, 0)
+    so_far, to_end = (by([*day, "frame_block"], order).rowsBetween(*until_now) for order in ("second", F.col("second").desc()))
+    out = grid.withColumn("frame_block", F.floor(F.col("second") / n))
+    out = out.withColumns({c: F.sum(v).over(so_far) for c, v in sums.items()} | {"frame_end": F.struct("frame_block", *[F.sum(v).over(to_end).alias(c) for c, v in sums.items()])})
+    out = out.withColumn("frame_at", F.coalesce(F.lag("second").over(by(day, "second")) + n, "second"))
+    out = out.withColumn("frame_event", F.explode(F.array(F.struct(F.col("frame_at").alias("at"), F.lit(0).alias("own")), F.struct(F.col("second").alias("at"), F.lit(1).alias("own")))))
+    first = F.last(F.when(F.col("frame_event.own") == 0, F.col("frame_end")), ignorenulls=True)
+    # at one time the next first row comes before the row that asks for it
+    out = out.withColumn("frame_first", first.over(by(day, "frame_event").rowsBetween(*until_now))).where("frame_event.own = 1")
+    earlier = {c: F.when(F.col("frame_first.frame_block") < F.col("frame_block"), F.col(f"frame_first.{c}")) for c in sums}
+    out = out.withColumns({c: F.coalesce(F.col(c) + e, c, e) for c, e in earlier.items()})
+    return out.drop("frame_block", "frame_end", "frame_at", "frame_event", "frame_first")
 
 
 def arrival_rates(grid: DataFrame, window: int = 10, base: int = 60) -> DataFrame:
     """Buys and sells a second over `window` seconds, their Poisson z against the rate over `base`, and the rates' imbalance."""
-    out = grid
-    for side in ("buy", "sell"):
-        rate, usual = last_seconds(F.col(f"{side}_count"), window) / window, last_seconds(F.col(f"{side}_count"), base) / base
-        out = out.withColumn(f"lam_{side}", rate).withColumn(f"z_{side}", (F.col(f"lam_{side}") - usual) / F.sqrt(F.greatest(usual, F.lit(1e-6))))
+    counts = {side: F.col(f"{side}_count") for side in ("buy", "sell")}
+    out = last_seconds(grid, {f"near_{s}": c for s, c in counts.items()}, window)
+    out = last_seconds(out, {f"usual_{s}": c for s, c in counts.items()}, base)
+    for side in counts:
+        usual = F.col(f"usual_{side}") / base
+        out = out.withColumn(f"lam_{side}", F.col(f"near_{side}") / window).withColumn(f"z_{side}", (F.col(f"lam_{side}") - usual) / F.sqrt(F.greatest(usual, F.lit(1e-6))))
+    out = out.drop(*[f"{name}_{s}" for name in ("near", "usual") for s in counts])
     return out.withColumn("imbalance", ratio(F.col("lam_buy") - F.col("lam_sell"), F.col("lam_buy") + F.col("lam_sell")))
 
 
@@ -47,13 +68,16 @@ def flow_features(grid: DataFrame, window: int = 10, step: int = 1) -> DataFrame
     Steps without trades count as zeros, from the day's first trade on.
     """
     day = Window.partitionBy("symbol", "date")
-    buys, sells = last_seconds(F.col("buy_vol"), window), last_seconds(F.col("sell_vol"), window)
+    n = F.col("n_trades")
+    out = last_seconds(grid, {"last_buys": F.col("buy_vol"), "last_sells": F.col("sell_vol"), "last_trades": n, "last_squares": n * n}, window)
+    buys, sells = F.col("last_buys"), F.col("last_sells")
     flow = F.sum(F.col("buy_vol") - F.col("sell_vol")).over(day.orderBy("second").rowsBetween(Window.unboundedPreceding, 0))
     steps = F.least(F.lit(window / step), (F.col("second") - F.min("second").over(day)) / step + 1)
-    mean = last_seconds(F.col("n_trades"), window) / steps
-    variance = F.greatest(last_seconds(F.col("n_trades") * F.col("n_trades"), window) / steps - mean * mean, F.lit(0.0))
-    out = grid.withColumn("trade_imbalance", ratio(buys - sells, buys + sells)).withColumn("flow", flow)
-    return out.withColumn("fano", ratio(variance, mean)).withColumn("variation", F.when(steps >= 2, ratio(F.sqrt(variance), mean)))
+    mean = F.col("last_trades") / steps
+    variance = F.greatest(F.col("last_squares") / steps - mean * mean, F.lit(0.0))
+    out = out.withColumn("trade_imbalance", ratio(buys - sells, buys + sells)).withColumn("flow", flow)
+    out = out.withColumn("fano", ratio(variance, mean)).withColumn("variation", F.when(steps >= 2, ratio(F.sqrt(variance), mean)))
+    return out.drop("last_buys", "last_sells", "last_trades", "last_squares")
 
 
 def dense_grid(grid: DataFrame, step: int, before: int, after: int) -> DataFrame:
