@@ -66,6 +66,20 @@ def frames_of_time(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("RangeFrame, -")
 
 
+@pytest.mark.parametrize("window, base", [(1, 7), (10, 60), (50, 1000)])
+def test_arrival_rates_without_frames_of_time(spark, window, base):
+    steps, df = grid(spark)
+    out = microstructure.arrival_rates(df, window, base)
+    found = {(r.symbol, r.second): r for r in out.collect()}
+    assert len(found) == out.count() == len(steps) and out.columns == [*df.columns, "lam_buy", "z_buy", "lam_sell", "z_sell", "imbalance"]
+    for i, step in enumerate(steps):
+        r = found[step[0], step[2]]
+        for c, rate, z in ((4, r.lam_buy, r.z_buy), (5, r.lam_sell, r.z_sell)):
+            usual = last(steps, i, c, base) / base
+            assert rate == last(steps, i, c, window) / window and abs(z - (rate - usual) / max(usual, 1e-6) ** 0.5) < 1e-9
+    assert frames_of_time(out) == 0
+
+
 @pytest.mark.parametrize("window", [1, 10, 50, 1000])
 def test_flow_features_without_frames_of_time(spark, window):
     steps, df = grid(spark)
