@@ -6,9 +6,10 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_oracle import TABLES, rows
-from tidemark.operators import microstructure
+from tidemark.operators import bars, microstructure
 from tidemark.plans import catalog
 
 
@@ -95,3 +96,22 @@ def test_flow_features_without_frames_of_time(spark, window):
         squares = sum(s[3] ** 2 for s in steps if s[:2] == step[:2] and step[2] - window < s[2] <= step[2])
         assert (r.fano is None) == (n == 0) and (n == 0 or abs(r.fano - max(squares / k - (n / k) ** 2, 0) / (n / k)) < 1e-9)
     assert frames_of_time(out) == 0
+
+
+def test_sessions_are_attached_where_rows_are(spark):
+    start = datetime.datetime(2024, 1, 1)
+    hours = lambda *h: [start + datetime.timedelta(hours=x) for x in h]
+    # two sessions on the first day, one that is over at midnight, none for four days, then one; two close at the same time
+    closes = hours(9, 15, 24, 140, 140)
+    marks = [(i, c - datetime.timedelta(hours=2), c) for i, c in enumerate(closes)]
+    times = hours(*[x / 2 for x in range(-60, 320)]) + [c - datetime.timedelta(microseconds=1) for c in closes] + [None]
+    sessions = spark.createDataFrame(marks, "session_id int, open_ts timestamp_ntz, close_ts timestamp_ntz")
+    df = spark.createDataFrame(list(enumerate(times)), "i int, ts timestamp_ntz").repartition(4, "i")
+    for mode, mark in (("close", lambda m: m[2] - datetime.timedelta(microseconds=1)), ("reference", lambda m: m[1])):
+        out = bars.attach_sessions(df, sessions, mode=mode)
+        found = {r.i: (r.session_id, r.at) for r in out.withColumn("at", F.spark_partition_id()).collect()}
+        assert len(found) == len(times) and len({at for _, at in found.values()}) == 4
+        for i, t in enumerate(times):
+            ahead = [(mark(m), -m[0]) for m in marks if t is not None and mark(m) >= t]
+            assert found[i][0] == (-min(ahead)[1] if ahead else None)
+    assert bars.attach_sessions(df, sessions.where("false")).where("session_id IS NULL").count() == len(times)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import by, forward_fill
-from tidemark.operators.relational import asof_join
 
 SEASONS = {"winter": [12, 1, 2], "spring": [3, 4, 5], "summer": [6, 7, 8], "autumn": [9, 10, 11]}
 
@@ -95,11 +94,19 @@ def attach_sessions(df: DataFrame, sessions: DataFrame, keys: list[str] | None =
     """session_id of the first session that closes after ts: rows before an open belong to the coming session.
 
     mode="reference" matches the first session that opens at or after ts instead, and leaves rows out that have none.
+    Rows stay where they are: each meets the sessions of its own day and the first one of a later day, from a small table.
     """
     mark = F.col("close_ts") - F.expr("INTERVAL 1 MICROSECOND") if mode == "close" else F.col("open_ts")
-    marks = sessions.select(F.lit(0).alias("one"), mark.alias(ts), "session_id")
-    out = asof_join(df.withColumn("one", F.lit(0)).withColumn(ts, F.col(ts).cast("timestamp_ntz")), marks, ["one"], ts, ["session_id"], "forward")
-    return out.drop("one")
+    rows = df.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
+    marks = sessions.select(F.struct(mark.alias("at"), "session_id").alias("mark")).where("mark.at IS NOT NULL").groupBy("mark.at").agg(F.max("mark").alias("mark"))
+    own = marks.groupBy(F.to_date("at").alias("mark_day")).agg(F.collect_list("mark").alias("marks"), F.min("mark").alias("first_mark"))
+    # a row a day of the table or of the sessions, whatever the number of rows
+    days = rows.select(F.to_date(ts).alias("mark_day")).distinct().join(own, "mark_day", "full")
+    later = F.last("first_mark", ignorenulls=True).over(Window.orderBy(F.col("mark_day").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select("mark_day", "marks", later.alias("later_mark"))
+    same_day = F.array_min(F.filter("marks", lambda m: m["at"] >= F.col(ts)))
+    out = rows.join(F.broadcast(days), F.to_date(ts) == F.col("mark_day"), "left")
+    return out.select(*df.columns, F.coalesce(same_day, "later_mark")["session_id"].alias("session_id"))
 
 
 def calendar_columns(df: DataFrame, ts: str = "ts") -> DataFrame:
