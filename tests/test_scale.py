@@ -35,6 +35,7 @@ ON_BUCKETS = [
     "volume_buckets",
     "vpin",
     "orderflow_wom_weekday",
+    "screen_patterns",
 ]
 
 
