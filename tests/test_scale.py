@@ -36,6 +36,7 @@ ON_BUCKETS = [
     "vpin",
     "orderflow_wom_weekday",
     "screen_patterns",
+    "pattern_gates",
 ]
 
 
