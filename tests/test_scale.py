@@ -37,6 +37,7 @@ ON_BUCKETS = [
     "orderflow_wom_weekday",
     "screen_patterns",
     "pattern_gates",
+    "any_pattern_active",
 ]
 
 
