@@ -38,6 +38,7 @@ ON_BUCKETS = [
     "screen_patterns",
     "pattern_gates",
     "any_pattern_active",
+    "pattern_series",
 ]
 
 
