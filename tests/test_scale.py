@@ -39,6 +39,7 @@ ON_BUCKETS = [
     "pattern_gates",
     "any_pattern_active",
     "pattern_series",
+    "decision_rows",
 ]
 
 
