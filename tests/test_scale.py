@@ -40,6 +40,7 @@ ON_BUCKETS = [
     "any_pattern_active",
     "pattern_series",
     "decision_rows",
+    "aggregated_positions",
 ]
 
 
