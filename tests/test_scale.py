@@ -41,6 +41,7 @@ ON_BUCKETS = [
     "pattern_series",
     "decision_rows",
     "aggregated_positions",
+    "resolved_decisions",
 ]
 
 
