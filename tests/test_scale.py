@@ -42,6 +42,7 @@ ON_BUCKETS = [
     "decision_rows",
     "aggregated_positions",
     "resolved_decisions",
+    "backtest_rows",
 ]
 
 
