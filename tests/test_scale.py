@@ -43,6 +43,7 @@ ON_BUCKETS = [
     "aggregated_positions",
     "resolved_decisions",
     "backtest_rows",
+    "backtest_by_pattern",
 ]
 
 
