@@ -44,6 +44,7 @@ ON_BUCKETS = [
     "resolved_decisions",
     "backtest_rows",
     "backtest_by_pattern",
+    "backtest_by_week",
 ]
 
 
