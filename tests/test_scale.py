@@ -45,6 +45,7 @@ ON_BUCKETS = [
     "backtest_rows",
     "backtest_by_pattern",
     "backtest_by_week",
+    "threshold_sweep",
 ]
 
 
