@@ -5,12 +5,14 @@ import os
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_oracle import TABLES, rows
 from tidemark.operators import bars, microstructure
 from tidemark.plans import catalog
+from tidemark.plans.registry import R, r
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +128,15 @@ def test_sessions_are_attached_where_rows_are(spark):
             ahead = [(mark(m), -m[0]) for m in marks if t is not None and mark(m) >= t]
             assert found[i][0] == (-min(ahead)[1] if ahead else None)
     assert bars.attach_sessions(df, sessions.where("false")).where("session_id IS NULL").count() == len(times)
+
+
+@pytest.mark.parametrize("digits", [2, 4, 5, 6])
+def test_halves_are_rounded_as_in_the_sql(spark, digits):
+    rng = random.Random(digits)
+    halves = [(2 * rng.randrange(-3_000_000, 3_000_000) + 1) * 5 / 10 ** (digits + 1) for _ in range(5000)]
+    odd = [None, 0.0, -0.0, 1e300, -1e18, 2.0**53, float("inf"), float("-inf"), float("nan")]
+    df = spark.createDataFrame(list(enumerate([*halves, *odd])), "i int, x double").withColumn("x", r("x", digits))
+    con = duckdb.connect()
+    con.register("t", pa.table({"i": range(len(halves) + len(odd)), "x": pa.array([*halves, *odd], pa.float64())}))
+    found, truth = df.orderBy("i").collect(), con.execute(f"SELECT i, {R('x', digits)} FROM t ORDER BY i").fetchall()
+    assert [repr(x.x) for x in found] == [repr(x[1]) for x in truth]

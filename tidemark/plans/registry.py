@@ -25,8 +25,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r(c: Column | str, digits: int = 6) -> Column:
-    """Rounded for comparison across engines, without a negative zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+    """Rounded for comparison across engines, without a negative zero; scaled in doubles as in the SQL, half away from zero.
+
+    `F.round` takes the decimal that a double is written as, so values on a half would go the other way at times.
+    """
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    scaled = F.abs(c) * 10.0**digits
+    whole = F.floor(scaled)
+    up = (whole + F.when(scaled - whole >= 0.5, 1).otherwise(0)).cast("double")
+    # doubles from 2^52 on are whole
+    out = F.when(scaled == float("inf"), c).otherwise(F.signum(c) * F.when(scaled < 2.0**52, up).otherwise(scaled) / 10.0**digits)
+    return out + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
