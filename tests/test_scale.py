@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.test_oracle import TABLES, rows
 from tidemark.operators import bars, microstructure
-from tidemark.plans import catalog
+from tidemark.plans import catalog, flow
 from tidemark.plans.registry import R, r
 
 
@@ -140,3 +140,10 @@ def test_halves_are_rounded_as_in_the_sql(spark, digits):
     con.register("t", pa.table({"i": range(len(halves) + len(odd)), "x": pa.array([*halves, *odd], pa.float64())}))
     found, truth = df.orderBy("i").collect(), con.execute(f"SELECT i, {R('x', digits)} FROM t ORDER BY i").fetchall()
     assert [repr(x.x) for x in found] == [repr(x[1]) for x in truth]
+
+
+def test_patterns_are_made_from_the_published_table(spark, heavy):
+    folder, con = heavy
+    names = ["symbol", "wom", "weekday", "metric", "n", "mean", "std", "t_stat"]
+    found = sorted(map(tuple, flow.pressure_by_wom(spark, folder).select(*names).collect()))
+    assert found == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({flow.WOM_WEEKDAY})").fetchall())

@@ -261,12 +261,13 @@ WOM_WEEKDAY = _seasonality_sql("wom, weekday")
 
 
 def pressure_by_wom(spark: SparkSession, sf: str) -> DataFrame:
-    return orderflow.seasonality_table(_metrics(spark, sf), ["wom", "weekday"], _NAMES)
+    """The table as it is published, so rounded: patterns are made from these numbers."""
+    return rounded(orderflow.seasonality_table(_metrics(spark, sf), ["wom", "weekday"], _NAMES), "mean", "std", "t_stat")
 
 
 @query(WOM_WEEKDAY)
 def orderflow_wom_weekday(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pressure_by_wom(spark, sf).drop("p_value", "q_value", "rejected"), "mean", "std", "t_stat")
+    return pressure_by_wom(spark, sf).drop("p_value", "q_value", "rejected")
 
 
 @query()
