@@ -147,3 +147,43 @@ def test_patterns_are_made_from_the_published_table(spark, heavy):
     names = ["symbol", "wom", "weekday", "metric", "n", "mean", "std", "t_stat"]
     found = sorted(map(tuple, flow.pressure_by_wom(spark, folder).select(*names).collect()))
     assert found == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({flow.WOM_WEEKDAY})").fetchall())
+
+
+@pytest.fixture(scope="module")
+def zeros(data, tmp_path_factory):
+    """Events in every hour, with some hours and days that open or close at 0."""
+    folder = tmp_path_factory.mktemp("zeros")
+    con = duckdb.connect()
+    con.execute(f"""COPY (WITH e AS (SELECT event_id + 1000000 * k AS event_id, ts + to_hours(k) AS ts, user_id, event_type, round(value * (1 + (event_id * 7 + k * 5) % 11), 2) + 0.01 AS value, props
+            FROM read_parquet('{data}/events.parquet'), (SELECT unnest(range(24)) AS k)),
+        x AS (SELECT *, row_number() OVER h AS first, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id DESC) AS last, day(ts) AS d, hour(ts) AS clock FROM e WINDOW h AS (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id))
+        SELECT event_id, ts, user_id, event_type, CASE WHEN first = 1 AND (d * 24 + clock) % 97 = 5 OR last = 1 AND (d * 24 + clock) % 101 = 9 AND clock < 20 OR last = 1 AND clock = 23 AND d = 9 AND event_type = 'view' THEN 0.0 ELSE value END AS value, props
+        FROM x) TO '{folder}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
+    return str(folder), con
+
+
+#: Queries of returns between the prices of hours.
+ON_RETURNS = [
+    "backtest_by_pattern",
+    "aggregated_positions",
+    "decision_rows",
+    "resolved_decisions",
+    "threshold_sweep",
+    "screen_patterns",
+    "pattern_gates",
+    "any_pattern_active",
+    "seasonal_ranking",
+    "session_horizons",
+    "intraday_delta",
+    "opening_period_return",
+    "feature_backtest",
+    "time_predictability",
+]
+
+
+@pytest.mark.parametrize("name", ON_RETURNS)
+def test_prices_of_zero(spark, zeros, name):
+    folder, con = zeros
+    truth = con.execute(catalog.oracle_sql()[name]).df()
+    assert len(truth) and rows(catalog.queries()[name](spark, folder).toPandas()) == rows(truth)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import by, corr, cumulative, ewm, ewms, expanding, finite, log_ratio, ratio, rolling, rolling_percentile, scan, zscore
+from tidemark.functions.numeric import by, corr, cumulative, ewm, ewms, expanding, finite, log_change, log_ratio, ratio, rolling, rolling_percentile, scan, zscore
 
 
-def returns(bars: DataFrame, n: int = 1, order: str = "date", into: str = "ret", log: bool = True) -> DataFrame:
+def returns(bars: DataFrame, n: int = 1, order: str = "date", into: str = "ret", log: bool = True, ieee: bool = False) -> DataFrame:
     before = F.lag("close", n).over(by("symbol", order))
-    return bars.withColumn(into, log_ratio("close", before) if log else ratio("close", before) - 1)
+    return bars.withColumn(into, (log_change if ieee else log_ratio)("close", before) if log else ratio("close", before) - 1)
 
 
 def moving_averages(bars: DataFrame, windows: tuple[int, ...] = (20, 50, 200), order: str = "date") -> DataFrame:

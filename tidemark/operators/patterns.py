@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import by, clip, fdr, log_ratio, ratio, t_pvalue
+from tidemark.functions.numeric import by, clip, fdr, log_change, log_ratio, ratio, sign, t_pvalue
 from tidemark.operators.relational import nearest_join, shifted_join
 
 
@@ -101,48 +101,49 @@ def horizon_of(pattern_type: Column | str) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in HORIZONS.items() for x in kv])[c], F.lit("intraday_delta"))
 
 
-def session_horizons(bars: DataFrame, days: int = 5, edge: float = 0.5) -> DataFrame:
+def session_horizons(bars: DataFrame, days: int = 5, edge: float = 0.5, ieee: bool = False) -> DataFrame:
     """A row a session with its open-to-close return and those to the next close, the close `days` sessions on, the next Monday, and the same session's `days` before; clipped."""
     s = bars.groupBy("symbol", "date").agg(F.min_by("open", "ts").alias("open"), F.max_by("close", "ts").alias("close"))
     w = by("symbol", "date")
     cut = lambda c: clip(c, -edge, edge)
-    oc = log_ratio("close", "open")
+    change = log_change if ieee else log_ratio
+    oc = change("close", "open")
     s = s.withColumn("same_day_oc", cut(oc))
     monday = F.when((F.weekday("date") == 4) & (F.weekday(F.lead("date").over(w)) == 0), F.lead("same_day_oc").over(w))
     return s.withColumns(
         {
-            "next_day_cc": cut(log_ratio(F.lead("close").over(w), "close")),
-            "next_week_cc": cut(log_ratio(F.lead("close", days).over(w), "close")),
+            "next_day_cc": cut(change(F.lead("close").over(w), "close")),
+            "next_week_cc": cut(change(F.lead("close", days).over(w), "close")),
             "next_monday_oc": monday,
             "prev_week": F.lag("same_day_oc", days).over(w),
         }
     )
 
 
-def intraday_delta(bars: DataFrame, minutes: int) -> DataFrame:
+def intraday_delta(bars: DataFrame, minutes: int, ieee: bool = False) -> DataFrame:
     """ln(close at exactly ts + minutes / close)."""
     x = shifted_join(bars.select("symbol", "ts", "close"), ["symbol"], "ts", "close", minutes * 60, "later")
-    return x.select("symbol", "ts", log_ratio("later", "close").alias("intraday_delta"))
+    return x.select("symbol", "ts", (log_change if ieee else log_ratio)("later", "close").alias("intraday_delta"))
 
 
-def opening_period(bars: DataFrame, minutes: int, tolerance_seconds: int = 300) -> DataFrame:
+def opening_period(bars: DataFrame, minutes: int, tolerance_seconds: int = 300, ieee: bool = False) -> DataFrame:
     """Return from a session's first open to the close nearest to `minutes` later, within the tolerance."""
     first = bars.groupBy("symbol", "date").agg(F.min("ts").alias("first_ts"), F.min_by("open", "ts").alias("first_open"))
     at = first.withColumn("ts", F.col("first_ts") + F.make_interval(mins=F.lit(minutes)))
     found = nearest_join(at, bars.select("symbol", "ts", "close"), ["symbol"], "ts", ["close"], tolerance_seconds)
-    return found.select("symbol", "date", log_ratio("close", "first_open").alias("opening_ret"))
+    return found.select("symbol", "date", (log_change if ieee else log_ratio)("close", "first_open").alias("opening_ret"))
 
 
-def decisions(gated: DataFrame, bars: DataFrame, patterns: DataFrame | None = None, minutes: int = 60) -> DataFrame:
+def decisions(gated: DataFrame, bars: DataFrame, patterns: DataFrame | None = None, minutes: int = 60, ieee: bool = False) -> DataFrame:
     """Decision rows: symbol, ts_decision, gate, pattern_type, returns_x, returns_y, side_hint, correlation, strength.
 
     y is the pattern type's horizon.  x is the past move for time patterns, the same session a week before for weekly
-    ones, else the pattern's mean.  Rows without finite x and y are left out; side hints come from order flow only.
+    ones, else the pattern's mean.  Rows without x and y are left out; side hints come from order flow only.
     patterns are needed only where the gates do not carry their numbers.
     """
-    s = session_horizons(bars)
-    d = intraday_delta(bars, minutes)
-    back = shifted_join(bars.select("symbol", "ts", "close"), ["symbol"], "ts", "close", -minutes * 60, "earlier").select("symbol", "ts", log_ratio("close", "earlier").alias("past"))
+    s = session_horizons(bars, ieee=ieee)
+    d = intraday_delta(bars, minutes, ieee)
+    back = shifted_join(bars.select("symbol", "ts", "close"), ["symbol"], "ts", "close", -minutes * 60, "earlier").select("symbol", "ts", (log_change if ieee else log_ratio)("close", "earlier").alias("past"))
     j = gated.join(s.drop("open", "close"), ["symbol", "date"]).join(d, ["symbol", "ts"], "left").join(back, ["symbol", "ts"], "left")
     if patterns is not None:
         j = j.drop("mean", "correlation", "strength", "bias").join(patterns.select("symbol", "pattern_key", "mean", "correlation", "strength", "bias"), ["symbol", "pattern_key"])
@@ -156,9 +157,9 @@ def decisions(gated: DataFrame, bars: DataFrame, patterns: DataFrame | None = No
 
 def aggregated_positions(xy: DataFrame) -> DataFrame:
     """By symbol and time: the sign of the summed scores |x| * sign(correlation) * strength, and mean x and y."""
-    score = F.abs("returns_x") * F.signum(F.coalesce("correlation", F.lit(1.0))) * F.coalesce("strength", F.lit(1.0))
+    score = F.abs("returns_x") * sign(F.coalesce("correlation", F.lit(1.0))) * F.coalesce("strength", F.lit(1.0))
     g = xy.withColumn("score", score).groupBy("symbol", "ts_decision").agg(F.sum("score").alias("score"), F.avg("returns_x").alias("returns_x"), F.avg("returns_y").alias("returns_y"), F.count("*").alias("n"))
-    return g.withColumn("position", F.signum("score").cast("int"))
+    return g.withColumn("position", sign("score").cast("int"))
 
 
 def resolved(xy: DataFrame, group: str = "symbol") -> DataFrame:
@@ -176,7 +177,7 @@ def backtest(xy: DataFrame, threshold: float | Column, keys: tuple[str, ...] = (
     taken from |x| >= threshold on.  Drawdown is from the running maximum of the profit, without a leading zero.
     """
     t = F.lit(threshold) if isinstance(threshold, float) else threshold
-    direction = F.signum(F.col("returns_x") * F.when(F.coalesce("correlation", F.lit(1.0)) < 0, -1).otherwise(1))
+    direction = sign(F.col("returns_x") * F.when(F.coalesce("correlation", F.lit(1.0)) < 0, -1).otherwise(1))
     if use_side_hint:
         direction = F.when(F.coalesce("side_hint", F.lit(0)) != 0, F.col("side_hint").cast("double")).otherwise(direction)
     w = by(list(keys), list(order)).rowsBetween(Window.unboundedPreceding, 0)
@@ -219,12 +220,12 @@ def report(summaries: DataFrame, top: int = 5) -> DataFrame:
     return x.withColumn("mean_total", F.avg("total_return").over(w)).withColumn("mean_sharpe", F.avg("sharpe").over(w)).where(F.col("rank") <= top)
 
 
-def feature_backtest(bars: DataFrame, trigger: Column, exit_bars: int = 5, bias: int = 1) -> DataFrame:
+def feature_backtest(bars: DataFrame, trigger: Column, exit_bars: int = 5, bias: int = 1, ieee: bool = False) -> DataFrame:
     """Enter at the close of rows that trigger and leave `exit_bars` rows on, or at the last row; profit is booked at the exit."""
     w = by("symbol", "ts")
     last = Window.partitionBy("symbol")
     x = bars.withColumn("on", trigger).withColumn("exit_ts", F.coalesce(F.lead("ts", exit_bars).over(w), F.max("ts").over(last))).withColumn("exit_close", F.coalesce(F.lead("close", exit_bars).over(w), F.max_by("close", "ts").over(last)))
-    x = x.where("on AND exit_ts > ts").withColumn("ret", bias * log_ratio("exit_close", "close"))
+    x = x.where("on AND exit_ts > ts").withColumn("ret", bias * (log_change if ieee else log_ratio)("exit_close", "close"))
     return x.groupBy("symbol", "exit_ts").agg(F.sum("ret").alias("pnl"), F.count("*").alias("n_closed"))
 
 

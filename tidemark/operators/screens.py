@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import by, corr, corrected_skew, f_pvalue, fdr, log_ratio, ratio, rolling, rolling_percentile, t_of_r, t_pvalue, t_stat
+from tidemark.functions.numeric import by, corr, corr_ieee, corrected_skew, f_pvalue, fdr, log_change, log_ratio, ratio, rolling, rolling_percentile, t_of_r, t_pvalue, t_stat
 from tidemark.operators.features import returns
 from tidemark.operators.models import walk_forward
 from tidemark.operators.relational import asof_join, pairs
@@ -73,9 +73,9 @@ def lead_lag(bars: DataFrame) -> DataFrame:
     return regression(long, ["symbol", "test"], "x", "y")
 
 
-def weekday_statistics(bars: DataFrame, key: Column | None = None, name: str = "weekday") -> DataFrame:
+def weekday_statistics(bars: DataFrame, key: Column | None = None, name: str = "weekday", ieee: bool = False) -> DataFrame:
     """Of each weekday (or another key): n, mean, deviation, Sharpe, corrected skew, share of gains, t."""
-    x = returns(bars).where("ret IS NOT NULL").withColumn(name, F.weekday("date") if key is None else key)
+    x = returns(bars, ieee=ieee).where("ret IS NOT NULL").withColumn(name, F.weekday("date") if key is None else key)
     return x.groupBy("symbol", name).agg(
         F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev("ret").alias("std"), ratio(F.avg("ret"), F.stddev("ret")).alias("sharpe"),
         corrected_skew("ret").alias("skew"), F.avg((F.col("ret") > 0).cast("double")).alias("positive"), t_stat("ret").alias("t_stat"),
@@ -140,18 +140,19 @@ def volume_profile(intraday: DataFrame, top: int = 3) -> DataFrame:
     return out.join(F.broadcast(edge), "symbol").withColumn("busy", F.col("mean_volume") >= F.col("edge")).withColumn("top", F.col("rank") <= top).drop("edge")
 
 
-def time_predictability(intraday: DataFrame, least: int = 15) -> DataFrame:
+def time_predictability(intraday: DataFrame, least: int = 15, ieee: bool = False) -> DataFrame:
     """For each clock hour: correlation of its return with the next day's, the day five calendar days on, and the rest of the day."""
-    r = intraday.withColumn("ret", log_ratio("close", "open"))
+    change, r_of = (log_change, corr_ieee) if ieee else (log_ratio, corr)
+    r = intraday.withColumn("ret", change("close", "open"))
     d = r.groupBy("symbol", "hour", "date").agg(F.sum("ret").alias("ret"))
     last = intraday.groupBy("symbol", "date").agg(F.max_by("close", "ts").alias("day_close"))
-    here = intraday.select("symbol", "hour", "date", F.col("close").alias("hour_close")).join(last, ["symbol", "date"]).select("symbol", "hour", "date", log_ratio("day_close", "hour_close").alias("to_close"))
+    here = intraday.select("symbol", "hour", "date", F.col("close").alias("hour_close")).join(last, ["symbol", "date"]).select("symbol", "hour", "date", change("day_close", "hour_close").alias("to_close"))
     out = d.join(here, ["symbol", "hour", "date"])
     for name, k in (("next_day", 1), ("next_week", 5)):
         later = d.select("symbol", "hour", F.date_sub("date", k).alias("date"), F.col("ret").alias(name))
         out = out.join(later, ["symbol", "hour", "date"], "left")
     return out.groupBy("symbol", "hour").agg(
-        F.count("*").alias("n"), F.avg("ret").alias("mean"), F.count("next_day").alias("n_next_day"), F.count("next_week").alias("n_next_week"), corr("ret", "next_day").alias("r_next_day"), corr("ret", "next_week").alias("r_next_week"), corr("ret", "to_close").alias("r_to_close")
+        F.count("*").alias("n"), F.avg("ret").alias("mean"), F.count("next_day").alias("n_next_day"), F.count("next_week").alias("n_next_week"), r_of("ret", "next_day").alias("r_next_day"), r_of("ret", "next_week").alias("r_next_week"), r_of("ret", "to_close").alias("r_to_close")
     ).where(F.col("n") >= least)
 
 

@@ -125,7 +125,7 @@ _HR = f"{HOURS}, r AS (SELECT symbol, hour, date, ts, close, volume, ln(close /
     FROM r a JOIN lc USING (symbol, date) LEFT JOIN r b ON b.symbol = a.symbol AND b.hour = a.hour AND b.date = a.date + 1 LEFT JOIN r c ON c.symbol = a.symbol AND c.hour = a.hour AND c.date = a.date + 5
     GROUP BY 1, 2 HAVING count(*) >= 15""")
 def time_predictability(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(screens.time_predictability(hourly_bars(spark, sf)).drop("r_to_close", "mean", "n_next_week"), "r_next_day", "r_next_week", digits=5)
+    return rounded(screens.time_predictability(hourly_bars(spark, sf), ieee=True).drop("r_to_close", "mean", "n_next_week"), "r_next_day", "r_next_week", digits=5)
 
 
 @query(f"""WITH {_HR} SELECT a.symbol, printf('%02d', a.hour) AS name_a, printf('%02d', b.hour) AS name_b, count(*) AS n, {R("corr(a.ret, b.ret)", 5)} AS r FROM r a JOIN r b ON a.symbol = b.symbol AND a.date = b.date AND a.hour < b.hour
