@@ -179,6 +179,7 @@ ON_RETURNS = [
     "opening_period_return",
     "feature_backtest",
     "time_predictability",
+    "backtest_by_week",
 ]
 
 
