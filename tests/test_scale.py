@@ -180,6 +180,7 @@ ON_RETURNS = [
     "feature_backtest",
     "time_predictability",
     "backtest_by_week",
+    "backtest_rows",
 ]
 
 
