@@ -181,6 +181,7 @@ ON_RETURNS = [
     "time_predictability",
     "backtest_by_week",
     "backtest_rows",
+    "pattern_series",
 ]
 
 

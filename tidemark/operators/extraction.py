@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import by, log_ratio, t_of_r
+from tidemark.functions.numeric import by, log_change, log_ratio, t_of_r
 
 #: Fixed value: |t| from which a screen's row becomes a pattern.
 EDGE = 1.96
@@ -131,16 +131,17 @@ def seasonal_ranking(patterns: DataFrame, top: int | None = None) -> DataFrame:
     return out if top is None else out.where(F.col("rank") <= top)
 
 
-def pattern_series(patterns: DataFrame, intraday: DataFrame) -> DataFrame:
+def pattern_series(patterns: DataFrame, intraday: DataFrame, ieee: bool = False) -> DataFrame:
     """symbol, pattern_key, date, pattern_return: each pattern's occurrences.
 
     intraday: symbol, ts, date, hour, open, close.  Weekday and order-flow patterns have the day's return, close to
     close over the bars, on their days; hours their bar's return; months the return of each of their months (the day is
     its first); the weekend the open-to-close return of a Monday that follows a Friday in the table.
     """
+    change = log_change if ieee else log_ratio
     w = by("symbol", "date")
     days = intraday.groupBy("symbol", "date").agg(F.min_by("open", "ts").alias("open"), F.max_by("close", "ts").alias("close"))
-    days = days.withColumns({"ret": log_ratio("close", F.lag("close").over(w)), "oc": log_ratio("close", "open"), "day_weekday": F.weekday("date"), "before": F.lag("date").over(w), "month_of_year": F.month("date"), "month_start": F.trunc("date", "month")})
+    days = days.withColumns({"ret": change("close", F.lag("close").over(w)), "oc": change("close", "open"), "day_weekday": F.weekday("date"), "before": F.lag("date").over(w), "month_of_year": F.month("date"), "month_start": F.trunc("date", "month")})
     days = days.withColumn("day_wom", (F.floor((F.day("date") + F.weekday("month_start") - 1) / 7) + 1).cast("int"))
     of = lambda *types: patterns.where(F.col("pattern_type").isin(*types)).select("symbol", "pattern_key", "weekday", F.col("hour").alias("at_hour"), "wom", "months")
     month_ok = F.col("months").isNull() | F.array_contains("months", F.col("month_of_year"))
@@ -150,7 +151,7 @@ def pattern_series(patterns: DataFrame, intraday: DataFrame) -> DataFrame:
         "month": days.join(of("abnormal_month"), "symbol").where(month_ok).groupBy("symbol", "pattern_key", F.col("month_start").alias("date")).agg(F.sum("ret").alias("pattern_return")),
     }
     hours = of("time_predictive_nextday", "time_predictive_nextweek", "time_predictive_eod", "time_predictive_intraday")
-    bars = intraday.select("symbol", "date", "hour", log_ratio("close", "open").alias("each"), F.month("date").alias("month_of_year"))
+    bars = intraday.select("symbol", "date", "hour", change("close", "open").alias("each"), F.month("date").alias("month_of_year"))
     kinds["hours"] = bars.join(hours, (bars["symbol"] == hours["symbol"]) & (bars["hour"] == hours["at_hour"])).where(month_ok).groupBy(bars["symbol"], "pattern_key", "date").agg(F.sum("each").alias("pattern_return"))
     return reduce(DataFrame.unionByName, kinds.values()).where("pattern_return IS NOT NULL")
 
